@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm import decontam, piece_codec, simhash_dedup, token_store
+from corpusmill.llm import decontam, kn_quality, piece_codec, simhash_dedup, token_store, toxicity
 from corpusmill.llm.common import table
 
 
@@ -16,6 +16,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kn_quality.quality_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -28,12 +32,16 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_token_planes, op5_decontamination, op6_simhash, op8_sentencepiece)}
+    return {f.__name__: f for f in (op2_kneser_ney, op4_token_planes, op5_decontamination, op6_simhash, op7_toxicity, op8_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
