@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.llm import decontam, kn_quality, piece_codec, simhash_dedup, token_store, toxicity
+from corpusmill.llm import decontam, html_render, kn_quality, license_scan, piece_codec, simhash_dedup, token_store, topk_index, toxicity, url_filter
 from corpusmill.llm.common import table
 
 
@@ -16,10 +17,19 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_index.top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kn_quality.quality_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = ", ".join(f"('{url}', {label})" for url, label in url_filter.labelled_urls())
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM VALUES {rows} AS t(url, label)"))
+
+
 def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
@@ -40,9 +50,18 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.piece_digests(table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_render.rendered(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), list(license_scan.TEMPLATES.items()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_kneser_ney, op4_token_planes, op5_decontamination, op6_simhash, op7_toxicity, op8_sentencepiece)}
+    own = (op1_pivot_topk, op2_kneser_ney, op3_url_filter, op4_token_planes, op5_decontamination, op6_simhash, op7_toxicity, op8_sentencepiece, op9_html_text, op10_license_scan)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": url_filter.oracle()}
