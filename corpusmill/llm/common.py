@@ -38,6 +38,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def portions(batches, column: int, limit: int = 4_000_000):
+    """Slices of Arrow batches with about ``limit`` bytes of the string column each, so that a task holds little at once."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16)
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 class ChunkMemo:
     """A memo of chunk -> encoded bytes, bounded by two generations of ``size`` entries.
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import ChunkMemo
+from corpusmill.llm.common import ChunkMemo, portions
 
 SPACE = "▁"
 
@@ -113,22 +113,26 @@ def encode_decode(docs: DataFrame, model_path: str, *, text: str = "text", ids:
     source = docs.select(*kept, F.col(text).alias("__text"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded, T.StringType(), False)])
 
+    at_text = len(kept)
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         vocabulary = _vocabulary(model_path)
-        for batch in batches:
+        decode, check = vocabulary.library.decode, vocabulary.library.encode
+        for batch in portions(batches, at_text):
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
             codes = list(map(vocabulary.encode, texts))
             values = np.frombuffer(b"".join(codes), dtype=np.int32)
             ends = np.cumsum([len(c) // 4 for c in codes], dtype=np.int64) if codes else np.zeros(0, np.int64)
             offsets = np.concatenate([[0], ends]).astype(np.int32)
-            lists = [np.frombuffer(c, dtype=np.int32).tolist() for c in codes]
-            for i in range(0, len(texts), check_every):
-                if lists[i] != vocabulary.library.encode(texts[i]):
+            plain = []
+            for i, c in enumerate(codes):
+                own = memoryview(c).cast("i").tolist()
+                if i % check_every == 0 and own != check(texts[i]):
                     raise RuntimeError("the agenda's ids differ from the sentencepiece library's")
-            plain = [vocabulary.library.decode(x) if x else "" for x in lists]
+                plain.append(decode(own) if own else "")
             id_column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values), type=pa.list_(pa.field("element", pa.int32(), nullable=False)))
             columns = [*batch.columns[:-1], id_column, pa.array(plain, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, decoded])
