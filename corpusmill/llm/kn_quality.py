@@ -208,20 +208,24 @@ def perplexities(docs: DataFrame, model: Model, *, text: str = "text", shard_cha
 
         order = np.argsort(keys := right.column("key").to_numpy().view(np.uint64))
         keys, lp = keys[order], right.column("lp").to_numpy()[order]
-        texts = [t or "" for t in left.column(text).to_pylist()]
-        out, sizes = np.full(len(texts), np.nan), np.zeros(len(texts), np.int64)
+        every = left.column(text).to_pylist()
+        full = np.array([i for i, t in enumerate(every) if t], np.int64)
+        texts = [every[i] for i in full]
+        out, sizes = np.full(len(every), np.nan), np.zeros(len(every), np.int64)
         for a, b in _portions(texts):
             units, starts = symbols(texts[a:b])
             own = keys_of(units)
             good = judged(units)
             value = np.zeros(len(own) + 1)
             where = np.searchsorted(keys, own[good])
+            if where.max() >= len(keys) or (keys[where] != own[good]).any():
+                raise RuntimeError("an n-gram has no answer")
             value[:-1][good] = lp[where]
             ends = np.append(starts[1:], len(units))
             sums = np.add.reduceat(value, starts)
             n = ends - starts - ORDER + 1
-            out[a:b] = np.where(n > 1, np.exp(-sums / n), np.nan)
-            sizes[a:b] = np.where(n > 1, n, 0)
+            out[full[a:b]] = np.exp(-sums / n)
+            sizes[full[a:b]] = n
         return left.select(names).append_column("perplexity", pa.array(out, pa.float64(), from_pandas=True)).append_column("n_symbols", pa.array(sizes))
 
     asked = dealt.mapInArrow(ask, f"{SHARD} int, key long")
