@@ -23,16 +23,20 @@ table gives an empty store.
 
 from __future__ import annotations
 
+import re
 import struct
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import ChunkMemo, written
+from corpusmill.llm.common import ChunkMemo, portions, written
 
 MAGIC = b"BPT1"
+#: The starts of up to this many segments (16 bytes each) are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_SEGMENTS = 500_000
 HEAD = struct.Struct("<4sB3xII")
-SPACES = b" \t\n\r\x0b\x0c"
+LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
+BYTE_LEVEL = {b: 0x122 + b - 0x80 for b in range(0x80, 0xA1)} | {0xAD: 0x143}
 
 
 def pack_segment(ids: bytes, block_ids: int = 65536, bits: bool = False, level: int = 3) -> bytes:
@@ -104,7 +108,7 @@ class WordEncoder:
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.stops: dict[int, bytes] = {}
-        self.memo = ChunkMemo(self._solve)
+        self.memo = ChunkMemo(self._solve, 500_000)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -116,18 +120,34 @@ class WordEncoder:
         odd = []
         for i, c in enumerate(chunks):
             tail = b""
-            if c[-1] in b".," and len(c) > 1 and c[:-1].isalpha():
-                if c[-1] not in self.stops:
+            if c[-1] in b".," and len(c) > 1:
+                word = self._letters(c[:-1])
+                if word and c[-1] not in self.stops:
                     self.stops[c[-1]] = self._whole([chr(c[-1])])[0]
-                tail, c = self.stops[c[-1]], c[:-1]
-            if c.isalpha():  # ASCII letters alone: one pre-token, left as it is by the normaliser
-                out[i] = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(c.decode("ascii"))) + tail
+                tail = self.stops.get(c[-1], b"")
+            else:
+                word = self._letters(c)
+            if word:
+                out[i] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)]) + tail
             else:
                 odd.append(i)
         for i, ids in zip(odd, self._whole([chunks[i].decode("utf-8") for i in odd]) if odd else []):
             out[i] = ids
         return out
 
+    @staticmethod
+    def _letters(chunk: bytes) -> str:
+        """A word of a-z and lower Latin-1 letters in byte-level form, else "".
+
+        Such a word is one pre-token and the normaliser leaves it as it is, so it can go to the
+        library's model at once.  Of its bytes, byte-level form shows a-z and C3, and the bytes
+        80-A0 and AD shifted to U+0122-0142 and U+0143.
+        """
+        if chunk.isalpha():
+            return chunk.decode("ascii").lower()
+        word = chunk.decode("utf-8").lower()
+        return word.encode("utf-8").decode("latin-1").translate(BYTE_LEVEL) if LETTERS(word) else ""
+
     def encode(self, text: str) -> bytes:
         data = text.encode("utf-8")
         return self.memo.encode((data if b"<|" in data else data.lower()).split())
@@ -167,7 +187,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, shard
                 names=["shard", "segment", "doc_ids", "doc_lengths", "n_ids", "payload"],
             )
 
-        for batch in batches:
+        for batch in portions(batches, 1):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 code = encode(text.as_py() or "") + end
                 ids.append(doc_id)
@@ -207,7 +227,9 @@ def chunk_index(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens and ids (little-endian u32) of each stored document."""
-    segments = spark.read.parquet(path).join(chunk_index(spark, path), ["shard", "segment"]).select("start", "doc_ids", "doc_lengths", "payload")
+    index = chunk_index(spark, path)
+    small = spark.read.parquet(path).select("shard").count() <= BROADCAST_SEGMENTS
+    segments = spark.read.parquet(path).join(F.broadcast(index) if small else index, ["shard", "segment"]).select("start", "doc_ids", "doc_lengths", "payload")
 
     def run(batches):
         import numpy as np
