@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
+from corpusmill.functions import udfs
 
 
 def duplicate_groups(docs: DataFrame, key: Column) -> DataFrame:
@@ -23,7 +24,7 @@ def similar_pairs(records: DataFrame, threshold: float = 0.95, length_gap: float
     """
     prints = records.select("ord", X.fingerprint(F.col("text")).alias("fp")).where(F.length("fp") >= 3)
     distinct = prints.groupBy("fp").agg(F.min("ord").alias("ord"))
-    sets = distinct.select("ord", F.length("fp").alias("n"), X.trigrams(F.col("fp")).alias("grams"))
+    sets = distinct.select("ord", F.length("fp").alias("n"), udfs.trigram_set("fp").alias("grams"))
     counts = sets.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
     rare = sets.select("ord", "n", F.size("grams").alias("size"), F.explode("grams").alias("g")).join(counts, "g")
     place = F.row_number().over(W.partitionBy("ord").orderBy("df", "g"))
@@ -137,16 +138,27 @@ def contiguous_parts(weights: list[int], groups: int) -> list[int]:
     n = len(weights)
     if not 0 < groups <= n:
         raise ValueError("as many groups as items at most")
-    sums = [0]
-    for w in weights:
-        sums.append(sums[-1] + w)
-    best = {(n, 0): (0, ())}
-    for g in range(1, groups + 1):
-        for i in range(n - g, -1, -1):
-            options = [(max(sums[j] - sums[i], best[j, g - 1][0]), (i, *best[j, g - 1][1])) for j in range(i + 1, n - g + 2) if (j, g - 1) in best]
-            if options:
-                best[i, g] = min(options)
-    return list(best[0, groups][1])
+
+    def fewest(start: int, most: int) -> int:
+        """How few parts of at most ``most`` hold the items from ``start``."""
+        parts, held = 0, most + 1
+        for w in weights[start:]:
+            held += w
+            if held > most:
+                parts, held = parts + 1, w
+        return parts
+
+    low, high = max(weights), sum(weights)
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if fewest(0, middle) <= groups else (middle + 1, high)
+    starts = [0]
+    for left in range(groups - 1, 0, -1):
+        at = starts[-1] + 1
+        while fewest(at, low) > left:
+            at += 1
+        starts.append(at)
+    return starts
 
 
 def spot_sample(ids: list, size: int, seed: str) -> list:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The chunk record's declared fields; others are kept in ``raw``.
-CHUNK = T.StructType.fromDDL(
+CHUNK = (
     "text STRING, metadata STRUCT<chunk_index INT, content_type STRING, content_source STRING, section_path STRING, "
     "headings ARRAY<STRING>, chapter_num INT, chapter_title STRING, case_names ARRAY<STRING>, primary_case STRING, "
     "page_start INT, page_end INT, page_range STRING, cross_references ARRAY<STRING>, context STRING, quality_score INT, "
@@ -89,8 +89,6 @@ def strict_json_error(raw: str, depth: int = 64, digits: int = 4300) -> str | No
 
 def strict_chunks(spark: SparkSession, path: str) -> DataFrame:
     """ord, line, text, metadata and error of every non-blank line; nothing is dropped."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def problem(raw: pd.Series) -> pd.Series:
         return raw.map(strict_json_error)

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from corpusmill.plans import fixtures  # noqa: F401  registers its queries
 from corpusmill.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
