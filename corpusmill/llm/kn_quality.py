@@ -170,7 +170,7 @@ def resolved(asked: DataFrame, model: Model) -> DataFrame:
     return out.select("key", F.log(p).alias("lp"))
 
 
-def perplexities(docs: DataFrame, model: Model, *, text: str = "text", shard_chars: int = 8_000_000) -> DataFrame:
+def perplexities(docs: DataFrame, model: Model, *, text: str = "text", shard_chars: int = 16_000_000) -> DataFrame:
     """``docs``, all columns and rows, with ``perplexity`` and ``n_symbols``, how many it is over."""
     names = [c for c in docs.columns if c not in ("perplexity", "n_symbols")]
     spark = docs.sparkSession
