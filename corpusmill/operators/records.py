@@ -48,15 +48,29 @@ def claim_scores(claims: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def answer_verdict(answers: DataFrame) -> DataFrame:
-    """answer_id and verdict of (answer_id, answer, known_ids): unknown_source, no_citation, uncited_paragraph or ok."""
-    bare = F.regexp_replace("answer", r"(?s)<think>.*?</think>", "")
+    """answer_id and verdict of (answer_id, answer, known_ids), the first that holds: unknown_source, insufficient, no_citation, uncited_paragraph, ok."""
+    bare = F.trim(F.regexp_replace("answer", r"(?s)<think>.*?</think>", ""))
     cited = citations(bare)
-    paragraphs = F.filter(F.split(bare, r"\n\s*\n"), lambda p: F.trim(p) != "")
-    uncited = F.exists(paragraphs, lambda p: ~p.rlike(r"\[S\d+(?:\s*,\s*S\d+)*\]"))
-    verdict = F.when(F.size(F.array_except(cited, "known_ids")) > 0, "unknown_source").when(F.size(cited) == 0, "no_citation").when(uncited, "uncited_paragraph").otherwise("ok")
+    prose = F.filter(F.split(bare, r"\n+"), lambda p: p.rlike("[A-Za-z]"))
+    uncited = F.exists(prose, lambda p: ~p.rlike(r"\[S\d+(?:\s*,\s*S\d+)*\]"))
+    withheld = F.upper(F.regexp_replace(bare, r"[. ]+$", "")) == "INSUFFICIENT_EVIDENCE"
+    verdict = F.when(F.size(F.array_except(cited, "known_ids")) > 0, "unknown_source").when(withheld, "insufficient").when(F.size(cited) == 0, "no_citation").when(uncited, "uncited_paragraph").otherwise("ok")
     return answers.select("answer_id", verdict.alias("verdict"))
 
 
+def unsupported_quotes(answers: DataFrame, sources: DataFrame, least: int = 8) -> DataFrame:
+    """answer_id and quote of quotations that no source cited in their own paragraph holds.
+
+    ``answers``: answer_id, answer; ``sources``: citation_id, excerpt.  White space and case do not matter.
+    """
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    parts = answers.select("answer_id", F.posexplode(F.split("answer", r"\n+")).alias("paragraph", "p"))
+    quotes = parts.select("answer_id", "paragraph", "p", F.explode(F.regexp_extract_all("p", F.lit('["“]([^"“”]{%d,})["”]' % least), F.lit(1))).alias("quote"))
+    cited = quotes.withColumn("citation_id", F.explode_outer(citations(F.col("p")))).join(sources, "citation_id", "left")
+    held = F.max(F.coalesce(F.contains(plain(F.col("excerpt")), plain(F.col("quote"))), F.lit(False)))
+    return cited.groupBy("answer_id", "paragraph", "quote").agg(held.alias("held")).where("not held").select("answer_id", "quote")
+
+
 def citation_edges(records: DataFrame) -> DataFrame:
     """source, target and mentions of the case names and chapter references of ``records`` (stable_id, text)."""
     found = F.concat(F.transform(X.case_names(F.col("text")), lambda x: F.concat(F.lit("case:"), X.slug(x))), F.transform(X.cross_references(F.col("text")), lambda x: F.concat(F.lit("ref:"), F.lower(x))))

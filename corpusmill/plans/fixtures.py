@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusmill.operators import corpus, records
+from corpusmill.operators import corpus, ocr, quality, records
 from corpusmill.plans.catalog import query
 from corpusmill.sources.tables import table, values
 
@@ -48,10 +49,10 @@ def claim_scores(spark, sf_dir):
     return records.claim_scores(rows.select("claim_id", "answer_unit", "abstained", entailed.alias("entailed_by")), values(spark, SOURCES, "citation_id, source_id, excerpt"))
 
 
-ANSWERS = "(1, 'Yes [S1].'), (2, 'Yes [S9].'), (3, 'Yes.'), (4, 'Yes [S1].<think>[S8]</think>'), (5, 'One [S1]. Two')"
+ANSWERS = r"(1, 'Yes [S1].'), (2, 'Yes [S9].'), (3, 'Yes.'), (4, 'Yes [S1].<think>[S8]</think>'), (5, 'One [S1].\n\nTwo'), (6, 'Insufficient_evidence.')"
 
 
-@query("SELECT * FROM (VALUES (1, 'ok'), (2, 'unknown_source'), (3, 'no_citation'), (4, 'ok'), (5, 'ok')) AS v(answer_id, verdict)")
+@query("SELECT * FROM (VALUES (1, 'ok'), (2, 'unknown_source'), (3, 'no_citation'), (4, 'ok'), (5, 'uncited_paragraph'), (6, 'insufficient')) AS v(answer_id, verdict)")
 def answer_verdicts(spark, sf_dir):
     return records.answer_verdict(values(spark, ANSWERS, "answer_id, answer").withColumn("known_ids", F.array(F.lit("S1"), F.lit("S2"))))
 
@@ -106,6 +107,44 @@ def manifest_mismatch(spark, sf_dir):
     return records.manifest_mismatch(held, {"backend": "local", "embedding_model": "m", "embedding_dimension": 64}).select("id", "mismatch")
 
 
+QUOTES = r"""(1, 'He said "the court  HELD" [S1].'), (2, 'So "the court held" [S2].\n"and so on" [S2]'), (3, 'It "never was said" so')"""
+
+
+@query("SELECT * FROM (VALUES (2, 'the court held'), (3, 'never was said')) AS v(answer_id, quote)")
+def unsupported_quotes(spark, sf_dir):
+    return records.unsupported_quotes(values(spark, QUOTES, "answer_id, answer"), values(spark, SOURCES, "citation_id, source_id, excerpt").drop("source_id"))
+
+
+CHECKS = "(1, 'a [x] b', 'a [', '] b', 'x'), (2, 'a [y] b', 'a [', '] b', 'x'), (3, 'a [x] b', 'zz', '', 'x'), (4, 'aXaXa', 'aXa', '', ''), (5, NULL, 'a', 'b', 'x'), (6, '  ', 'a', 'b', 'x'), (7, 'b mid a', 'a', 'b', ''), (8, 'pre fix', '', ' fix', 'pre')"
+
+
+@query("SELECT * FROM (VALUES (1, 'passed', 'exact_occurrence_match'), (2, 'failed', 'occurrence_differs'), (3, 'abstained', 'anchor_missing'), (4, 'abstained', 'anchor_repeated'), (5, 'abstained', 'not_available'), (6, 'failed', 'empty_candidate_context'), (7, 'abstained', 'anchor_order_changed'), (8, 'passed', 'exact_occurrence_match')) AS v(check_id, status, reason)")
+def context_checks(spark, sf_dir):
+    return ocr.context_checks(values(spark, CHECKS, "check_id, text, left_anchor, right_anchor, expected")).select("check_id", "status", "reason")
+
+
+MARKS = "('d', 'a', 1, 'page_footer', 11, 'bottom', 0.05D), ('d', 'b', 2, 'page_footer', 12, 'bottom', 0.05D), ('d', 'c', 3, 'page_footer', 13, 'bottom', 0.06D), ('d', 'e', 4, 'page_footer', 99, 'bottom', 0.05D), ('d', 'f', 5, 'text', 15, 'bottom', 0.055D), ('d', 'g', 6, 'text', 16, 'top', 0.05D), ('d', 'h', 7, 'text', 27, 'bottom', 0.05D), ('d', 'i', 8, 'text', 18, 'bottom', 0.2D)"
+
+
+@query("SELECT 'd' AS doc, 'f' AS ref")
+def page_number_furniture(spark, sf_dir):
+    return ocr.page_number_furniture(values(spark, MARKS, "doc, ref, page, label, printed, edge, ratio"))
+
+
+@query("""
+WITH r AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, n_chars // 100 AS page, last_value(n_chars // 100) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM documents),
+o AS (SELECT count(*) FILTER (coalesce(trim(text), '') = '') AS a, count(*) FILTER (page < before) AS b, count(text) - count(DISTINCT lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS c FROM r)
+SELECT name, observed, CASE WHEN observed = 0 THEN 'pass' WHEN name = 'canonical_text_duplicates' THEN 'warning' ELSE 'fail' END AS status FROM (
+  SELECT 'empty_text' AS name, a AS observed FROM o UNION ALL SELECT 'page_regressions', b FROM o UNION ALL SELECT 'canonical_text_duplicates', c FROM o
+  UNION ALL SELECT unnest(['unknown_content_type', 'duplicate_stable_ids', 'missing_stable_ids', 'chunk_index_gaps', 'page_range_reversed']), 0)""")
+def record_checks(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    page = F.floor(F.col("n_chars") / 100)
+    index = F.row_number().over(W.partitionBy("source").orderBy("doc_id")) - 1
+    own = docs.select("source", F.col("doc_id").alias("ord"), index.alias("chunk_index"), F.col("doc_id").alias("stable_id"), "text", F.lit("author_narrative").alias("content_type"), page.alias("page_start"), page.alias("page_end"))
+    return quality.record_checks(own)
+
+
 @query()
 def lexical_tokens(spark, sf_dir):
     from corpusmill.functions import udfs

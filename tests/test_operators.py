@@ -180,3 +180,41 @@ def test_index_merge(spark, tmp_path):
     merge(batch([(1, "a", 1), (1, "b", 2), (2, "c", 1)]), 0)
     merge(batch([(2, "d", 2), (3, "e", 1)]), 1)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "index/v1")).collect())) == [(1, "b"), (2, "d"), (3, "e")]
+
+
+def test_identity():
+    import hashlib
+
+    from corpusmill.functions import identity
+
+    record = {"text": "é", "metadata": {"chunk_index": 3, "page_start": 1, "page_end": 2, "page_range": "1-2", "source_file": "f", "source_items": [{"ref": "#b"}, {"ref": "#a"}, {"ref": "#a"}, {}]}}
+    want = '{"page_end":2,"page_range":"1-2","page_start":1,"source_file":"f","source_refs":["#a","#b"],"text":"é"}'
+    assert identity.stable_id(record) == "chunk_" + hashlib.sha256(want.encode()).hexdigest()[:16]
+    moved = {"text": "é", "metadata": record["metadata"] | {"chunk_index": 9}}
+    assert identity.content_hash(moved) == identity.content_hash(record)
+    bound = {"text": "é", "metadata": record["metadata"] | {"stable_id_source": {"name": "n", "size": 1, "sha256": "0" * 64}}}
+    assert identity.stable_id(bound) == identity.stable_id(bound | {"metadata": bound["metadata"] | {"source_file": "g", "page_range": "x"}}) != identity.stable_id(record)
+    for bad in ({"name": "a/b", "size": 1, "sha256": "0" * 64}, {"name": "a", "size": True, "sha256": "0" * 64}, {"name": "a", "size": 1, "sha256": "X"}):
+        try:
+            identity.stable_id({"text": "", "metadata": {"stable_id_source": bad}})
+        except ValueError:
+            continue
+        raise AssertionError(bad)
+
+
+def test_ordinals():
+    from corpusmill.functions.identity import ordinal
+
+    assert [ordinal(x) for x in ("7", "007", "XIV", "iv", "IIII", "Twenty  One", "thirty-nine", "fifty", "fifty-one", "51", "0", "", None, "x1")] == [7, 7, 14, 4, None, 21, 39, 50, None, None, None, None, None, None]
+    assert ordinal("IV", ("arabic",)) is None
+
+
+def test_receipt_and_outcomes(spark):
+    from corpusmill.operators import ocr, quality
+
+    gates = spark.createDataFrame([("b", "1", True), ("a", "2", True)], "gate string, evidence_sha256 string, passed boolean")
+    one, two = quality.receipt(gates).first(), quality.receipt(gates.orderBy("gate")).first()
+    assert one == two and one.complete and quality.receipt(gates.withColumn("passed", F.col("gate") == "a")).first().root != one.root
+    a = spark.createDataFrame([(1, 3, 3), (2, 3, 3), (3, 3, 3), (4, 3, 3)], "id int, x int, y int")
+    b = spark.createDataFrame([(1, 3, 3), (2, 2, 3), (3, 3, 4), (4, 2, 4)], "id int, x int, y int")
+    assert [r.outcome for r in ocr.paired_outcomes(a, b, ["x", "y"]).orderBy("id").collect()] == ["unchanged", "improved", "regressed", "mixed"]
