@@ -80,6 +80,7 @@ def build(source: str) -> Node:
     """The tree of a page."""
     root = Node("#root")
     stack, at, end = [root], 0, len(source)
+    last = source.rfind(">")
 
     def close(names: frozenset[str], bounds: frozenset[str]) -> None:
         """Ends the outermost open element of ``names`` above the nearest of ``bounds``."""
@@ -93,12 +94,18 @@ def build(source: str) -> Node:
             del stack[found:]
 
     while at < end:
-        m = TAG.search(source, at)
-        if m is None:
-            stack[-1].children.append(source[at:])
+        opens = source.find("<", at)
+        if opens < 0 or last < opens:  # no tag ends any more; an open comment hides the rest
+            comment = source.find("<!--", at)
+            stack[-1].children.append(source[at:] if comment < 0 else source[at:comment])
             break
-        if m.start() > at:
-            stack[-1].children.append(source[at : m.start()])
+        m = TAG.match(source, opens)
+        if m is None:
+            stack[-1].children.append(source[at : opens + 1])
+            at = opens + 1
+            continue
+        if opens > at:
+            stack[-1].children.append(source[at:opens])
         at = m.end()
         if m[2] is None:
             continue
