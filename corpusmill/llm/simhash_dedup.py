@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import cut
 
 SEED = 42
-SAMPLE = 8192
+SAMPLE, MOST_SAMPLED = 8192, 1 << 18
 LEAF = 512
 
 
@@ -192,10 +192,9 @@ def link_forest(distinct: DataFrame, radius: int = 2, sample: int = SAMPLE, shar
     """Edges (a, b) between distinct fingerprints ``fp`` that join exactly those linked directly or by others."""
     import numpy as np
 
-    n = distinct.count()
-    picked = distinct.orderBy(F.xxhash64("fp")).limit(sample)
+    shards = -(-distinct.count() // shard_rows)
+    picked = distinct.orderBy(F.xxhash64("fp")).limit(min(MOST_SAMPLED, max(sample, 16 * shards)))
     points = np.array([r[0] for r in picked.collect()], np.int64).view(np.uint64)
-    shards = -(-n // shard_rows)
     flat, count = numbered(grow_tree(points, max(8, len(points) // shards), depth=24) if shards > 1 and len(points) > 16 else None)
     spark = distinct.sparkSession
     sent = spark.sparkContext.broadcast(flat)
