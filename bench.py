@@ -9,7 +9,7 @@ import time
 from corpusmill.plans import catalog
 from corpusmill.session import session
 
-HEADLINE = ["bm25_offline_topk", "bm25_okapi_topk", "rrf_fusion", "ndcg_map_mrr", "vector_topk_cosine", "exact_dup_groups", "content_type_classify", "token_hash_vector", "contamination_join", "snapshot_diff", "session_windows", "family_collapse", "quality_checks", "near_dup_kept"]
+HEADLINE = ["bm25_offline_topk", "bm25_okapi_topk", "rrf_fusion", "ndcg_map_mrr", "vector_topk_cosine", "exact_dup_groups", "content_type_classify", "token_hash_vector", "contamination_join", "snapshot_diff", "session_windows", "family_collapse", "quality_checks"]
 
 
 def main() -> None:
