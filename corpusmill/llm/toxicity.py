@@ -119,7 +119,7 @@ def fit(rows: list, *, rounds: int = 400, penalty: float = 1e-4, most: int = 150
     for step in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip((x @ w.astype(np.float32))[:, None] - cuts, -30, 30)))
         slope = (p - above) * weigh
-        grad = np.concatenate([x.T @ slope.sum(axis=1) + penalty * w, -slope.sum(axis=0)])
+        grad = np.concatenate([x.T @ slope.sum(axis=1).astype(np.float32) + penalty * w, -slope.sum(axis=0)])
         state[0] = 0.9 * state[0] + 0.1 * grad
         state[1] = 0.999 * state[1] + 0.001 * grad**2
         move = 0.05 * (state[0] / (1 - 0.9**step)) / (np.sqrt(state[1] / (1 - 0.999**step)) + 1e-9)
