@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,15 @@ def portions(batches, column: int, limit: int = 4_000_000):
             at = to
 
 
+_memos: weakref.WeakSet = weakref.WeakSet()
+
+
+def forget_memos() -> None:
+    """Empties the memos that a reused Python worker still holds from an earlier operator."""
+    for memo in list(_memos):
+        memo.young, memo.old = {}, {}
+
+
 class ChunkMemo:
     """A memo of chunk -> encoded bytes, bounded by two generations of ``size`` entries.
 
@@ -65,6 +75,7 @@ class ChunkMemo:
         self.solve, self.size = solve, size
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        _memos.add(self)
 
     def encode(self, chunks: list[bytes]) -> bytes:
         found = list(map(self.young.get, chunks))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import cut
+from corpusmill.llm.common import cut, forget_memos
 
 ORDER = 4
 BOS, EOS = 0xFFFE, 0xFFFF
@@ -184,6 +184,8 @@ def perplexities(docs: DataFrame, model: Model, *, text: str = "text", shard_cha
         import numpy as np
         import pyarrow as pa
 
+        forget_memos()
+
         held: dict[int, list] = {}
         for batch in batches:
             for shard, t in zip(batch.column(at_shard).to_pylist(), batch.column(at_text)):

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut
+from corpusmill.llm.common import cut, forget_memos
 
 WORD = re.compile(r"[^\W_]+")
 #: Longest word part that is looked at whole; longer words are seen through the n-grams of all their parts.
@@ -66,7 +66,7 @@ class OrdinalModel:
 class Scorer:
     """Scores texts; scores of words are remembered in two bounded generations."""
 
-    def __init__(self, model: OrdinalModel, size: int = 300_000):
+    def __init__(self, model: OrdinalModel, size: int = 100_000):
         self.model, self.size, self.young, self.old = model, size, {}, {}
 
     def score(self, text: str | None) -> float:
@@ -175,6 +175,7 @@ def with_severity(docs: DataFrame, model: OrdinalModel, text: str = "text") -> D
 
     @F.pandas_udf("double")
     def severity(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget_memos()
         scorer = Scorer(sent.value)
         for texts in parts:
             yield pd.Series([sent.value.severity(scorer.score(t)) if t else 0.0 for t in texts], dtype="float64")
