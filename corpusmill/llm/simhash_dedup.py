@@ -259,12 +259,18 @@ def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     return groups.join(names, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(keyed: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of ``keyed`` (with doc_id and __h) for each root of ``groups`` (doc_id, __h, root): the least doc_id, then the least __h."""
+    named = keyed.withColumn("__none", F.col("doc_id").isNull()).withColumn("__id", F.coalesce("doc_id", F.lit(0)))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("__h").alias("h"))).alias("s")
+    staying = groups.groupBy("root").agg(first).select(F.col("s.none").alias("__none"), F.col("s.id").alias("__id"), F.col("s.h").alias("__h"))
+    # the same keys in both, so that the texts are dealt once
+    return named.join(staying, ["__none", "__id", "__h"], "left_semi").dropDuplicates(["__none", "__id", "__h"])
+
+
 def deduplicated(docs: DataFrame, radius: int = 2) -> DataFrame:
     """One row of each component: the one with the least doc_id (then the least text hash)."""
     names = docs.columns
     keyed = docs.withColumn("__h", F.xxhash64("text"))
     groups = near_groups(keyed, radius, keep=("doc_id", "__h"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__h").alias("h"))).alias("s")
-    staying = groups.groupBy("root").agg(first).select(F.col("s.id").alias("__id"), F.col("s.h").alias("__sh"))
-    found = keyed.join(staying, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__sh")), "left_semi")
-    return found.dropDuplicates(["doc_id", "__h"]).select(*names)
+    return one_of_each(keyed, groups).select(*names)

@@ -248,3 +248,39 @@ def test_pipeline(spark, sf_dir):
     assert sorted(r.doc_id for r in final.collect()) == sorted(r.doc_id for r in held.collect())
     groups = simhash_dedup.near_duplicates(docs).groupBy("component_id").count().where("count > 1")
     assert groups.count() > 0
+
+
+def brute_survivors(rows):
+    """Row indices left when one row (least doc_id) stays of each component at 5-word Jaccard >= 0.8."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").split()
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    return sorted(min(rows[i][0] for i in range(len(rows)) if root[i] == r) for r in set(root))
+
+
+def test_near_copies_are_those_of_brute_force(spark, sf_dir):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(9)
+    line = [f"c{i}" for i in range(12)]
+    texts = [None, "", " ", "one two", "one two", "one three"]
+    for _ in range(25):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([6, 40, 200, 400]))] + line
+        for _ in range(rng.choice([1, 3, 8])):
+            for _ in range(rng.choice([0, 1, 2, 5])):
+                words[rng.randrange(len(words))] = f"x{rng.randrange(5000)}"
+            texts.append(" ".join(words))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_survivors(rows)
+    assert len(want) < len(rows) - 20
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()) == want
+    assert sorted(r.doc_id for r in simhash_dedup.deduplicated(docs).collect()) != want
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), sf_dir).count() == 0
