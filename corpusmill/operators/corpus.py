@@ -38,23 +38,22 @@ def similar_pairs(records: DataFrame, threshold: float = 0.95, length_gap: float
     return both.select("ord_a", "ord_b", (shared / (F.size("grams_a") + F.size("grams_b") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def first_kept(records: DataFrame, threshold: float = 0.95, rounds: int = 50) -> DataFrame:
+def first_kept(records: DataFrame, threshold: float = 0.95) -> DataFrame:
     """ord and kept: in order, a record goes if it is a near copy of a kept earlier one.
 
     Records of equal fingerprint follow their first one.  The rest is the lexicographically first maximal
-    independent set: each round decides all records whose earlier neighbours are decided.
+    independent set: each round decides all records whose earlier neighbours are decided, the first open one
+    at least, until none is open.
     """
     prints = records.select("ord", X.fingerprint(F.col("text")).alias("fp"))
     reps = prints.where(F.length("fp") >= 3).groupBy("fp").agg(F.min("ord").alias("rep"))
     pairs = similar_pairs(records, threshold).select("ord_a", "ord_b").checkpoint()
     state = pairs.select(F.col("ord_a").alias("ord")).union(pairs.select("ord_b")).distinct().withColumn("kept", F.lit(None).cast("boolean"))
-    for _ in range(rounds):
+    while state.where("kept is null").limit(1).count():
         open_rows = state.where("kept is null")
         earlier = pairs.join(state.select(F.col("ord").alias("ord_a"), F.col("kept").alias("k")), "ord_a").groupBy(F.col("ord_b").alias("ord")).agg(F.max(F.coalesce("k", F.lit(False))).alias("any"), F.max(F.col("k").isNull()).alias("waiting"))
         decided = open_rows.join(earlier, "ord", "left").select("ord", F.when(F.coalesce("any", F.lit(False)), False).when(~F.coalesce("waiting", F.lit(False)), True).alias("kept"))
         state = state.where("kept is not null").unionByName(decided).checkpoint()
-        if not state.where("kept is null").limit(1).count():
-            break
     gone = state.where("not kept").select(F.col("ord").alias("rep"), F.lit(True).alias("gone"))
     joined = prints.join(reps, "fp", "left").join(gone, "rep", "left")
     same = F.col("rep").isNotNull() & (F.col("rep") < F.col("ord"))

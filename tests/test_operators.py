@@ -218,3 +218,11 @@ def test_receipt_and_outcomes(spark):
     a = spark.createDataFrame([(1, 3, 3), (2, 3, 3), (3, 3, 3), (4, 3, 3)], "id int, x int, y int")
     b = spark.createDataFrame([(1, 3, 3), (2, 2, 3), (3, 3, 4), (4, 2, 4)], "id int, x int, y int")
     assert [r.outcome for r in ocr.paired_outcomes(a, b, ["x", "y"]).orderBy("id").collect()] == ["unchanged", "improved", "regressed", "mixed"]
+
+
+def test_first_kept_decides_long_chains(spark):
+    rng = random.Random(5)
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(440))
+    rows = [(i, line[4 * i : 4 * i + 200]) for i in range(60)]
+    got = corpus.first_kept(spark.createDataFrame(rows, "ord int, text string"))
+    assert sorted(r.ord for r in got.where("kept").collect()) == list(range(0, 60, 2))
