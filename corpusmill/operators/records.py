@@ -77,13 +77,17 @@ def citation_edges(records: DataFrame) -> DataFrame:
     return records.select(F.col("stable_id").alias("source"), F.explode(found).alias("target")).groupBy("source", "target").agg(F.count("*").alias("mentions"))
 
 
-def tree_paths(entries: DataFrame, depth: int = 12) -> DataFrame:
-    """node, level and path (titles from the root, joined by `` > ``) of a (node, parent, title) forest."""
-    level = entries.where("parent is null").select("node", F.lit(0).alias("level"), F.col("title").alias("path"))
-    every = level
-    for i in range(1, depth):
-        level = entries.join(level.select(F.col("node").alias("parent"), F.col("path").alias("above")), "parent").select("node", F.lit(i).alias("level"), F.concat_ws(" > ", "above", "title").alias("path"))
+def tree_paths(entries: DataFrame) -> DataFrame:
+    """node, level and path (titles from the root, joined by `` > ``) of a (node, parent, title) forest of any depth; a cycle below a root is an error."""
+    level = entries.where("parent is null").select("node", F.lit(0).alias("level"), F.col("title").alias("path")).checkpoint()
+    every, most = level, entries.count()
+    for i in range(1, most + 1):
+        level = entries.join(level.select(F.col("node").alias("parent"), F.col("path").alias("above")), "parent").select("node", F.lit(i).alias("level"), F.concat_ws(" > ", "above", "title").alias("path")).checkpoint()
+        if level.isEmpty():
+            return every
         every = every.unionByName(level)
+    if most:
+        raise ValueError("the entries have a cycle")
     return every
 
 

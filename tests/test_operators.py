@@ -5,11 +5,12 @@ import math
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.functions import constants as C
 from corpusmill.functions import udfs
-from corpusmill.operators import corpus, evaluation, retrieval
+from corpusmill.operators import corpus, evaluation, records, retrieval
 from corpusmill.sources import jsonl
 from corpusmill.streaming import events
 
@@ -226,3 +227,11 @@ def test_first_kept_decides_long_chains(spark):
     rows = [(i, line[4 * i : 4 * i + 200]) for i in range(60)]
     got = corpus.first_kept(spark.createDataFrame(rows, "ord int, text string"))
     assert sorted(r.ord for r in got.where("kept").collect()) == list(range(0, 60, 2))
+
+
+def test_tree_paths_reach_every_level(spark):
+    rows = [(i, i - 1 if i else None, f"t{i}") for i in range(20)]
+    got = records.tree_paths(spark.createDataFrame(rows, "node int, parent int, title string")).collect()
+    assert sorted((r.node, r.level, r.path) for r in got) == [(i, i, " > ".join(f"t{k}" for k in range(i + 1))) for i in range(20)]
+    with pytest.raises(ValueError):
+        records.tree_paths(spark.createDataFrame([*rows, (0, 19, "again")], "node int, parent int, title string"))
