@@ -18,6 +18,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -35,6 +37,17 @@ def written(df: DataFrame, label: str) -> str:
     return path
 
 
+def reread(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written below the shared folder and read again; smaller there than a checkpoint."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, label))
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that ``written`` made."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

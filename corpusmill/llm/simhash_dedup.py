@@ -222,12 +222,19 @@ def link_forest(distinct: DataFrame, radius: int = 2, sample: int = SAMPLE, shar
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges of a component search that one task holds; beyond, the steps are distributed.
+EDGES_AT_ONCE = 1_000_000
+
+
+def components(edges: DataFrame, at_once: int = EDGES_AT_ONCE) -> DataFrame:
     """(node, root) of every node of ``edges`` (a, b), the root being the component's least node.
 
-    Alternating large-star and small-star; every round is aggregates and joins, cut off in the shared folder.
+    Each partition first replaces its edges by a spanning forest.  While more than ``at_once`` edges are left, alternating
+    large-star and small-star steps follow, aggregates and joins cut off in the shared folder; the rest is one task's.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = cut(edges.mapInArrow(spanning, "a long, b long").distinct())
+    if edges.count() <= at_once:
+        return cut(edges.coalesce(1).mapInArrow(spanning, "a long, b long")).select(F.col("a").alias("node"), F.col("b").alias("root"))
     state = None
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -244,33 +251,90 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_groups(docs: DataFrame, radius: int = 2, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns, fp and ``root`` (one fingerprint that names the component) of every row."""
+def spanning(batches):
+    """Edges (node, least node of its component) of the nodes of all the batches' edges (a, b), taken in portions."""
+    import numpy as np
+    import pyarrow as pa
+
+    nodes, roots = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def merged(parts):
+        a, b = (np.concatenate(x) for x in zip((nodes, roots), *parts))
+        ids, where = np.unique(np.concatenate([a, b]), return_inverse=True)
+        a, b = where[: len(a)], where[len(a) :]
+        root = np.arange(len(ids))
+        while True:  # the least root of either side, then shortcuts, until nothing moves
+            low = np.minimum(root[a], root[b])
+            before = root.copy()
+            for side in (root[a], root[b], a, b):
+                np.minimum.at(root, side, low)
+            while not np.array_equal(short := root[root], root):
+                root = short
+            if np.array_equal(before, root):
+                return ids, ids[root]
+
+    parts, held = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            parts.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+            held += batch.num_rows
+            if held > 500_000:
+                nodes, roots = merged(parts)
+                parts, held = [], 0
+    if parts:
+        nodes, roots = merged(parts)
+    moved = nodes != roots
+    for at in range(0, len(nodes), 100_000):
+        keep = moved[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[at : at + 100_000][keep]), pa.array(roots[at : at + 100_000][keep])], names=["a", "b"])
+
+
+def near_prints(docs: DataFrame, radius: int = 2, keep: tuple[str, ...] = ("doc_id",)) -> tuple[DataFrame, DataFrame]:
+    """The kept columns and fp of every row, and (fp, root) of the fingerprints that are linked to others."""
     prints = cut(with_fingerprints(docs, keep=keep))
-    distinct = prints.select("fp").distinct()
-    roots = components(link_forest(cut(distinct), radius))
-    return prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(*keep, "fp", F.coalesce("root", "fp").alias("root"))
+    roots = components(link_forest(cut(prints.select("fp").distinct()), radius))
+    return prints, roots.withColumnRenamed("node", "fp")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``."""
-    groups = near_groups(docs.select("doc_id", "text"), radius)
-    names = groups.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return groups.join(names, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``.
 
-
-def one_of_each(keyed: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of ``keyed`` (with doc_id and __h) for each root of ``groups`` (doc_id, __h, root): the least doc_id, then the least __h."""
-    named = keyed.withColumn("__none", F.col("doc_id").isNull()).withColumn("__id", F.coalesce("doc_id", F.lit(0)))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("__h").alias("h"))).alias("s")
-    staying = groups.groupBy("root").agg(first).select(F.col("s.none").alias("__none"), F.col("s.id").alias("__id"), F.col("s.h").alias("__h"))
+    Components are named over distinct fingerprints, so that no task gathers the rows of one component.
+    """
+    prints, roots = near_prints(docs.select("doc_id", "text"), radius)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = cut(least)
+    names = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    # a component is named after its root, which may be any of many fingerprints
+    named = least.select("fp", "root").join(names, "root").select("fp", "component_id")
+    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def hashable(docs: DataFrame) -> DataFrame:
+    """``docs`` as ``row``, with text, whether doc_id is null, doc_id (0 for null) and hashes of the text and of the row."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        "text",
+        F.col("doc_id").isNull().alias("__none"),
+        F.coalesce("doc_id", F.lit(0)).cast("long").alias("__id"),
+        F.xxhash64("text").alias("__h"),
+        F.xxhash64(*plain).alias("__r"),
+    )
+
+
+def one_of_each(keyed: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (see hashable) that are the least of a root of ``firsts`` (root, s: none, id, h, r), each once."""
+    names = ["__none", "__id", "__h", "__r"]
+    staying = firsts.groupBy("root").agg(F.min("s").alias("s")).select(*[F.col(f"s.{n[2:]}").alias(n) for n in names])
     # the same keys in both, so that the texts are dealt once
-    return named.join(staying, ["__none", "__id", "__h"], "left_semi").dropDuplicates(["__none", "__id", "__h"])
+    return keyed.select("row", *names).join(staying, names, "left_semi").dropDuplicates(names).select("row.*")
 
 
 def deduplicated(docs: DataFrame, radius: int = 2) -> DataFrame:
-    """One row of each component: the one with the least doc_id (then the least text hash)."""
-    names = docs.columns
-    keyed = docs.withColumn("__h", F.xxhash64("text"))
-    groups = near_groups(keyed, radius, keep=("doc_id", "__h"))
-    return one_of_each(keyed, groups).select(*names)
+    """One row of each component: the one with the least doc_id (then the least text hash, then the least row hash)."""
+    keyed = hashable(docs)
+    prints, roots = near_prints(keyed, radius, keep=("__none", "__id", "__h", "__r"))
+    one = F.struct(F.col("__none").alias("none"), F.col("__id").alias("id"), F.col("__h").alias("h"), F.col("__r").alias("r"))
+    firsts = prints.groupBy("fp").agg(F.min(one).alias("s")).join(roots, "fp", "left").select(F.coalesce("root", "fp").alias("root"), "s")
+    return one_of_each(keyed, firsts)
