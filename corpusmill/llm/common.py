@@ -6,7 +6,8 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +53,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def set_aside(df: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with all columns but the ``used`` ones under names of our own, and the columns that name them back, in order."""
+    names = {c: c if c in used else f"__own{i}" for i, c in enumerate(df.columns)}
+    return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
+
+
 def portions(batches, column: int, limit: int = 4_000_000):
     """Slices of Arrow batches with about ``limit`` bytes of the string column each, so that a task holds little at once."""
     import numpy as np

@@ -10,23 +10,30 @@ Words are runs of characters other than U+0000-2F, 3A-60 and 7B-7F once A-Z are
 in UTF-8 these are the bytes 0-9, a-z and 80-FF.  An occurrence of a window is made of words
 that items hold, so runs of such words shorter than every window need not be streamed.
 
-Items go to the tasks in groups of at most ``group_words`` words (the proven bound of what one
-task holds and one broadcast sends); documents pass through one automaton after another, and
-their spans are united.
+Items go to the tasks in groups of at most ``group_words`` words (one larger item stands alone), each
+sent as its words' bytes and built into an automaton there: 100,000 random words take about 85 MB
+in a Python worker.  The driver holds one group at a time.  Documents pass through one automaton
+after another, and their spans are united.
 
 Defined results: null texts and texts without words have no words and no hits; items without
 words match nothing; items with a null id hit words but are not named; an id given twice is
 one item; repeated documents each give their own row; empty tables give empty results or no hits.
+``decontaminate`` keeps columns of any name; it cuts once, and words that meet where a span was cut
+may in principle make a new window.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.llm.common import set_aside
+
 KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 #: Upper case to lower case, other bytes outside words to a space.
 FOLD = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c in KEPT else 0x20 for c in range(256))
@@ -167,63 +174,67 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def item_groups(benchmark: DataFrame, group_words: int) -> list[list[tuple[object, list[bytes]]]]:
-    """Items in groups of at most ``group_words`` words (one larger item stands alone), read one after another."""
-    groups, held = [[]], 0
-    for item_id, text in benchmark.select("item_id", "text").toLocalIterator():
+GROUP_WORDS = 100_000
+
+
+def item_groups(benchmark: DataFrame, group_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
+    """(id, words joined by spaces) of the items in groups of at most ``group_words`` words, read one after another; one group at least."""
+    group, held, some = [], 0, False
+    for item_id, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
         words = words_of(text)
         if words:
-            if groups[-1] and held + len(words) > group_words:
-                groups.append([])
-                held = 0
-            groups[-1].append((item_id, words))
+            if group and held + len(words) > group_words:
+                yield group
+                group, held, some = [], 0, True
+            group.append((item_id, b" ".join(words)))
             held += len(words)
-    return groups
+    if group or not some:
+        yield group
 
 
-def match_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = 10, group_words: int = 2_000_000) -> DataFrame:
+def match_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = 10, group_words: int = GROUP_WORDS, cut: bool = False) -> DataFrame:
     """``docs`` with n_words, spans (array of start, end in words, disjoint, ascending) and items (distinct ids as strings).
 
-    Columns of these names are replaced; the others are kept as they are.
+    Columns of these names are replaced; the others are kept as they are, but with ``cut`` the spans are cut out of the text.
     """
     spark = docs.sparkSession
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
     added = [T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("items", T.ArrayType(T.StringType()))]
     names = {f.name for f in added}
-    kept = docs.select(*[c for c in docs.columns if c not in names])
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names])
     kept_names, added_names = kept.columns, [f.name for f in added]
     at = kept_names.index(text)
-    first = True
-    for group in item_groups(benchmark, group_words):
-        sent = spark.sparkContext.broadcast(group)
-
-        def run(batches, sent=sent, first=first):
-            import pyarrow as pa
-
-            automaton = SuffixAutomaton(sent.value, window)
-            ids = [None if i is None else str(i) for i, _ in sent.value]
+    types = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
+    groups = item_groups(benchmark, group_words)
+    out, group, first = kept, next(groups), True
+    while group is not None:
+        coming = next(groups, None)
+
+        def run(batches, sent=spark.sparkContext.broadcast(group), first=first, cutting=cut and coming is None):
+            automaton = SuffixAutomaton([(i, w.split()) for i, w in sent.value], window)
+            ids = [i for i, _ in sent.value]
             for batch in batches:
                 before = [[]] * batch.num_rows if first else batch.column(batch.num_columns - 2).to_pylist()
                 named = [[]] * batch.num_rows if first else batch.column(batch.num_columns - 1).to_pylist()
-                counts, spans, items = [], [], []
+                counts, spans, items, texts = [], [], [], []
                 for t, old, old_names in zip(batch.column(at), before, named):
-                    words = words_of(t.as_py())
+                    t = t.as_py()
+                    words = words_of(t)
                     found, held = automaton.scan(words)
                     counts.append(len(words))
-                    if found:
-                        spans.append([{"start": s, "end": e} for s, e in united(found + [(x["start"], x["end"]) for x in old])])
-                        items.append(sorted({ids[k] for k in held if ids[k] is not None} | set(old_names)))
-                    else:
-                        spans.append(old)
-                        items.append(old_names)
-                columns = batch.columns if first else batch.columns[:-3]
-                types = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
+                    own = united(found + [(x["start"], x["end"]) for x in old])
+                    spans.append([{"start": s, "end": e} for s, e in own])
+                    items.append(sorted({ids[k] for k in held if ids[k] is not None} | set(old_names)))
+                    if cutting:
+                        texts.append(remove_spans(t, own) if own else t)
+                columns = list(batch.columns if first else batch.columns[:-3])
+                if cutting:
+                    columns[at] = pa.array(texts, columns[at].type)
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v, t) for v, t in zip((counts, spans, items), types))], names=[*kept_names, *added_names])
 
-        schema = T.StructType([*kept.schema.fields, *added])
-        docs = (kept if first else docs).mapInArrow(run, schema)
-        first = False
-    return docs
+        out = out.mapInArrow(run, T.StructType([*kept.schema.fields, *added]))
+        group, first = coming, False
+    return out
 
 
 def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -238,32 +249,27 @@ def remove_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return (b"".join(out) + rest.lstrip(b" ")).decode("utf-8").strip(" ")
 
 
+def hit_words() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
-    """``docs`` (their own columns) with matched spans cut out of text and n_chars following it.
+    """``docs`` (their own columns) with matched spans cut out of text and n_chars following it, in one pass.
 
     A document of which more than ``max_coverage`` of the words are hit goes altogether.
     """
-    names = docs.columns
-    matched = match_spans(docs, benchmark, window=window)
-
-    @F.pandas_udf("string")
-    def cut_text(texts, spans):
-        return texts.combine(spans, lambda t, s: remove_spans(t, [(x["start"], x["end"]) for x in s]))
-
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    staying = matched.where(hit <= F.col("n_words") * max_coverage)
-    clean = staying.where(F.size("spans") == 0)
-    cleaned = staying.where(F.size("spans") > 0).withColumn("text", cut_text("text", "spans"))
-    if "n_chars" in names:
-        kind = dict(docs.dtypes)["n_chars"]
-        cleaned = cleaned.withColumn("n_chars", F.length("text").cast(kind))
-    return clean.unionByName(cleaned).select(*names)
+    plain, own = set_aside(docs, ("text", "n_chars"))
+    staying = match_spans(plain, benchmark, window=window, cut=True).where(hit_words() <= F.col("n_words") * max_coverage)
+    if "n_chars" in docs.columns:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        staying = staying.withColumn("n_chars", F.when(F.size("spans") > 0, length).otherwise(F.col("n_chars")))
+    return staying.select(*own)
 
 
 def contamination_digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated of every row of ``docs``."""
     found = match_spans(docs.select("doc_id", "text"), benchmark)
-    hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    hit = hit_words()
     return found.select(
         "doc_id",
         "n_words",

@@ -3,7 +3,7 @@
 The builder opens and closes what HTML leaves out: a paragraph ends at the next block, list items,
 table cells, rows and options end at their next one, an end tag closes what stands open inside it,
 and unknown end tags are passed over.  Scripts, styles, templates, the head and its title, elements with
-``hidden`` or ``aria-hidden="true"``, hidden inputs and inline ``display:none`` or
+``hidden``, hidden inputs and inline ``display:none`` or
 ``visibility:hidden`` are not visible.  Everything else is: navigation and footers too.
 
 Layout: white space runs count as one space outside ``pre``; blocks start on lines of their own,
@@ -19,6 +19,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,8 @@ UNSEEN = frozenset("head script style template title noscript datalist iframe no
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure".split())
 CELLS = frozenset(("td", "th"))
+#: Types of input whose value is shown as text; none stands for text.
+SHOWN_INPUTS = frozenset(("", "text", "search", "email", "url", "tel", "number", "submit", "button", "reset"))
 ROW_GROUPS = frozenset(("thead", "tbody", "tfoot"))
 #: An opening tag ends the open elements named first, as far down as the ones named second.
 IMPLIED = {
@@ -50,6 +54,11 @@ IMPLIED = {
     "body": (frozenset(("head",)), frozenset(("html",))),
     **dict.fromkeys(ROW_GROUPS, (ROW_GROUPS | {"tr", "td", "th", "caption"}, frozenset(("table",)))),
 }
+#: Items and cells nested deeper are not indented or aligned any further, but stand on lines of their own.
+DEEPEST = 32
+#: Tags whose end closes cells that stand open inside.
+ACROSS_CELLS = frozenset(("table", "tr", "tbody", "thead", "tfoot", "body", "html"))
+PARAGRAPH = frozenset(("p",))
 PARAGRAPH_BOUNDS = frozenset(("table", "td", "th", "button", "object", "caption", "li"))
 
 
@@ -73,7 +82,7 @@ class Node:
             return True
         if not self.attributes:
             return False
-        return self.get("hidden") is not None or self.get("aria-hidden") == "true" or bool(UNSEEN_STYLE.search(self.get("style") or "")) or (self.tag == "input" and (self.get("type") or "").lower() == "hidden")
+        return self.get("hidden") is not None or bool(UNSEEN_STYLE.search(self.get("style") or "")) or (self.tag == "input" and (self.get("type") or "").lower() == "hidden")
 
 
 def build(source: str) -> Node:
@@ -81,17 +90,29 @@ def build(source: str) -> Node:
     root = Node("#root")
     stack, at, end = [root], 0, len(source)
     last = source.rfind(">")
+    #: Where in the stack the open elements of each tag stand, ascending.
+    places: dict[str, list[int]] = defaultdict(list)
+
+    def top(tags: frozenset[str]) -> int:
+        """The place of the innermost open element of ``tags``, 0 if there is none."""
+        return max((places[t][-1] for t in tags if places[t]), default=0)
+
+    def cut_off(place: int) -> None:
+        """Ends the open elements from ``place`` on."""
+        for node in stack[place:]:
+            places[node.tag].pop()
+        del stack[place:]
 
     def close(names: frozenset[str], bounds: frozenset[str]) -> None:
         """Ends the outermost open element of ``names`` above the nearest of ``bounds``."""
-        found = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in bounds:
-                break
-            if stack[i].tag in names:
-                found = i
+        bound = top(bounds)
+        found = [own[i] for t in names if (own := places[t]) and (i := bisect_right(own, bound)) < len(own)]
         if found:
-            del stack[found:]
+            cut_off(min(found))
+
+    def push(node: Node) -> None:
+        places[node.tag].append(len(stack))
+        stack.append(node)
 
     while at < end:
         opens = source.find("<", at)
@@ -111,31 +132,28 @@ def build(source: str) -> Node:
             continue
         tag = m[2].lower()
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in CELLS and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-                    break
+            place = top(frozenset((tag,)))
+            if place and (tag in ACROSS_CELLS or place >= top(CELLS)):
+                cut_off(place)
             continue
         if tag in IMPLIED:
             close(*IMPLIED[tag])
         if tag in CELLS and stack[-1].tag in ("table", *ROW_GROUPS):
             row = Node("tr")
             stack[-1].children.append(row)
-            stack.append(row)
+            push(row)
         if tag in BLOCK:
-            close(frozenset(("p",)), PARAGRAPH_BOUNDS)
+            close(PARAGRAPH, PARAGRAPH_BOUNDS)
         node = Node(tag, m[3] or "")
         stack[-1].children.append(node)
         if tag in RAW:
             stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
             inner = source[at : stop.start() if stop else end]
-            if tag == "textarea":
+            if tag in ("textarea", "xmp"):
                 node.children.append(inner)
             at = stop.end() if stop else end
         elif tag not in VOID:
-            stack.append(node)
+            push(node)
     return root
 
 
@@ -218,6 +236,7 @@ def render(source: str | None) -> str:
     pages = [Page()]
     tables: list[list[list[list[str]]]] = []
     lists: list[list] = []
+    own_page: list[bool] = []
     pre = 0
     todo: list = [(build(source), False)]
     while todo:
@@ -230,15 +249,19 @@ def render(source: str | None) -> str:
         tag = node.tag
         if leaving:
             if tag in CELLS and tables:
-                cell = pages.pop().finished()
-
-                tables[-1][-1].append(cell or [""])
+                if own_page.pop():
+                    cell = pages.pop().finished()
+                    tables[-1][-1].append(cell or [""])
+                else:
+                    page.owe(1)
             elif tag == "table":
                 rows = [r for r in tables.pop() if r]
                 for line in aligned(rows):
                     page.end_line()
                     page.put(line)
                 page.owe(2)
+            elif tag == "li" and not own_page.pop():
+                page.owe(1)
             elif tag == "li":
                 inner = pages.pop().finished()
                 mark = lists[-1] if lists else [None, 0]
@@ -275,7 +298,7 @@ def render(source: str | None) -> str:
             page.flow(node.get("alt") or "")
             continue
         if tag == "input":
-            if (node.get("type") or "").lower() in ("submit", "button", "reset"):
+            if (node.get("type") or "").lower() in SHOWN_INPUTS:
                 page.flow(node.get("value") or "")
             continue
         if tag == "table":
@@ -286,10 +309,19 @@ def render(source: str | None) -> str:
         elif tag in CELLS and tables:
             if not tables[-1]:
                 tables[-1].append([])
-            pages.append(Page())
+            own_page.append(len(pages) <= DEEPEST)
+            if own_page[-1]:
+                pages.append(Page())
+            else:
+                page.owe(1)
         elif tag == "li":
             page.owe(1)
-            pages.append(Page())
+            own_page.append(len(pages) <= DEEPEST)
+            if own_page[-1]:
+                pages.append(Page())
+            else:
+                page.put("-")
+                page.space = True
         elif tag in BLOCK:
             page.owe(2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1)
             if tag in ("ul", "ol", "menu", "dir"):

@@ -15,13 +15,13 @@ through the driver; what is gathered grows with the text.
 A few unusual symbols say little about a short text.  What is held against the threshold is the
 perplexity with ``pseudo`` symbols added that cost the language's median.  A language's
 threshold is a quantile of this over trusted texts that were held out of training, times
-``slack``; languages with fewer than ``least_held`` held-out texts, and null, take the median
-and quantile over all languages.
+``slack``.  A language's median and limits are drawn towards those over all languages, as if
+``shrink`` texts of all languages stood beside its own; null and unseen languages take those over all.
 
 Defined results: null and empty texts have no perplexity and are kept; without trusted text
 nothing is rejected; rows with a null doc_id are scored and never trusted; a doc_id labelled
-more than once is trusted if all its labels are 1; repeated rows each stand; columns named like
-the outputs are replaced; an empty table gives an empty result.
+more than once is trusted if all its labels are 1; repeated rows each stand; ``classify`` replaces columns
+named like the outputs, ``good_documents`` keeps them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import cut, forget_memos
+from corpusmill.llm.common import cut, forget_memos, set_aside
 
 ORDER = 4
 BOS, EOS = 0xFFFE, 0xFFFF
 #: Trusted ids are broadcast up to this many, about 64 MB; beyond, the join is a shuffle.
 BROADCAST_IDS = 4_000_000
+#: Partitions that shards are dealt to, at most; tasks take their shards one after another.
+MOST_PARTITIONS = 50_000
 SHARD = "__kn_shard"
 
 
@@ -160,7 +162,9 @@ def resolved(asked: DataFrame, model: Model) -> DataFrame:
     for i, (alpha, gamma) in enumerate(model.levels):
         order = ORDER - i
         own = F.col("key") if i == 0 else F.shiftrightunsigned("key", 16 * i)
-        out = out.withColumn("k", own).join(alpha.select(F.col("key").alias("k"), F.col("a").alias(f"a{order}")), "k", "left")
+        counted = alpha.select(F.col("key").alias("k"), F.col("a").alias(f"a{order}"))
+        # single symbols: at most 65,536 rows
+        out = out.withColumn("k", own).join(F.broadcast(counted) if order == 1 else counted, "k", "left")
         if gamma is not None:
             out = out.withColumn("c", context_of(F.col("k"), order)).join(gamma.select(F.col("context").alias("c"), F.col("g").alias(f"g{order}")), "c", "left").drop("c")
         out = out.drop("k")
@@ -176,8 +180,8 @@ def perplexities(docs: DataFrame, model: Model, *, text: str = "text", shard_cha
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length(text))).first()[0] or 0
     shards = max(1, -(-chars // shard_chars))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select(*names, F.pmod(F.xxhash64(*[c for c in ("doc_id",) if c in names], text), F.lit(shards)).cast("int").alias(SHARD)).repartition(partitions, SHARD)
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(2 * shards, MOST_PARTITIONS))
+    dealt = docs.select(*names, F.pmod(F.xxhash64(*[c for c in ("doc_id",) if c in names], text), F.lit(shards)).cast("int").alias(SHARD)).repartition(partitions, SHARD).sortWithinPartitions(SHARD)
     at_text, at_shard = names.index(text), len(names)
 
     def ask(batches):
@@ -186,17 +190,7 @@ def perplexities(docs: DataFrame, model: Model, *, text: str = "text", shard_cha
 
         forget_memos()
 
-        held: dict[int, list] = {}
-        for batch in batches:
-            for shard, t in zip(batch.column(at_shard).to_pylist(), batch.column(at_text)):
-                if t := t.as_py():
-                    own = held.setdefault(shard, [np.zeros(0, np.uint64), [], 0])
-                    own[1].append(t)
-                    own[2] += len(t)
-                    if own[2] > 1_000_000:
-                        units, _ = symbols(own[1])
-                        own[:] = [np.union1d(own[0], keys_of(units)[judged(units)]), [], 0]
-        for shard, (keys, texts, _) in held.items():
+        def distinct(shard, keys, texts):
             if texts:
                 units, _ = symbols(texts)
                 keys = np.union1d(keys, keys_of(units)[judged(units)])
@@ -204,6 +198,20 @@ def perplexities(docs: DataFrame, model: Model, *, text: str = "text", shard_cha
                 part = keys[a : a + 100_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), shard, np.int32)), pa.array(part.view(np.int64))], names=[SHARD, "key"])
 
+        last, keys, texts, size = None, np.zeros(0, np.uint64), [], 0
+        for batch in batches:
+            for shard, t in zip(batch.column(at_shard).to_pylist(), batch.column(at_text)):
+                if shard != last:
+                    yield from distinct(last, keys, texts)
+                    last, keys, texts, size = shard, np.zeros(0, np.uint64), [], 0
+                if t := t.as_py():
+                    texts.append(t)
+                    size += len(t)
+                    if size > 1_000_000:
+                        units, _ = symbols(texts)
+                        keys, texts, size = np.union1d(keys, keys_of(units)[judged(units)]), [], 0
+        yield from distinct(last, keys, texts)
+
     def score(left, right):
         import numpy as np
         import pyarrow as pa
@@ -248,27 +256,32 @@ def steadied(prior: Column, pseudo: int) -> Column:
     return F.exp((n * F.log("perplexity") + pseudo * prior) / (n + pseudo))
 
 
-def thresholds(held_out: DataFrame, model: Model, *, quantile: float, slack: float, least_held: int, pseudo: int) -> DataFrame:
-    """lang, prior (median log-cost) and threshold of the languages with enough held-out texts, and of null: all."""
+def thresholds(held_out: DataFrame, model: Model, *, quantile: float, slack: float, shrink: int, pseudo: int) -> DataFrame:
+    """lang, prior (median log-cost) and threshold of every language with held-out texts, and of null: all."""
     scored = cut(perplexities(held_out.select("doc_id", "lang", "text"), model).select("lang", "perplexity", "n_symbols").where("perplexity is not null"))
     both = scored.where("lang is not null").union(scored.withColumn("lang", F.lit(None).cast("string")))
-    priors = both.groupBy("lang").agg(F.log(F.percentile_approx("perplexity", 0.5, 10000)).alias("prior"), F.count("*").alias("n")).where((F.col("n") >= least_held) | F.col("lang").isNull())
-    steady = both.join(cut(priors.select(F.col("lang").alias("l"), "prior")), F.col("lang").eqNullSafe(F.col("l")))
-    limit = F.percentile_approx(steadied(F.col("prior"), pseudo), quantile, 10000) * slack
-    return cut(steady.groupBy("lang").agg(F.first("prior").alias("prior"), limit.alias("threshold")))
+    drawn = lambda own, over_all: (F.col("n") * F.col(own) + shrink * F.lit(over_all)) / (F.col("n") + shrink)
+    medians = cut(both.groupBy("lang").agg(F.log(F.percentile_approx("perplexity", 0.5, 10000)).alias("own"), F.count("*").alias("n")))
+    over_all = medians.where("lang is null").first()
+    priors = cut(medians.select(F.col("lang").alias("l"), "n", drawn("own", over_all and over_all["own"]).alias("prior")))
+    steady = both.join(F.broadcast(priors), F.col("lang").eqNullSafe(F.col("l")))
+    value = steadied(F.col("prior"), pseudo)
+    limits = cut(steady.groupBy("lang", "n", "prior").agg((F.percentile_approx(value, quantile, 10000) * slack).alias("high")))
+    over_all = limits.where("lang is null").first()
+    return cut(limits.select("lang", "prior", drawn("high", over_all and over_all["high"]).alias("threshold")))
 
 
-def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, slack: float = 1.03, held_out_part: int = 5, least_held: int = 100, pseudo: int = 200) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, *, quantile: float = 0.995, slack: float = 1.03, held_out_part: int = 5, shrink: int = 100, pseudo: int = 200) -> DataFrame:
     """``docs`` with perplexity, judged (the value held against the threshold), threshold and keep."""
     names = [c for c in docs.columns if c not in ("perplexity", "judged", "threshold", "keep")]
     trusted = trusted_of(docs.select("doc_id", "lang", "text"), labels)
     held = F.pmod(F.xxhash64("doc_id"), F.lit(held_out_part)) == 0
     model = train(trusted.where(~held))
-    limits = thresholds(trusted.where(held), model, quantile=quantile, slack=slack, least_held=least_held, pseudo=pseudo)
+    limits = thresholds(trusted.where(held), model, quantile=quantile, slack=slack, shrink=shrink, pseudo=pseudo)
     over_all = limits.where("lang is null").first()
     prior_all, limit_all = (over_all["prior"], over_all["threshold"]) if over_all else (None, None)
     own = limits.where("lang is not null").select(F.col("lang").alias("__lang"), F.col("prior").alias("__prior"), F.col("threshold").alias("__limit"))
-    scored = perplexities(docs.select(*names), model)
+    scored = perplexities(docs.select(*[F.col(f"`{c}`") for c in names]), model)
     joined = scored.join(F.broadcast(own) if own.count() <= 10_000 else own, scored["lang"] == F.col("__lang"), "left")
     limit = F.coalesce("__limit", F.lit(limit_all).cast("double"))
     value = steadied(F.coalesce("__prior", F.lit(prior_all).cast("double")), pseudo)
@@ -282,4 +295,5 @@ def quality_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents, with their own columns, that the classifier keeps."""
-    return classify(docs, labels).where("keep").select(*[F.col(f"`{c}`") for c in docs.columns])
+    plain, own = set_aside(docs, ("doc_id", "lang", "text"))
+    return classify(plain, labels).where("keep").select(*own)

@@ -8,7 +8,7 @@ shingles, and its windows are 2 L shingles wide and L apart, so that every stret
 lies whole in some window.  A window that holds 0.8 of a template then has a Jaccard similarity of
 at least 0.8 (L/2) / (2 L + 0.2 L) > 0.18 to it.  Signatures have ``BANDS`` (64) bands of one
 row: a pair at that similarity shares a band with probability above 1 - (1 - 0.18)^64 > 0.99999.
-Candidates are verified by counting shingles, so nothing false is reported.
+Candidates are verified by counting the shingles themselves, word by word, so nothing false is reported.
 
 Windows without any word sequence of a template cannot match and are not hashed: only runs of at
 least five words that templates hold are looked at.  Templates are few; those of more than
@@ -20,8 +20,7 @@ one shingle of all their words; repeated rows each stand; empty tables give empt
 
 from __future__ import annotations
 
-import zlib
-
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,8 +54,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def shingle_hash(words: list[bytes]) -> int:
-    joined = b" ".join(words)
-    return zlib.crc32(joined) << 32 | zlib.crc32(joined, 0x5F3759DF)
+    return xxhash.xxh64_intdigest(b" ".join(words))
 
 
 class TemplateIndex:
@@ -81,14 +79,15 @@ class TemplateIndex:
             if len(words) < SHINGLE:
                 self.short.setdefault(tuple(words), []).append(name)
                 continue
-            own = {shingle_hash(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+            shingles = {b" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+            own = {xxhash.xxh64_intdigest(x) for x in shingles}
             self.known |= own
             size = 1
             while size < len(own):
                 size *= 2
             held = self.classes.setdefault(size, {"sets": [], "bands": {}})
             number = len(held["sets"])
-            held["sets"].append((name, own))
+            held["sets"].append((name, own, shingles))
             for band, value in enumerate(self.signature(np.array(sorted(own), np.uint64)).tolist()):
                 held["bands"].setdefault((band, value), []).append(number)
         self.least = min([SHINGLE, *map(len, self.short)])
@@ -135,10 +134,12 @@ class TemplateIndex:
                     mark = self.signature(np.fromiter(inside, np.uint64, len(inside))).tolist()
                     candidates = {n for band, value in enumerate(mark) for n in own["bands"].get((band, value), ())}
                     for n in sorted(candidates):
-                        name, wanted = own["sets"][n]
-                        share = len(wanted & inside) / len(wanted)
+                        name, wanted, shingles = own["sets"][n]
+                        if len(wanted & inside) < self.similarity * len(wanted):
+                            continue
+                        at = [i for i in range(w, stop) if hashes[i] in wanted and b" ".join(words[i : i + SHINGLE]) in shingles]
+                        share = len({b" ".join(words[i : i + SHINGLE]) for i in at}) / len(shingles)
                         if share >= self.similarity:
-                            at = [i for i in range(w, stop) if hashes[i] in wanted]
                             found.append((name, at[0], at[-1] + SHINGLE, share))
         best: list[tuple[str, int, int, float]] = []
         for m in sorted(found, key=lambda m: (m[0], -m[3], m[1], m[2])):

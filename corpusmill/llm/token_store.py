@@ -90,6 +90,10 @@ def unpack_segment(payload: bytes) -> bytes:
     return b"".join(out)
 
 
+#: Texts that show at loading whether a tokenizer file may be used word by word.
+PROBES = ["", " ", "Two words, and 12 more.", "x,y. z. don't 'Tis they'll''s", "caf\u00e9 \u00c9t\u00e9 stra\u00dfe", "a\n\nb\tc", "\u65e5\u672c\u8a9e w\u3000v", "A-b_c (d) [e]; f: \"g\" 3.5% #1"]
+
+
 class WordEncoder:
     """Whole-text ids of a ``tokenizers`` file whose pre-tokens never span ASCII white space.
 
@@ -109,6 +113,8 @@ class WordEncoder:
         self.model = self.library.model
         self.stops: dict[int, bytes] = {}
         self.memo = ChunkMemo(self._solve, 500_000)
+        #: Files that are not of this kind are encoded text by text by the library.
+        self.by_words = all(self._by_words(p) == self._whole([p])[0] for p in PROBES)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -149,6 +155,14 @@ class WordEncoder:
         return word.encode("utf-8").decode("latin-1").translate(BYTE_LEVEL) if LETTERS(word) else ""
 
     def encode(self, text: str) -> bytes:
+        return self._by_words(text) if self.by_words else self._whole([text])[0]
+
+    def check(self, text: str) -> None:
+        """Raises an error if the library gives the text other ids."""
+        if self.by_words and self._by_words(text) != self._whole([text])[0]:
+            raise RuntimeError("the tokenizer file does not encode word by word")
+
+    def _by_words(self, text: str) -> bytes:
         data = text.encode("utf-8")
         return self.memo.encode((data if b"<|" in data else data.lower()).split())
 
@@ -175,9 +189,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, shard
 
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        encode = _encoder(tokenizer_path).encode
+        encoder = _encoder(tokenizer_path)
+        encode = encoder.encode
         shard, segment = TaskContext.get().partitionId(), 0
         ids, lengths, codes, held = [], [], [], 0
 
@@ -188,6 +204,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, shard
             )
 
         for batch in portions(batches, 1):
+            shortest = pc.index(sizes := pc.binary_length(batch.column(1)), pc.min(sizes)).as_py()
+            if shortest >= 0:  # one text of each portion is held against the library
+                encoder.check(batch.column(1)[shortest].as_py())
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 code = encode(text.as_py() or "") + end
                 ids.append(doc_id)

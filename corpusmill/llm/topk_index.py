@@ -4,6 +4,8 @@ Vectors are quantised to integers.  With M the greatest norm, each data vector v
 coordinate sqrt(M^2 - |v|^2) and each query a zero; then q . v = (|q|^2 + M^2 - d^2) / 2 with d
 the distance between the two, so the highest scores are the nearest vectors.
 
+Vectors whose squared norm after scaling is 2^62 or more are refused: products might not fit in 64 bits.
+
 Every vector is keyed by its nearest pivot and its distance to it.  Pivots come from a bounded,
 documented sample (``sample`` rows, farthest first); every vector is indexed.  Distances are cut
 into ``RINGS`` rings a pivot; rings are joined into annuli of at least ``block_rows`` vectors,
@@ -11,8 +13,8 @@ and an annulus with more is split by a hash of the id.  The catalogue of annuli
 x rings entries, whatever the data) is all that the driver holds.
 
 A query first searches the block it falls in, which gives a lower bound on its k-th score.  It
-then expands over the annuli in order of their triangle-inequality bound | d(q,p) - d(v,p) | and
-stops where even the best score possible there is below its k-th score.  Blocks meet only the
+then expands over the annuli whose triangle-inequality bound, the greatest | d(q,p) - d(v,p) | over all
+pivots p, lets a score as good as its k-th be there, and stops at the others.  Blocks meet only the
 queries that need them, in slices of bounded size.
 
 Defined results: vectors that are null or hold a null, NaN or infinity take no part; shorter
@@ -81,15 +83,15 @@ def farthest_first(points, k: int):
 
 @dataclass
 class Catalogue:
-    """Pivots and annuli of an index: for each annulus its pivot, distances and number of blocks."""
+    """Pivots and annuli of an index: for each annulus its pivot, its least and greatest distance to every pivot, and its number of blocks."""
 
     pivots: object
     greatest: float
     width: float
     annulus_of: dict[tuple[int, int], int]
     pivot: list[int]
-    near: list[float]
-    far: list[float]
+    near: object
+    far: object
     parts: list[int]
 
     def lifted(self, v):
@@ -111,16 +113,20 @@ class Catalogue:
         import numpy as np
 
         d = self.pivot_distances(q, np.zeros(len(q)))
-        own = d[:, self.pivot]
-        low = np.maximum(np.maximum(own - np.array(self.far), np.array(self.near) - own), 0)
         # a vector's own pivot is its nearest one: half the gap to the query's nearest pivot lies between
-        low = np.maximum(low, (own - d.min(axis=1)[:, None]) / 2)
+        low = np.maximum((d[:, self.pivot] - d.min(axis=1)[:, None]) / 2, 0)
+        for p in range(d.shape[1]):
+            own = d[:, p, None]
+            low = np.maximum(low, np.maximum(own - self.far[:, p], self.near[:, p] - own))
         low = np.maximum(low - 1e-6 * (self.greatest + 1), 0)
         return ((q**2).sum(axis=1)[:, None] + self.greatest**2 - low**2) / 2 + 1e-6 * self.greatest**2
 
 
-def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, *, pivots: int = 32, sample: int = 2048, block_rows: int = 2048) -> DataFrame:
-    """query_id, rank, vec_id and score of the ``k`` best of every query row of ``vectors`` (vec_id, embedding)."""
+def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, *, pivots: int = 32, sample: int = 2048, block_rows: int = 2048, seen: dict | None = None) -> DataFrame:
+    """query_id, rank, vec_id and score of the ``k`` best of every query row of ``vectors`` (vec_id, embedding).
+
+    ``seen`` gets ``visited``: the share of all pairs of a query and a vector that are compared.
+    """
     import numpy as np
 
     spark = vectors.sparkSession
@@ -129,13 +135,15 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, *, piv
     count, dim, most, queries_n = data.agg(F.count("*"), F.max(F.size("v")), F.max(norm), F.count(F.when(is_query, 1))).first()
     if not count or not queries_n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if most >= 2.0**62:
+        raise ValueError("inner products of these vectors do not fit in 64 bits")
     dim, exact = max(dim, 1), most < 2.0**52
     picked = [r[0] for r in data.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()]
     points = np.zeros((len(picked), dim))
     for i, v in enumerate(picked):
         points[i, : len(v)] = v
     greatest = float(np.sqrt(most)) + 1.0
-    catalogue = Catalogue(farthest_first(points, pivots), greatest, 2.01 * greatest / RINGS, {}, [], [], [], [])
+    catalogue = Catalogue(farthest_first(points, pivots), greatest, 2.01 * greatest / RINGS, {}, [], None, None, [])
     rings = spark.sparkContext.broadcast(catalogue)
 
     def key(batches):
@@ -147,29 +155,44 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, *, piv
             d = c.pivot_distances(v, c.lifted(v))
             nearest = d.argmin(axis=1)
             own = d[np.arange(len(v)), nearest]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest.astype(np.int32)), pa.array((own / c.width).astype(np.int32)), pa.array(own)], names=["vec_id", "v", "pivot", "ring", "d"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nearest.astype(np.int32)), pa.array((own / c.width).astype(np.int32))], names=["vec_id", "v", "pivot", "ring"])
 
-    keyed = cut(data.mapInArrow(key, "vec_id long, v array<long>, pivot int, ring int, d double"))
+    keyed = cut(data.mapInArrow(key, "vec_id long, v array<long>, pivot int, ring int"))
     open_annulus: dict[int, int] = {}
     held: list[int] = []
-    for pivot, ring, n, near, far in sorted(tuple(r) for r in keyed.groupBy("pivot", "ring").agg(F.count("*"), F.min("d"), F.max("d")).collect()):
+    for pivot, ring, n in sorted(tuple(r) for r in keyed.groupBy("pivot", "ring").agg(F.count("*")).collect()):
         a = open_annulus.get(pivot)
         if a is None or held[a] >= block_rows:
             a = open_annulus[pivot] = len(held)
             held.append(0)
             catalogue.pivot.append(pivot)
-            catalogue.near.append(near)
-            catalogue.far.append(far)
         held[a] += n
-        catalogue.far[a] = max(far, catalogue.far[a])
         catalogue.annulus_of[pivot, ring] = a
     catalogue.parts = [max(1, -(-n // (2 * block_rows))) for n in held]
     cells = spark.createDataFrame([(p, r, a, catalogue.parts[a]) for (p, r), a in catalogue.annulus_of.items()], "pivot int, ring int, annulus int, parts int")
     indexed = keyed.join(F.broadcast(cells), ["pivot", "ring"]).select("vec_id", "v", "annulus", F.pmod(F.xxhash64("vec_id"), "parts").cast("int").alias("part"))
+
+    def spread(batches):
+        """The least and greatest distance to every pivot of the vectors of an annulus in a batch."""
+        import pyarrow as pa
+
+        c = rings.value
+        for batch in batches:
+            if batch.num_rows:
+                v = matrix(batch.column(1), dim).astype(np.float64)
+                own = batch.column(0).to_numpy()
+                order = np.argsort(own, kind="stable")
+                starts = np.flatnonzero(np.append(True, np.diff(own[order]) != 0))
+                d = c.pivot_distances(v, c.lifted(v))[order]
+                near, far = np.minimum.reduceat(d, starts), np.maximum.reduceat(d, starts)
+                columns = np.repeat(own[order][starts], d.shape[1]), np.tile(np.arange(d.shape[1], dtype=np.int32), len(starts)), near.ravel(), far.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["annulus", "p", "near", "far"])
+
+    spans = indexed.select("annulus", "v").mapInArrow(spread, "annulus int, p int, near double, far double").groupBy("annulus", "p").agg(F.min("near").alias("near"), F.max("far").alias("far")).toArrow()
+    catalogue.near, catalogue.far = np.zeros((2, len(held), len(catalogue.pivots)))
+    at = spans.column("annulus").to_numpy(), spans.column("p").to_numpy()
+    catalogue.near[at], catalogue.far[at] = spans.column("near").to_numpy(), spans.column("far").to_numpy()
     slices = -(-queries_n // SLICE)
-    dealt = indexed if slices == 1 else indexed.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    if slices == 1:
-        dealt = dealt.withColumn("slice", F.lit(0))
     queries = indexed.where(is_query).groupBy(F.col("vec_id").alias("query_id")).agg(F.min(F.struct("v", "annulus", "part")).alias("x")).select("query_id", F.col("x.v").alias("q"), F.col("x.annulus").alias("annulus"), F.col("x.part").alias("part"))
     sent = spark.sparkContext.broadcast(catalogue)
 
@@ -201,9 +224,14 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, *, piv
                     out[i] = scores[-1]
         return wanted.select(["query_id", "q"]).append_column("least", pa.array(out))
 
-    home = queries.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
+    def dealt(wanted: DataFrame) -> DataFrame:
+        """The vectors of each block once for each slice of queries that asks for it; blocks that nobody asks for are left out."""
+        asked = wanted.select(*[F.col(c).alias(c) for c in keys]).distinct()
+        return indexed.join(asked, ["annulus", "part"])
+
     keys = ["annulus", "part", "slice"]
-    bounded = cut(dealt.groupBy(*keys).cogroup(home.groupBy(*keys)).applyInArrow(first_bound, "query_id long, q array<long>, least double"))
+    home = queries.withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
+    bounded = cut(dealt(home).groupBy(*keys).cogroup(home.groupBy(*keys)).applyInArrow(first_bound, "query_id long, q array<long>, least double"))
 
     def expand(batches):
         """Every query once for each block that it must search."""
@@ -233,6 +261,10 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 10, *, piv
         some = lambda i: np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64)
         return pa.table({"query_id": np.repeat(own[[f[0] for f in found]] if found else own, [len(f[1]) for f in found]), "vec_id": some(1), "score": some(2)})
 
-    found = dealt.groupBy(*keys).cogroup(needed.groupBy(*keys)).applyInArrow(search, RESULT)
+    if seen is not None:
+        sizes = indexed.groupBy("annulus", "part").agg(F.count("*").alias("n"))
+        pairs = needed.join(sizes, ["annulus", "part"]).agg(F.sum("n")).first()[0] or 0
+        seen["visited"] = pairs / (count * queries.count())
+    found = dealt(needed).groupBy(*keys).cogroup(needed.groupBy(*keys)).applyInArrow(search, RESULT)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -29,12 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, forget_memos
+from corpusmill.llm.common import cut, forget_memos, portions, reread
 
 WORD = re.compile(r"[^\W_]+")
 #: Longest word part that is looked at whole; longer words are seen through the n-grams of all their parts.
 GRAM = 5
 SPACE = 1 << 20
+#: A feature is looked at from so many toxic rows, log odds and z score on; the strongest so many.
+LEAST_SEEN, LEAST_ODDS, LEAST_STRENGTH, MOST_FEATURES = 4, 2.0, 4.0, 1500
 
 
 def features(word: str) -> list[int]:
@@ -83,34 +85,36 @@ class Scorer:
         return sum(sorted(found))
 
 
-def fit(rows: list, *, rounds: int = 400, penalty: float = 1e-4, most: int = 1500) -> OrdinalModel:
-    """Fits rows (array of feature ids, repeated as often as they occur; grade) by gradient descent with momentum (Adam)."""
+def strengths(seen_up, seen_down, n_up: int, n_down: int):
+    """How much oftener features are in rows above grade 0 than in others (z score; 0 for rare or weak ones)."""
     import numpy as np
 
-    grades = np.array([g for _, g in rows])
-    levels = sorted(set(grades.tolist()))
-    if len(levels) < 2:
+    share_up, share_down = (seen_up + 0.5) / (n_up + 1), (seen_down + 0.5) / (n_down + 1)
+    pooled = (seen_up + seen_down + 1) / (n_up + n_down + 2)
+    z = (share_up - share_down) / np.sqrt(pooled * (1 - pooled) * (1 / n_up + 1 / n_down) + 1e-12)
+    return np.where((seen_up >= LEAST_SEEN) & (np.log(share_up / share_down) > LEAST_ODDS), z, 0)
+
+
+def chosen_features(features, seen_up, seen_down, n_up: int, n_down: int):
+    """The features, ascending, that the model looks at: at most ``MOST_FEATURES``, the strongest, ties to the smaller one."""
+    import numpy as np
+
+    if not len(features):
+        return features
+    strength = strengths(seen_up, seen_down, n_up, n_down)
+    best = np.lexsort((features, -strength))[:MOST_FEATURES]
+    return np.sort(features[best[strength[best] > LEAST_STRENGTH]])
+
+
+def fit_matrix(x, grades, chosen, *, rounds: int = 400, penalty: float = 1e-4) -> OrdinalModel:
+    """Weights of the ``chosen`` features from rows of counts ``x`` and their grades, by gradient descent with momentum (Adam)."""
+    import numpy as np
+
+    levels = np.unique(grades)
+    if len(levels) < 2 or not len(chosen):
         return OrdinalModel({}, [])
     ranked = np.searchsorted(levels, grades)
-    sparse = [np.unique(f, return_counts=True) for f, _ in rows]
-    # features seen in far more of the rows above grade 0 than of the others
     up = ranked > 0
-    seen_up, seen_down = (np.bincount(np.concatenate([s[0] for s, u in zip(sparse, up) if u == side]), minlength=SPACE) for side in (True, False))
-    share_up, share_down = (seen_up + 0.5) / (up.sum() + 1), (seen_down + 0.5) / ((~up).sum() + 1)
-    pooled = (seen_up + seen_down + 1) / (len(rows) + 2)
-    z = (share_up - share_down) / np.sqrt(pooled * (1 - pooled) * (1 / up.sum() + 1 / (~up).sum()) + 1e-12)
-    odds = np.log(share_up / share_down)
-    strength = np.where((seen_up >= 4) & (odds > 2.0), z, 0)
-    chosen = np.sort(np.argsort(-strength, kind="stable")[:most])
-    chosen = chosen[strength[chosen] > 4.0]
-    if not len(chosen):
-        return OrdinalModel({}, [])
-    column = np.full(SPACE, -1, np.int32)
-    column[chosen] = np.arange(len(chosen))
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    for i, (f, n) in enumerate(sparse):
-        at = column[f]
-        x[i, at[at >= 0]] = n[at >= 0]
     k = len(levels) - 1
     above = (ranked[:, None] > np.arange(k)).astype(np.float32)
     weigh = np.where(up, 0.5 / up.sum(), 0.5 / (~up).sum()).astype(np.float32)[:, None]
@@ -128,33 +132,72 @@ def fit(rows: list, *, rounds: int = 400, penalty: float = 1e-4, most: int = 150
     return OrdinalModel({int(f): round(float(v), 6) for f, v in zip(chosen, w)}, [round(float(c), 6) for c in cuts])
 
 
-def graded(rows: list, grades: int) -> list:
-    """Rows labelled 0 or 1, the 1s graded 1 .. grades-1 by equal parts of their score."""
-    first = fit(rows)
-    if not first.weights or any(g > 1 for _, g in rows):
-        return rows
+def graded(x, grades, chosen, parts: int):
+    """The grades; if they are 0 and 1 only, the 1s become 1 .. parts-1 by equal parts of their score under a one-threshold fit."""
     import numpy as np
 
-    dense = np.zeros(SPACE)
-    dense[list(first.weights)] = list(first.weights.values())
-    scores = [round(float(dense[fs].sum()), 6) for fs, _ in rows]
-    order = sorted((s, i) for i, (s, (_, g)) in enumerate(zip(scores, rows)) if g)
-    out = list(rows)
-    for r, (_, i) in enumerate(order):
-        out[i] = (rows[i][0], 1 + r * (grades - 1) // len(order))
+    first = fit_matrix(x, grades, chosen)
+    if not first.weights or grades.max() > 1:
+        return grades
+    weights = np.array([first.weights[int(f)] for f in chosen])
+    toxic = np.flatnonzero(grades)
+    order = toxic[np.lexsort((toxic, np.round(x[toxic] @ weights, 6)))]
+    out = grades.copy()
+    out[order] = 1 + np.arange(len(order)) * (parts - 1) // len(order)
     return out
 
 
+def fit(rows: list, grades: int = 4) -> OrdinalModel:
+    """The model of rows (array of feature ids, repeated as often as they occur; grade) held in memory."""
+    import numpy as np
+
+    if not rows:
+        return OrdinalModel({}, [])
+    own = np.array([g for _, g in rows])
+    sparse = [np.unique(f, return_counts=True) for f, _ in rows]
+    every = np.unique(np.concatenate([f for f, _ in sparse]))
+    up, down = (np.bincount(np.searchsorted(every, np.concatenate([f for (f, _), g in zip(sparse, own) if (g > own.min()) == side] or [every[:0]])), minlength=len(every)) for side in (True, False))
+    n_up = int((own > own.min()).sum())
+    if not n_up:
+        return OrdinalModel({}, [])
+    chosen = chosen_features(every, up, down, n_up, len(own) - n_up)
+    x = np.zeros((len(rows), len(chosen)), np.float32)
+    for i, (f, n) in enumerate(sparse):
+        _, mine, theirs = np.intersect1d(chosen, f, assume_unique=True, return_indices=True)
+        x[i, mine] = n[theirs]
+    return fit_matrix(x, graded(x, own, chosen, grades), chosen)
+
+
 def _extract(batches):
+    """Features of each text, repeated as often as its words hold them."""
     import pyarrow as pa
 
-    for batch in batches:
+    for batch in portions(batches, 1):
         own = [array("i", sorted(f for w in words(t.as_py()) for f in features(w))).tobytes() for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["grade", "features"])
 
 
+def _seen(batches):
+    """How many texts above grade 0, and of others, hold each feature."""
+    import numpy as np
+    import pyarrow as pa
+
+    counts = np.zeros((2, SPACE), np.int32)
+    for batch in batches:
+        for g, f in zip(batch.column(0).to_pylist(), batch.column(1)):
+            counts[int(g <= 0), np.unique(np.frombuffer(f.as_py(), np.int32))] += 1
+    held = np.flatnonzero(counts.any(axis=0))
+    for at in range(0, len(held), 100_000):
+        part = held[at : at + 100_000]
+        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(counts[0, part].astype(np.int64)), pa.array(counts[1, part].astype(np.int64))], names=["feature", "up", "down"])
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 2000, grades: int = 4) -> OrdinalModel:
-    """The model of at most ``per_class`` clean and ``per_class`` toxic labelled rows of ``docs``."""
+    """The model of at most ``per_class`` clean and ``per_class`` toxic labelled rows of ``docs``.
+
+    Features are counted and chosen on the cluster.  The driver gets counts of at most 2 x ``MOST_FEATURES`` of them and, for
+    each sampled row, its counts of the chosen ones: at most 2 x per_class x ``MOST_FEATURES`` numbers (24 MB), however long the texts are.
+    """
     import numpy as np
 
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("grade"))
@@ -163,10 +206,44 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", pe
         part = known.where(side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.union(part)
     picked = cut(picked)  # at most 2 x per_class rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("grade", "text")
-    packed = sorted(tuple(r) for r in texts.mapInArrow(_extract, "grade int, features binary").toLocalIterator())
-    rows = [(np.frombuffer(f, np.int32), g) for g, f in packed]
-    return fit(graded(rows, grades)) if rows else OrdinalModel({}, [])
+    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.greatest("grade", F.lit(0)).alias("grade"), "text")
+    held = reread(texts.mapInArrow(_extract, "grade int, features binary"), "toxicity-sample")
+    n_up, n_down = held.agg(F.count(F.when(F.col("grade") > 0, 1)), F.count(F.when(F.col("grade") <= 0, 1))).first()
+    if not n_up or not n_down:
+        return OrdinalModel({}, [])
+    seen = held.mapInArrow(_seen, "feature int, up long, down long").groupBy("feature").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    share = lambda c, n: (F.col(c) + 0.5) / (n + 1)
+    pooled = (F.col("up") + F.col("down") + 1) / (n_up + n_down + 2)
+    z = (share("up", n_up) - share("down", n_down)) / F.sqrt(pooled * (1 - pooled) * (1 / n_up + 1 / n_down) + 1e-12)
+    # a little wider than the rule itself, which is applied here to what comes
+    likely = seen.where((F.col("up") >= LEAST_SEEN) & (F.log(share("up", n_up) / share("down", n_down)) > LEAST_ODDS - 0.01)).withColumn("z", z)
+    found = likely.where(F.col("z") > LEAST_STRENGTH - 0.01).orderBy(F.desc("z"), "feature").limit(2 * MOST_FEATURES).toArrow()
+    counts = [found.column(c).to_numpy() for c in ("feature", "up", "down")]
+    chosen = chosen_features(*counts, n_up, n_down)
+    if not len(chosen):
+        return OrdinalModel({}, [])
+    sent = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    def columns(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            own = []
+            for f in batch.column(1):
+                ids, n = np.unique(np.frombuffer(f.as_py(), np.int32), return_counts=True)
+                _, mine, theirs = np.intersect1d(sent.value, ids, assume_unique=True, return_indices=True)
+                own.append(np.stack([mine, n[theirs]]).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["grade", "counts"])
+
+    rows = sorted(tuple(r) for r in held.mapInArrow(columns, "grade int, counts binary").toLocalIterator())
+    x = np.zeros((len(rows), len(chosen)), np.float32)
+    for i, (_, packed) in enumerate(rows):
+        at, n = np.frombuffer(packed, np.int32).reshape(2, -1)
+        x[i, at] = n
+    own = np.array([g for g, _ in rows])
+    sent.unpersist()
+    return fit_matrix(x, graded(x, own, chosen, grades), chosen)
 
 
 def with_severity(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:

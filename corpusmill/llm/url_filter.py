@@ -95,13 +95,18 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def score_of(host: Column, path: Column, weights: list[int], bias: int) -> Column:
-    """The model's whole-number score; above zero means block."""
-    text = F.concat(F.lit("^"), host, path, F.lit("$"))
+    """The model's whole-number score; above zero means block.  One walk over the characters, however many they are."""
+    codes = F.transform(F.split(F.concat(F.lit("^"), host, path, F.lit("$")), ""), lambda c: F.ascii(c).cast("long"))
     table = F.from_json(F.lit(str(weights)), "array<int>")
-    code = lambda i, k: F.ascii(F.substring(text, i + k, F.lit(1))).cast("long")
-    bucket = lambda i: F.pmod(code(i, 0) * 29791 + code(i, 1) * 961 + code(i, 2) * 31 + code(i, 3), F.lit(BUCKETS))
-    places = F.when(F.length(text) > 3, F.sequence(F.lit(1), F.length(text) - 3)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(places, F.lit(bias).cast("long"), lambda s, i: s + F.element_at(table, (bucket(i) + 1).cast("int")))
+    state = lambda a, b, c, s: F.struct(a.alias("a"), b.alias("b"), c.alias("c"), s.alias("s"))
+    none = F.lit(-1).cast("long")
+
+    def step(at: Column, code: Column) -> Column:
+        bucket = F.pmod(at["a"] * 29791 + at["b"] * 961 + at["c"] * 31 + code, F.lit(BUCKETS))
+        weight = F.when(at["a"] >= 0, F.element_at(table, (bucket + 1).cast("int"))).otherwise(0)
+        return state(at["b"], at["c"], code, at["s"] + weight)
+
+    return F.aggregate(codes, state(none, none, none, F.lit(bias).cast("long")), step, lambda at: at["s"])
 
 
 def filter_urls(pages: DataFrame, labelled: DataFrame, rules: list[tuple[str, str]] = RULES) -> DataFrame:
