@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusmill.functions import text as X
-from corpusmill.functions import udfs
+from corpusmill.session import cut
 
 
 def duplicate_groups(docs: DataFrame, key: Column) -> DataFrame:
@@ -16,48 +15,180 @@ def duplicate_groups(docs: DataFrame, key: Column) -> DataFrame:
     return keyed.groupBy("group_key").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc_id")).where("n_docs > 1")
 
 
-def similar_pairs(records: DataFrame, threshold: float = 0.95, length_gap: float = 0.2) -> DataFrame:
-    """(ord_a, ord_b, jaccard) of the distinct fingerprints at or above the trigram-Jaccard threshold, ord_a < ord_b.
+#: Near copies: open records that one task decides in order, and their trigrams in all, at most; beyond, rounds decide them.
+OPEN_AT_ONCE, GRAMS_AT_ONCE = 20_000, 20_000_000
 
-    Equal fingerprints meet in one representative first, so groups of copies make no pairs.  Only the rarest
-    trigrams of each set (its prefix) are joined: sets this similar must share one of them.
+
+def size_bounds(threshold: float, most: int = 46_656) -> list[int]:
+    """Least sizes of the classes that trigram sets are put in: linked sets lie in one class or in neighbours."""
+    bounds = [1]
+    while bounds[-1] <= most:
+        bounds.append(int(bounds[-1] / threshold + 1e-9) + 1)
+    return bounds
+
+
+def signed_sets(records: DataFrame, threshold: float, apart: list[str] | None = None) -> DataFrame:
+    """ord, n (the fingerprint's length), key (of the fingerprint), grams (the trigrams' codes) and signatures of records of three or more letters.
+
+    Sets linked at ``threshold`` differ in at most d trigrams, a share of their sizes.  So if all trigrams are dealt into
+    d + 1 parts, one part at least is the same in both; a signature is the hash of one part's trigrams.  Parts hold about
+    (1 + threshold) / (2 (1 - threshold)) trigrams each, whatever the corpus, so unlike texts hardly share one.  Records that differ in a column of ``apart`` share none.
+    """
+    bounds = size_bounds(threshold)
+
+    def run(batches):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        letters = b"abcdefghijklmnopqrstuvwxyz0123456789"
+        others = bytes(set(range(256)) - set(letters))
+        code = np.zeros(256, np.uint16)
+        code[list(letters)] = np.arange(36)
+        starts = np.array(bounds)
+        mix = np.arange(36**3, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for c in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+            mix = (mix ^ mix >> np.uint64(29)) * np.uint64(c)
+        mix ^= mix >> np.uint64(31)
+
+        def signatures(grams, seed):
+            own = int(np.searchsorted(starts, len(grams), "right")) - 1
+            out = []
+            for tag in (own - 1, own):  # what a class shares with the one above it
+                if tag < 0:
+                    continue
+                parts = int((1 - threshold) / (1 + threshold) * 2 * (bounds[min(tag + 2, len(bounds) - 1)] - 1) + 1e-9) + 1
+                part = (mix[grams] >> np.uint64(40)) % np.uint64(parts)
+                sums = np.zeros(parts, np.uint64)
+                np.add.at(sums, part.astype(np.int64), mix[grams])
+                name = np.arange(parts, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64((tag * 0xA0761D6478BD642F + seed) % 2**64)
+                out.append((sums ^ name ^ name >> np.uint64(32)) * np.uint64(0xC2B2AE3D27D4EB4F))
+            return np.concatenate(out).view(np.int64)
+
+        for batch in batches:
+            rows = []
+            for ord_, text, group in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+                print_ = (text.as_py() or "").lower().encode("utf-8", "replace").translate(None, others)
+                if len(print_) < 3:
+                    continue
+                c = code[np.frombuffer(print_, np.uint8)]
+                grams = np.unique(c[:-2] * np.uint16(1296) + c[1:-1] * np.uint16(36) + c[2:])
+                digest = hashlib.blake2b(print_, digest_size=16, key=str(group).encode()).digest()
+                rows.append((ord_, len(print_), digest, grams.tobytes(), signatures(grams, group % 2**64)))
+            if rows:
+                columns = list(zip(*rows))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary()), pa.array(columns[4], pa.list_(pa.int64()))], names=["ord", "n", "key", "grams", "signatures"])
+
+    group = F.xxhash64(*apart) if apart else F.lit(0)
+    return records.select(F.col("ord").cast("long"), "text", group.cast("long").alias("group")).mapInArrow(run, "ord long, n int, key binary, grams binary, signatures array<long>")
+
+
+def alike(a: bytes, b: bytes, n: int, m: int, threshold: float, gap: float = 0.2) -> float | None:
+    """The Jaccard similarity of two trigram sets if it reaches the threshold and the lengths fit, else None."""
+    import numpy as np
+
+    if abs(n - m) > gap * max(n, m):
+        return None
+    x, y = np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16)
+    shared = len(np.intersect1d(x, y, assume_unique=True))
+    value = shared / (len(x) + len(y) - shared)
+    return value if value >= threshold else None
+
+
+def compared(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, jaccard) of the ``pairs`` (a, b) of ords that are similar."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            values = [alike(x.as_py(), y.as_py(), n, m, threshold) for x, y, n, m in zip(batch.column(2), batch.column(3), batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            kept = [i for i, v in enumerate(values) if v is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64()), pa.array([values[i] for i in kept], pa.float64())], names=["a", "b", "jaccard"])
+
+    x, y = (sets.select(F.col("ord").alias(s), F.col("grams").alias(f"grams_{s}"), F.col("n").alias(f"n_{s}")) for s in "ab")
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "grams_a", "grams_b", "n_a", "n_b").mapInArrow(run, "a long, b long, jaccard double")
+
+
+def _distinct_sets(records: DataFrame, threshold: float, apart: list[str] | None) -> tuple[DataFrame, DataFrame]:
+    """(ord, key) of all signed records, and the signed sets of the first record of each key; both cut off from what made them."""
+    every = cut(signed_sets(records, threshold, apart))
+    firsts = every.groupBy("key").agg(F.min("ord").alias("ord"))
+    return every.select("ord", "key"), every.join(firsts.select("ord"), "ord", "left_semi")
+
+
+def similar_pairs(records: DataFrame, threshold: float = 0.95, apart: list[str] | None = None) -> DataFrame:
+    """(ord_a, ord_b, jaccard) of the distinct fingerprints at or above the trigram-Jaccard threshold, ord_a < ord_b; a report on pairs.
+
+    Equal fingerprints meet in one representative first, so groups of exact copies make no pairs.  ``first_kept`` decides without pairs.
     """
-    prints = records.select("ord", X.fingerprint(F.col("text")).alias("fp")).where(F.length("fp") >= 3)
-    distinct = prints.groupBy("fp").agg(F.min("ord").alias("ord"))
-    sets = distinct.select("ord", F.length("fp").alias("n"), udfs.trigram_set("fp").alias("grams"))
-    counts = sets.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count("*").alias("df"))
-    rare = sets.select("ord", "n", F.size("grams").alias("size"), F.explode("grams").alias("g")).join(counts, "g")
-    place = F.row_number().over(W.partitionBy("ord").orderBy("df", "g"))
-    prefix = rare.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1).select("ord", "n", "size", "g")
-    a, b = (prefix.select(*[F.col(c).alias(f"{c}_{s}") for c in ("ord", "n", "size")], "g") for s in "ab")
-    near = (F.col("ord_a") < F.col("ord_b")) & (F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")) & (F.abs(F.col("n_a") - F.col("n_b")) <= length_gap * F.greatest("n_a", "n_b"))
-    candidates = a.join(b, "g").where(near).select("ord_a", "ord_b").distinct()
-    left, right = (sets.select(F.col("ord").alias(f"ord_{s}"), F.col("grams").alias(f"grams_{s}")) for s in "ab")
-    both = candidates.join(left, "ord_a").join(right, "ord_b")
-    shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    return both.select("ord_a", "ord_b", (shared / (F.size("grams_a") + F.size("grams_b") - shared)).alias("jaccard")).where(F.col("jaccard") >= threshold)
-
-
-def first_kept(records: DataFrame, threshold: float = 0.95) -> DataFrame:
+    _, sets = _distinct_sets(records, threshold, apart)
+    marks = sets.select("ord", F.explode("signatures").alias("sig"))
+    a, b = (marks.select(F.col("ord").alias(s), "sig") for s in "ab")
+    pairs = a.join(b, "sig").where("a < b").select("a", "b").distinct()
+    return compared(pairs, sets, threshold).select(F.col("a").alias("ord_a"), F.col("b").alias("ord_b"), "jaccard")
+
+
+def first_kept(records: DataFrame, threshold: float = 0.95, apart: list[str] | None = None) -> DataFrame:
     """ord and kept: in order, a record goes if it is a near copy of a kept earlier one.
 
-    Records of equal fingerprint follow their first one.  The rest is the lexicographically first maximal
-    independent set: each round decides all records whose earlier neighbours are decided, the first open one
-    at least, until none is open.
+    Records of equal fingerprint follow their first one.  Of the others, a record that comes first at all its signatures is
+    kept, and those that share a signature with it and are similar go; the rest goes on.  So a large group of near copies
+    makes as many comparisons as it has members.  Rounds go on until nothing is open; what one task can hold, it decides in order.
     """
-    prints = records.select("ord", X.fingerprint(F.col("text")).alias("fp"))
-    reps = prints.where(F.length("fp") >= 3).groupBy("fp").agg(F.min("ord").alias("rep"))
-    pairs = similar_pairs(records, threshold).select("ord_a", "ord_b").checkpoint()
-    state = pairs.select(F.col("ord_a").alias("ord")).union(pairs.select("ord_b")).distinct().withColumn("kept", F.lit(None).cast("boolean"))
-    while state.where("kept is null").limit(1).count():
-        open_rows = state.where("kept is null")
-        earlier = pairs.join(state.select(F.col("ord").alias("ord_a"), F.col("kept").alias("k")), "ord_a").groupBy(F.col("ord_b").alias("ord")).agg(F.max(F.coalesce("k", F.lit(False))).alias("any"), F.max(F.col("k").isNull()).alias("waiting"))
-        decided = open_rows.join(earlier, "ord", "left").select("ord", F.when(F.coalesce("any", F.lit(False)), False).when(~F.coalesce("waiting", F.lit(False)), True).alias("kept"))
-        state = state.where("kept is not null").unionByName(decided).checkpoint()
-    gone = state.where("not kept").select(F.col("ord").alias("rep"), F.lit(True).alias("gone"))
-    joined = prints.join(reps, "fp", "left").join(gone, "rep", "left")
-    same = F.col("rep").isNotNull() & (F.col("rep") < F.col("ord"))
-    return joined.select("ord", (~(F.coalesce("gone", F.lit(False)) | same)).alias("kept"))
+    every, sets = _distinct_sets(records, threshold, apart)
+    marks = sets.select("ord", F.explode("signatures").alias("sig")).distinct()
+    shared = marks.groupBy("sig").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("sig")
+    marks = cut(marks.join(shared, "sig", "left_semi"))
+    gone = None
+    while (held := marks.select("ord").distinct().count()) > OPEN_AT_ONCE or _grams(sets, marks) > GRAMS_AT_ONCE:
+        firsts = marks.groupBy("sig").agg(F.min("ord").alias("first"))
+        led = cut(marks.join(firsts, "sig"))
+        kept = cut(led.groupBy("ord").agg(F.max("first").alias("most")).where("most = ord").select("ord"))
+        pairs = led.where("first < ord").select(F.col("first").alias("a"), F.col("ord").alias("b")).distinct().join(kept.withColumnRenamed("ord", "a"), "a", "left_semi")
+        now = cut(compared(pairs, sets, threshold).select(F.col("b").alias("ord")).distinct())
+        gone = now if gone is None else gone.unionByName(now)
+        marks = marks.join(kept, "ord", "left_anti").join(now, "ord", "left_anti")
+        shared = marks.groupBy("sig").agg(F.min("ord").alias("first"), F.max("ord").alias("last")).where("first < last").select("sig")
+        marks = cut(marks.join(shared, "sig", "left_semi"))
+    if held:
+        rest = _in_order(sets.join(marks.select("ord").distinct(), "ord", "left_semi"), threshold)
+        gone = rest if gone is None else gone.unionByName(rest)
+    out = every.groupBy("key").agg(F.min("ord").alias("rep"))
+    lost = out.select("rep") if gone is None else out.join(gone.select(F.col("ord").alias("rep")), "rep", "left_anti").select("rep")
+    staying = lost.select(F.col("rep").alias("ord"), F.lit(True).alias("__first"))
+    signed = every.select("ord", F.lit(True).alias("__signed"))
+    joined = records.select(F.col("ord").cast("long").alias("ord")).join(signed, "ord", "left").join(staying, "ord", "left")
+    return joined.select("ord", (F.col("__signed").isNull() | F.col("__first").isNotNull()).alias("kept"))
+
+
+def _grams(sets: DataFrame, marks: DataFrame) -> int:
+    return sets.join(marks.select("ord").distinct(), "ord", "left_semi").agg(F.sum(F.length("grams") / 2)).first()[0] or 0
+
+
+def _in_order(sets: DataFrame, threshold: float) -> DataFrame:
+    """The ords that go, decided one after another in one task; ``sets`` are of bounded number and size."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        rows = sorted((r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())), key=lambda r: r[0])
+        kept: dict[int, tuple] = {}
+        holders: dict[int, list[int]] = {}
+        gone = []
+        for ord_, n, grams, signatures in rows:
+            earlier = sorted({i for s in signatures for i in holders.get(s, ())})
+            if any(alike(kept[i][1], grams, kept[i][0], n, threshold) is not None for i in earlier):
+                gone.append(ord_)
+                continue
+            kept[ord_] = n, grams
+            for s in set(signatures):
+                holders.setdefault(s, []).append(ord_)
+        yield pa.RecordBatch.from_arrays([pa.array(gone, pa.int64())], names=["ord"])
+
+    return cut(sets.select("ord", "n", "grams", "signatures").coalesce(1).mapInArrow(run, "ord long"))
 
 
 def links(records: DataFrame, group: str, order: str, key: Column) -> DataFrame:
@@ -112,24 +243,99 @@ def recover_ids(results: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def page_ranges(entries: DataFrame, pages: int, group: str = "book") -> DataFrame:
-    """start and end page of each table-of-contents row: up to before the first later row on a greater page.
+    """start_page, end_page and granted of each table-of-contents row: up to before the first later row on a greater page.
+
+    Rows are (group, ord, page); rows without a page take the last one before.  The last runs to ``pages``.  A row is granted
+    its pages unless an earlier granted row holds its first one.  A task takes one contents list at a time.
+    """
+    kinds = dict(entries.dtypes)
+
+    def run(pdf):
+        pdf = pdf.sort_values("ord").reset_index(drop=True)
+        start = pdf.page.astype("Float64").ffill()
+        known = start.notna().tolist()
+        first = [int(x) if k else 0 for x, k in zip(start.fillna(0), known)]
+        end, waiting = [pages] * len(first), []
+        for i, p in enumerate(first):
+            while known[i] and waiting and first[waiting[-1]] < p:
+                end[waiting.pop()] = p - 1
+            if known[i]:
+                waiting.append(i)
+        held, granted = set(), []
+        for k, p, q in zip(known, first, end):
+            granted.append(k and p not in held)
+            if granted[-1]:
+                held.update(range(p, q + 1))
+        out = pdf[[group, "ord"]].copy()
+        out["start_page"], out["end_page"], out["granted"] = start.astype("Int64"), [q if k else None for k, q in zip(known, end)], granted
+        out["end_page"] = out.end_page.astype("Int64")
+        return out
+
+    return entries.select(group, "ord", "page").groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, ord {kinds['ord']}, start_page long, end_page long, granted boolean")
+
+
+def in_ranges(pages: DataFrame, ranges: DataFrame, group: str, width: int = 64) -> DataFrame:
+    """``pages`` (group, page) beside every range (group, start_page, end_page and more) of their group that holds them.
+
+    Ranges and pages meet in bins of ``width`` pages, so a long group is not one key.
+    """
+    spans = ranges.where("start_page <= end_page").withColumn("__bin", F.explode(F.sequence(F.floor(F.col("start_page") / width), F.floor(F.col("end_page") / width))))
+    own = pages.withColumn("__bin", F.floor(F.col("page") / width))
+    return own.join(spans, [group, "__bin"]).where("page between start_page and end_page").drop("__bin")
 
-    Rows are (group, ord, page); rows without a page take the last one before.  The last runs to ``pages``.
+
+def numbered(rows: DataFrame, group: str, order: list[str], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` with ``number``, their place in their group from 0, running totals (``sums``) and the last value before that is not null (``lasts``).
+
+    Rows are dealt by ranges of group and order, so a group may lie over many tasks: each numbers its own, and totals of the
+    ranges, a row for each task and group, are added up in between.  All rows of a group never meet.
     """
-    filled = entries.withColumn("start_page", F.last("page", ignorenulls=True).over(W.partitionBy(group).orderBy("ord").rowsBetween(W.unboundedPreceding, 0)))
-    later = filled.select(F.col(group).alias("__g"), F.col("ord").alias("__o"), F.col("start_page").alias("__p"))
-    ahead = filled.join(later, (F.col(group) == F.col("__g")) & (F.col("__o") > F.col("ord")) & (F.col("__p") > F.col("start_page")), "left")
-    ended = ahead.groupBy(group, "ord", "start_page").agg(F.min_by("__p", "__o").alias("next_page"))
-    return ended.select(group, "ord", "start_page", (F.coalesce(F.col("next_page") - 1, F.lit(pages))).alias("end_page"))
+    sums, lasts = sums or {}, lasts or {}
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    valued = rows.withColumns({f"__s_{k}": c for k, c in sums.items()} | {f"__l_{k}": c for k, c in lasts.items()})
+    dealt = cut(valued.repartitionByRange(parts, group, *order).withColumn("__part", F.spark_partition_id()))
+    w = W.partitionBy(group, "__part").orderBy(*order)
+    upto, before = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(W.unboundedPreceding, -1)
+    local = dealt.withColumns({"__n": F.row_number().over(w)} | {f"__t_{k}": F.sum(f"__s_{k}").over(upto) for k in sums} | {f"__b_{k}": F.last(f"__l_{k}", ignorenulls=True).over(before) for k in lasts})
+    place = F.struct(*order)
+    totals = dealt.groupBy(group, "__part").agg(F.count("*").alias("__rows"), *[F.sum(f"__s_{k}").alias(f"__u_{k}") for k in sums], *[F.max_by(F.col(f"__l_{k}"), F.when(F.col(f"__l_{k}").isNotNull(), place)).alias(f"__e_{k}") for k in lasts])
+    earlier = W.partitionBy(group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    ahead = totals.select(group, "__part", F.sum("__rows").over(earlier).alias("__a"), *[F.sum(f"__u_{k}").over(earlier).alias(f"__v_{k}") for k in sums], *[F.last(f"__e_{k}", ignorenulls=True).over(earlier).alias(f"__f_{k}") for k in lasts])
+    same = F.col(f"x.{group}").eqNullSafe(F.col(f"y.{group}")) & (F.col("x.__part") == F.col("y.__part"))
+    both = local.alias("x").join(ahead.alias("y"), same)
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    names = [F.col(f"x.`{c}`") for c in rows.columns]
+    return both.select(*names, (F.col("__n") - 1 + zero(F.col("__a"))).alias("number"), *[(zero(F.col(f"__t_{k}")) + zero(F.col(f"__v_{k}"))).alias(k) for k in sums], *[F.coalesce(f"__b_{k}", f"__f_{k}").alias(k) for k in lasts])
+
+
+def exact_percentiles(rows: DataFrame, group: str, value: str, quantiles: list[float]) -> DataFrame:
+    """group, n and for the i-th quantile l{i} (between the two nearest values), w{i} (nearest rank by whole percents) and r{i} (nearest rank)."""
+    placed = numbered(rows.where(F.col(value).isNotNull()).select(group, value), group, [value])
+    counts = placed.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("n"))
+    both = placed.join(F.broadcast(counts), F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
+    at = lambda c: F.max(F.when(F.col("number") == c, F.col(value)))
+    out = []
+    for i, q in enumerate(quantiles):
+        place = q * (F.col("n") - 1)
+        low, high, share = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
+        whole = F.greatest(F.floor((round(100 * q) * F.col("n") + 99) / 100), F.lit(1)) - 1
+        out += [(low + (high - low) * share).alias(f"l{i}"), at(whole).alias(f"w{i}"), at(F.greatest(F.lit(1), F.ceil(q * F.col("n"))) - 1).alias(f"r{i}")]
+    return both.groupBy(group).agg(F.max("n").alias("n"), *out)
+
+
+def histogram_percentile(levels: DataFrame, group: str, percent: int) -> DataFrame:
+    """group and level: the first level (of few) at which ``percent`` of the counts (group, level, n) are reached."""
+    w = W.partitionBy(group).orderBy("level").rowsBetween(W.unboundedPreceding, 0)
+    summed = levels.withColumn("__c", F.sum("n").over(w)).withColumn("__t", F.sum("n").over(W.partitionBy(group)))
+    return summed.where(F.col("__c") * 100 >= F.col("__t") * percent).groupBy(group).agg(F.min("level").alias("level"))
 
 
 def retention(items: DataFrame, group: str, age: Column, size: str, most_bytes: int, oldest: int) -> DataFrame:
     """``items`` with reason: ``age`` past ``oldest``, or ``size`` for the oldest beyond the byte limit, else null."""
-    aged = items.withColumn("__old", age > oldest)
-    newest_first = W.partitionBy(group).orderBy(age, "doc_id").rowsBetween(W.unboundedPreceding, 0)
-    held = F.sum(F.when(F.col("__old"), 0).otherwise(F.col(size))).over(newest_first)
-    reason = F.when(F.col("__old"), "age").when(held > most_bytes, "size")
-    return aged.withColumn("reason", reason).drop("__old")
+    aged = items.withColumn("__age", age)
+    held = numbered(aged, group, ["__age", "doc_id"], {"__held": F.when(F.col("__age") > oldest, 0).otherwise(F.col(size))})
+    reason = F.when(F.col("__age") > oldest, "age").when(F.col("__held") > most_bytes, "size")
+    return held.withColumn("reason", reason).drop("__age", "__held", "number")
 
 
 def contiguous_parts(weights: list[int], groups: int) -> list[int]:
@@ -160,22 +366,47 @@ def contiguous_parts(weights: list[int], groups: int) -> list[int]:
     return starts
 
 
-def spot_sample(ids: list, size: int, seed: str) -> list:
-    """``size`` ids by a partial shuffle driven by SHA-256 of a counter, without modulo bias."""
+def spot_places(n: int, size: int, seed: str) -> list[int]:
+    """The places of ``size`` of ``n`` items, by the first steps of a shuffle driven by SHA-256 of a counter, without modulo bias."""
     import hashlib
 
-    pool, counter = list(ids), 0
+    moved: dict[int, int] = {}
+    counter = 0
 
-    def below(n: int) -> int:
+    def below(most: int) -> int:
         nonlocal counter
-        limit = 2**64 - 2**64 % n
+        limit = 2**64 - 2**64 % most
         while True:
             x = int.from_bytes(hashlib.sha256(f"{seed}:{counter}".encode()).digest()[:8], "big")
             counter += 1
             if x < limit:
-                return x % n
+                return x % most
+
+    out = []
+    for i in range(min(size, n)):
+        j = i + below(n - i)
+        out.append(moved.get(j, j))
+        moved[j] = moved.get(i, i)
+    return out
+
+
+def spot_sample(ids: list, size: int, seed: str) -> list:
+    return [ids[i] for i in spot_places(len(ids), size, seed)]
+
+
+def spot_audit(rows: DataFrame, group: str, key: str, size: int, seed: str) -> DataFrame:
+    """group, key, place and chance (size over the group's rows) of a sample of each group, as of its keys in ascending order.
+
+    Only counts are needed to know which places are drawn; the rows are then found by their numbers.
+    """
+    from pyspark.sql import types as T
+
+    @F.udf(T.ArrayType(T.LongType()))
+    def drawn(name, n):
+        return spot_places(n, size, f"{seed}:{name}")
 
-    for i in range(min(size, len(pool))):
-        j = i + below(len(pool) - i)
-        pool[i], pool[j] = pool[j], pool[i]
-    return pool[:size]
+    counts = rows.groupBy(group).agg(F.count("*").alias("__n"))
+    places = counts.select(F.col(group).alias("__g"), "__n", F.posexplode(drawn(F.col(group).cast("string"), "__n")).alias("place", "__number"))
+    own = numbered(rows.select(group, key), group, [key])
+    found = own.join(F.broadcast(places), own[group].eqNullSafe(places["__g"]) & (F.col("number") == F.col("__number")))
+    return found.select(group, key, "place", (F.least(F.lit(size), F.col("__n")) / F.col("__n")).alias("chance"))

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusmill.operators import records
+
 
 def _places(text: Column, anchor: Column) -> Column:
     """0, 1 or 2 for none, one or several occurrences, overlapping ones counted."""
@@ -65,3 +68,69 @@ def page_number_furniture(items: DataFrame, support: int = 3, tolerance: float =
     centres = lanes.select("doc", "delta", "edge", F.element_at("r", (F.floor(F.size("r") / 2) + 1).cast("int")).alias("centre"))
     found = own.where("label = 'text'").join(centres, ["doc", "delta", "edge"])
     return found.where(F.abs(F.col("ratio") - F.col("centre")) <= tolerance).select("doc", "ref")
+
+
+def assign_lines(regions: DataFrame, lines: DataFrame) -> DataFrame:
+    """page, line_id, candidates (regions that hold the line whole) and region_id where there is just one."""
+    whole = (F.col("l.left") >= F.col("r.left")) & (F.col("l.right") <= F.col("r.right")) & (F.col("l.top") >= F.col("r.top")) & (F.col("l.bottom") <= F.col("r.bottom"))
+    joined = lines.alias("l").join(regions.alias("r"), (F.col("l.page") == F.col("r.page")) & whole, "left")
+    counted = joined.groupBy(F.col("l.page").alias("page"), F.col("l.line_id").alias("line_id")).agg(F.count("r.region_id").alias("candidates"), F.min("r.region_id").alias("one"))
+    return counted.select("page", "line_id", "candidates", F.when(F.col("candidates") == 1, F.col("one")).alias("region_id"))
+
+
+def omission_status(regions: DataFrame, lines: DataFrame) -> DataFrame:
+    """status (no_recovered_line, one_line, several_lines), regions and pages: how many recovered lines touch the regions."""
+    touches = records.boxes_overlap(regions, lines).groupBy("page", "region_id").agg(F.count("*").alias("n"))
+    own = regions.select("page", "region_id").join(touches, ["page", "region_id"], "left")
+    status = F.when(F.col("n").isNull(), "no_recovered_line").when(F.col("n") == 1, "one_line").otherwise("several_lines")
+    return own.groupBy(status.alias("status")).agg(F.count("*").alias("regions"), F.countDistinct("page").alias("pages"))
+
+
+def overlap_graph(regions: DataFrame, lines: DataFrame, share: float = 0.5) -> DataFrame:
+    """page, region_id, line_id, iou and kind of the pairs that overlap in ``share`` of the smaller one at least.
+
+    kind: one_to_one, split (a region with several lines), merge (a line with several regions) or tangled (both).
+    """
+    width = F.least("l.right", "r.right") - F.greatest("l.left", "r.left")
+    height = F.least("l.bottom", "r.bottom") - F.greatest("l.top", "r.top")
+    area = lambda s: (F.col(f"{s}.right") - F.col(f"{s}.left")) * (F.col(f"{s}.bottom") - F.col(f"{s}.top"))
+    joined = regions.alias("r").join(lines.alias("l"), (F.col("r.page") == F.col("l.page")) & (width > 0) & (height > 0))
+    edges = joined.where(width * height >= share * F.least(area("l"), area("r"))).select(F.col("r.page").alias("page"), "region_id", "line_id", (width * height / (area("l") + area("r") - width * height)).alias("iou"))
+    degree = lambda c: F.count("*").over(W.partitionBy("page", c))
+    own = edges.withColumn("x", degree("region_id")).withColumn("y", degree("line_id"))
+    kind = F.when((F.col("x") == 1) & (F.col("y") == 1), "one_to_one").when((F.col("x") > 1) & (F.col("y") == 1), "split").when(F.col("x") == 1, "merge").otherwise("tangled")
+    return own.select("page", "region_id", "line_id", "iou", kind.alias("kind"))
+
+
+def check_totals(checked: DataFrame, category: str) -> DataFrame:
+    """category, status and n of checked rows."""
+    return checked.groupBy(category, "status").agg(F.count("*").alias("n"))
+
+
+def run_comparison(reference: DataFrame, baseline: DataFrame, retry: DataFrame) -> DataFrame:
+    """page, both statuses and outcome of every reference page; (page, status, errors) of two runs.
+
+    A page that either run has not recovered is not comparable; else fewer errors is improved, more is regressed.
+    """
+    one, two = (df.select("page", F.col("status").alias(f"{n}_status"), F.col("errors").alias(f"{n}_errors")) for df, n in ((baseline, "baseline"), (retry, "retry")))
+    both = reference.select("page").join(one, "page", "left").join(two, "page", "left").fillna("not_requested", ["baseline_status", "retry_status"])
+    delta = F.col("retry_errors") - F.col("baseline_errors")
+    known = (F.col("baseline_status") == "recovered") & (F.col("retry_status") == "recovered")
+    return both.select("page", "baseline_status", "retry_status", F.when(~known | delta.isNull(), "not_comparable").when(delta < 0, "improved").when(delta > 0, "regressed").otherwise("unchanged").alias("outcome"))
+
+
+def rectangle(quad: Column, slope: float = 0.1) -> Column:
+    """left, top, right and bottom of four (x, y) corners from the upper left, clockwise, if their sides are nearly upright and level, else null."""
+    p = [quad[i] for i in range(4)]
+    across = lambda a, b: (F.abs(b["y"] - a["y"]) <= slope * F.abs(b["x"] - a["x"])) & (b["x"] > a["x"])
+    down = lambda a, b: (F.abs(b["x"] - a["x"]) <= slope * F.abs(b["y"] - a["y"])) & (b["y"] > a["y"])
+    good = across(p[0], p[1]) & down(p[1], p[2]) & across(p[3], p[2]) & down(p[0], p[3])
+    box = F.struct(F.least(p[0]["x"], p[3]["x"]).alias("left"), F.least(p[0]["y"], p[1]["y"]).alias("top"), F.greatest(p[1]["x"], p[2]["x"]).alias("right"), F.greatest(p[2]["y"], p[3]["y"]).alias("bottom"))
+    return F.when(good, box)
+
+
+def polygon_area(points: Column) -> Column:
+    """The area of a polygon of (x, y) points, by the shoelace formula."""
+    ahead = F.concat(F.slice(points, 2, F.size(points) - 1), F.slice(points, 1, 1))
+    terms = F.zip_with(points, ahead, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+    return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)) / 2

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
 from corpusmill.functions import udfs
+from corpusmill.session import cut
 
-LEAST_ROWS, MOST_CHILDREN = 4, 128
+#: Rows a table needs over its fragments, and children of a parent and of a corpus at most; fixed values.
+LEAST_ROWS, MOST_CHILDREN, MOST_OF_ALL = 4, 128, 10_000
 
 
 def table_children(records: DataFrame) -> DataFrame:
@@ -22,15 +24,48 @@ def table_children(records: DataFrame) -> DataFrame:
     guarded = parsed.withColumn("__ok", F.when(F.col("is_child"), F.raise_error(F.lit("children are expanded already"))).otherwise(F.when(F.size("t.rows") > MOST_CHILDREN, F.raise_error(F.lit("too many rows"))).otherwise(True)))
     total = F.sum(F.size("t.rows")).over(W.partitionBy("source_key"))
     wide = guarded.where("__ok").withColumn("total", total).where(F.col("total") >= LEAST_ROWS)
+    every = wide.agg(F.sum(F.size("t.rows")).alias("__every"))
+    few = F.when(F.coalesce("__every", F.lit(0)) > MOST_OF_ALL, F.raise_error(F.lit("too many children in all"))).otherwise(True)
+    wide = wide.join(F.broadcast(every), F.lit(True)).where(few)
     rows = wide.select("stable_id", "t", F.size("t.rows").alias("child_count"), F.posexplode("t.rows").alias("child_index", "row"))
     body = F.array_join(F.concat(F.col("t.preamble"), F.array("t.header", "t.separator", "row")), "\n")
     return rows.select("stable_id", "child_index", "child_count", body.alias("child_text"))
 
 
+def with_table_children(records: DataFrame) -> DataFrame:
+    """``records`` (source_key, stable_id, text, is_child) with the table children after them, and each family's fields.
+
+    Parents get retrieval_role table_parent, child_count, source_rows and source_fragments (of all fragments of their
+    source); children get table_child, table_parent_stable_id and child_index; other records none of these.
+    """
+    children = table_children(records)
+    parsed = records.withColumn("__t", udfs.markdown_table("text")).withColumn("__rows", F.size("__t.rows")).withColumn("__is", F.col("__t.header").isNotNull())
+    w = W.partitionBy("source_key", "__is")
+    wide = parsed.withColumn("__total", F.sum("__rows").over(w)).withColumn("__parts", F.count("*").over(w)).withColumn("__parent", F.col("__is") & (F.col("__total") >= LEAST_ROWS))
+    held = lambda c: F.when(F.col("__parent"), c)
+    parents = wide.select(F.lit(0).alias("part"), "stable_id", "text", held(F.lit("table_parent")).alias("retrieval_role"), held(F.col("stable_id")).alias("table_parent_stable_id"), F.lit(None).cast("int").alias("child_index"), held(F.col("__rows")).alias("child_count"), held(F.col("__total")).alias("source_rows"), held(F.col("__parts")).alias("source_fragments"))
+    own = children.select(F.lit(1).alias("part"), F.lit(None).cast("string").alias("stable_id"), F.col("child_text").alias("text"), F.lit("table_child").alias("retrieval_role"), F.col("stable_id").alias("table_parent_stable_id"), "child_index", "child_count", F.lit(None).cast("long").alias("source_rows"), F.lit(None).cast("long").alias("source_fragments"))
+    return parents.unionByName(own)
+
+
+def canonical_records(records: DataFrame, role: str = "retrieval_role") -> DataFrame:
+    """``records`` without those that only serve retrieval."""
+    return records.where(F.coalesce(F.col(role), F.lit("")) != "table_child")
+
+
+def occurrences(records: DataFrame, key: str, order: str) -> DataFrame:
+    """``records`` with occurrence, their place from 0 among those of the same key, null where a key stands once."""
+    counts = records.groupBy(key).agg(F.count("*").alias("__n")).where("__n > 1")
+    several = records.join(counts.select(key), key, "left_semi").withColumn("occurrence", F.row_number().over(W.partitionBy(key).orderBy(order)) - 1)
+    alone = records.join(counts.select(key), key, "left_anti").withColumn("occurrence", F.lit(None).cast("int"))
+    return several.unionByName(alone)
+
+
 def citations(answer: Column) -> Column:
-    """Source ids such as ``S1`` inside square brackets, in order and once each."""
-    groups = F.regexp_extract_all(answer, F.lit(r"\[(S\d+(?:\s*,\s*S\d+)*)\]"), F.lit(1))
-    return F.array_distinct(F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*,\s*"))))
+    """Source ids such as ``S1`` in square brackets that hold nothing else but separators, in order and once each."""
+    groups = F.regexp_extract_all(answer, F.lit(r"\[([^\[\]]+)\]"), F.lit(1))
+    proper = F.filter(groups, lambda g: g.rlike(r"(?i)S\d") & F.regexp_replace(g, r"(?i)S\d+", "").rlike(r"\A[ \t,;:&/-]*\z"))
+    return F.array_distinct(F.flatten(F.transform(proper, lambda g: F.regexp_extract_all(F.upper(g), F.lit(r"(S\d+)"), F.lit(1)))))
 
 
 def claim_scores(claims: DataFrame, sources: DataFrame) -> DataFrame:
@@ -48,13 +83,13 @@ def claim_scores(claims: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def answer_verdict(answers: DataFrame) -> DataFrame:
-    """answer_id and verdict of (answer_id, answer, known_ids), the first that holds: unknown_source, insufficient, no_citation, uncited_paragraph, ok."""
-    bare = F.trim(F.regexp_replace("answer", r"(?s)<think>.*?</think>", ""))
+    """answer_id and verdict of (answer_id, answer, known_ids), the first that holds: insufficient, unknown_source, no_citation, uncited_paragraph, ok."""
+    bare = X.stripped(F.regexp_replace("answer", r"(?s)<think>.*?</think>", ""))
     cited = citations(bare)
-    prose = F.filter(F.split(bare, r"\n+"), lambda p: p.rlike("[A-Za-z]"))
-    uncited = F.exists(prose, lambda p: ~p.rlike(r"\[S\d+(?:\s*,\s*S\d+)*\]"))
-    withheld = F.upper(F.regexp_replace(bare, r"[. ]+$", "")) == "INSUFFICIENT_EVIDENCE"
-    verdict = F.when(F.size(F.array_except(cited, "known_ids")) > 0, "unknown_source").when(withheld, "insufficient").when(F.size(cited) == 0, "no_citation").when(uncited, "uncited_paragraph").otherwise("ok")
+    known = lambda ids: F.size(F.array_intersect(ids, "known_ids"))
+    uncited = F.exists(F.filter(F.split(bare, r"\n+"), lambda p: p.rlike("[A-Za-z]")), lambda p: known(citations(p)) == 0)
+    words = F.regexp_replace(F.when(known(cited) == 0, F.regexp_replace(bare, r"(?i)\[[ \t,;:&/S\d-]*\]", "")).otherwise(bare), r"[. ]+$", "")
+    verdict = F.when(F.upper(X.stripped(words)) == "INSUFFICIENT_EVIDENCE", "insufficient").when(F.size(F.array_except(cited, "known_ids")) > 0, "unknown_source").when(F.size(cited) == 0, "no_citation").when(uncited, "uncited_paragraph").otherwise("ok")
     return answers.select("answer_id", verdict.alias("verdict"))
 
 
@@ -63,14 +98,46 @@ def unsupported_quotes(answers: DataFrame, sources: DataFrame, least: int = 8) -
 
     ``answers``: answer_id, answer; ``sources``: citation_id, excerpt.  White space and case do not matter.
     """
-    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"\s+", " ")))
+    plain = lambda c: F.lower(X.one_spaced(c))
     parts = answers.select("answer_id", F.posexplode(F.split("answer", r"\n+")).alias("paragraph", "p"))
-    quotes = parts.select("answer_id", "paragraph", "p", F.explode(F.regexp_extract_all("p", F.lit('["“]([^"“”]{%d,})["”]' % least), F.lit(1))).alias("quote"))
+    found = F.concat(*[F.regexp_extract_all("p", F.lit(pattern % least), F.lit(1)) for pattern in ('"([^"\\r\\n]{%d,})"', "“([^”\\r\\n]{%d,})”")])
+    quotes = parts.select("answer_id", "paragraph", "p", F.explode(found).alias("quote")).where(plain(F.col("quote")) != "")
     cited = quotes.withColumn("citation_id", F.explode_outer(citations(F.col("p")))).join(sources, "citation_id", "left")
     held = F.max(F.coalesce(F.contains(plain(F.col("excerpt")), plain(F.col("quote"))), F.lit(False)))
     return cited.groupBy("answer_id", "paragraph", "quote").agg(held.alias("held")).where("not held").select("answer_id", "quote")
 
 
+#: Ratios of grounding: what is counted over what; fixed names.
+GROUNDING_RATIOS = {
+    "claim_citation_entailment_accuracy": ("supported_claims_correct", "supported_claims_total"),
+    "unsupported_claim_rate": ("unsupported_claims_exposed", "unsupported_claims_total"),
+    "answer_abstention_accuracy": ("answer_abstentions_correct", "answer_abstentions_total"),
+    "prompt_injection_fixture_accuracy": ("prompt_injection_fixtures_correct", "prompt_injection_fixtures_total"),
+}
+
+
+def grounding_ratios(counts: DataFrame) -> DataFrame:
+    """metric and value over the summed counts of all rows; a ratio without a denominator has no row."""
+    known = {k: v for k, v in GROUNDING_RATIOS.items() if set(v) <= set(counts.columns)}
+    one = counts.agg(*[(F.sum(a) / F.nullif(F.sum(b), F.lit(0))).alias(name) for name, (a, b) in known.items()])
+    return one.unpivot([], list(known), "metric", "value").where("value is not null")
+
+
+def case_index(records: DataFrame, most: int = 8) -> DataFrame:
+    """name, n_records, first_id and the first ``most`` locations of the case names of ``records`` (stable_id, text)."""
+    named = records.select("stable_id", F.explode(X.case_names(F.col("text"))).alias("name"))
+    place = F.row_number().over(W.partitionBy("name").orderBy("stable_id"))
+    first = named.withColumn("__r", place).where(F.col("__r") <= most).groupBy("name").agg(F.array_sort(F.collect_list("stable_id")).alias("locations"))
+    return named.groupBy("name").agg(F.count("*").alias("n_records"), F.min("stable_id").alias("first_id")).join(first, "name")
+
+
+def citation_nodes(records: DataFrame) -> DataFrame:
+    """kind (case or record), node and degree of the graph of records and the case names in them."""
+    named = records.select(F.col("stable_id").cast("string").alias("record"), F.explode(X.case_names(F.col("text"))).alias("case"))
+    parts = [named.groupBy(c).agg(F.count("*").alias("degree")).select(F.lit(c).alias("kind"), F.col(c).alias("node"), "degree") for c in ("case", "record")]
+    return parts[0].unionByName(parts[1])
+
+
 def citation_edges(records: DataFrame) -> DataFrame:
     """source, target and mentions of the case names and chapter references of ``records`` (stable_id, text)."""
     found = F.concat(F.transform(X.case_names(F.col("text")), lambda x: F.concat(F.lit("case:"), X.slug(x))), F.transform(X.cross_references(F.col("text")), lambda x: F.concat(F.lit("ref:"), F.lower(x))))
@@ -79,10 +146,10 @@ def citation_edges(records: DataFrame) -> DataFrame:
 
 def tree_paths(entries: DataFrame) -> DataFrame:
     """node, level and path (titles from the root, joined by `` > ``) of a (node, parent, title) forest of any depth; a cycle below a root is an error."""
-    level = entries.where("parent is null").select("node", F.lit(0).alias("level"), F.col("title").alias("path")).checkpoint()
+    level = cut(entries.where("parent is null").select("node", F.lit(0).alias("level"), F.col("title").alias("path")))
     every, most = level, entries.count()
     for i in range(1, most + 1):
-        level = entries.join(level.select(F.col("node").alias("parent"), F.col("path").alias("above")), "parent").select("node", F.lit(i).alias("level"), F.concat_ws(" > ", "above", "title").alias("path")).checkpoint()
+        level = cut(entries.join(level.select(F.col("node").alias("parent"), F.col("path").alias("above")), "parent").select("node", F.lit(i).alias("level"), F.concat_ws(" > ", "above", "title").alias("path")))
         if level.isEmpty():
             return every
         every = every.unionByName(level)

@@ -12,7 +12,7 @@ from corpusmill.functions import constants as C
 from corpusmill.functions import text as X
 from corpusmill.functions import udfs
 from corpusmill.operators import corpus, evaluation, retrieval
-from corpusmill.sources.tables import table, values
+from corpusmill.sources.tables import spread, table, values
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -32,7 +32,25 @@ def query(sql: str | None = None):
 ASKED = "(1, 'the thing and thation of'), (2, 'erent and the reader'), (3, 'ertion tion the ing'), (4, 'nder thand and his store'), (5, 'les de la mentaire'), (6, 'und der schlicheit'), (7, 'they were heat there'), (8, 'ha')"
 STOP = ", ".join(f"'{w}'" for w in C.STOP_WORDS)
 WORD_SQL = C.WORD.replace("'", "''")
-TOKENS_SQL = f"regexp_extract_all(lower(text), '({WORD_SQL})', 1)"
+
+
+def tokens_sql(text: str) -> str:
+    """The search analyser in DuckDB SQL: folding, broken words, citation spellings, then words and, after them, subsections, citations and amounts."""
+    t = f"replace(replace(lower({text}), 'ß', 'ss'), chr(173), '')"
+    t = f"replace(replace(regexp_replace({t}, '([a-z])-[ \\t]*\\r?\\n[ \\t]*([a-z])', '\\1\\2', 'g'), '§§', ' sections '), '§', ' section ')"
+    t = f"regexp_replace({t}, '\\btitle\\s+(\\d+)\\s+of\\s+the\\s+united\\s+states\\s+code\\b', '\\1 usc', 'g')"
+    for pattern, plain in udfs.ALIASES:
+        ahead = r"(?=\W|$)"
+        t = f"regexp_replace({t}, '{pattern.replace(ahead, r'(\W|$)')}', '{plain + (r'\1' if ahead in pattern else '')}', 'g')"
+    t = f"regexp_replace({t}, '(\\d),(\\d{{3}})(\\D|$)', '\\1\\2\\3', 'g')"
+    cite = udfs.CITATION
+    return f"""(WITH n AS (SELECT {t} AS t) SELECT list_concat(regexp_extract_all(t, '({WORD_SQL})', 1), list_concat(
+      list_transform(regexp_extract_all(t, '{udfs.SUBSECTION}', 0), lambda m: regexp_replace(m, '\\s+', '', 'g')), list_concat(
+      list_transform(regexp_extract_all(t, '{cite}', 0), lambda m: regexp_replace(m, '\\s+', '_', 'g')),
+      list_transform(regexp_extract_all(t, '\\$\\s*(\\d+(?:\\.\\d+)?)', 1), lambda m: 'usd_' || replace(m, '.', '_'))))) FROM n)"""
+
+
+TOKENS_SQL = tokens_sql("text")
 
 
 def asked(spark: SparkSession) -> DataFrame:
@@ -114,27 +132,72 @@ def page_number_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length(X.strip_page_numbers(F.col("text"))).alias("n_left"))
 
 
-@query("""
-WITH f AS (
-  SELECT doc_id, text, string_split(trim(text), chr(10)) AS lines,
+#: What is set before the documents, by doc_id, so that every kind of text occurs: lead, headings, and the headings as cleaned.
+VARIANTS = [
+    ("", None, []),
+    ("Notes and Questions\n", None, []),
+    ("", ["PROBLEM 1 - 2"], ["PROBLEM 1 - 2"]),
+    ("", ["Chapter 3 - Introduction"], ["Chapter 3 - Introduction"]),
+    ("", ["Chapter 3 - Pleading", "§ 3.01 Introduction p. 12"], ["Chapter 3 - Pleading", "§ 3.01 Introduction"]),
+    ("Argued in May. Decided in June. Justice X, dissenting.\n", None, []),
+    ("Justice Y wrote; it was affirmed.\n", ["Roe v. Wade"], ["Roe v. Wade"]),
+    ("| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\n", None, []),
+    ("Rule 7 says so. ", ["Analysis **"], ["Analysis **"]),
+    ("", ["Model Rule 1.6 ........ 44"], ["Model Rule 1.6"]),
+    ("Rule 12 provides that ", None, []),
+    ("1. Id. at 3. See supra note 2, cf. infra.\n2. See e.g., Compare x.\n", None, []),
+    ("", ["Table  of Cases"], ["Table of Cases"]),
+    ("Copyright © 2020 X.\nAll rights reserved.\n", None, []),
+    ("Justice Y wrote; it was affirmed.\n", ["Roe v. Wade", "Notes and Questions"], ["Roe v. Wade", "Notes and Questions"]),
+    ("notes & question\n", ["Chapter 4 - Introduction", "§ 3.01 Introduction"], ["Chapter 4 - Introduction", "§ 3.01 Introduction"]),
+    ("See so. a\t\tb\nc\t\td\ne\t\tf\n", ["Part I"], ["Part I"]),
+]
+
+
+def _literal(x) -> str:
+    quoted = lambda t: "'" + t.replace("'", "''") + "'"
+    return "NULL::VARCHAR[]" if x is None else quoted(x) if isinstance(x, str) else f"[{', '.join(map(quoted, x))}]::VARCHAR[]"
+
+
+def _sql(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+VARIANTS_SQL = ", ".join(f"({i}, {_literal(lead)}, {_literal(raw)}, {_literal(clean)})" for i, (lead, raw, clean) in enumerate(VARIANTS))
+
+
+@query(f"""
+WITH v AS (SELECT * FROM (VALUES {VARIANTS_SQL}) AS v(k, lead, raw, h)),
+d AS (SELECT doc_id, lead || text AS text, raw, h, h[len(h)] AS leaf FROM documents JOIN v ON k = doc_id % {len(VARIANTS)}),
+f AS (
+  SELECT *, string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10)) AS lines,
          len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) AS n_words,
-         len(regexp_extract_all(text, '(?m)^.{5,80}[ \\t]+\\d{1,4}[ \\t]*$')) AS toc,
-         len(regexp_extract_all(text, '(?m)^[A-Z].{2,60},[ \\t]*\\d{1,4}(?:[-,][ \\t]*\\d{1,4})*[ \\t]*$')) AS idx
-  FROM documents)
+         len(regexp_extract_all(text, '(?m){_sql(C.TOC_LINE)}')) AS toc, len(regexp_extract_all(text, '(?m){_sql(C.INDEX_LINE)}')) AS idx,
+         len(list_filter({C.CASE_MARKERS}, lambda m: contains(text, m))) AS marks, len(list_filter({C.STRONG_CASE_MARKERS}, lambda m: contains(text, m))) AS strong,
+         len(list_filter({C.CITING_WORDS}, lambda m: contains(text, m))) AS cites,
+         list_filter(h, lambda x: regexp_matches(x, '(?m){_sql(C.CHAPTER_HEADING)}')) AS chapters
+  FROM d)
 SELECT doc_id, CASE
-  WHEN coalesce(trim(text), '') = '' THEN 'empty'
-  WHEN regexp_matches(text, '(?im)^(?:(?:table of )?contents|(?:summary|brief|short|detailed) (?:of )?contents|table of (?:problems|cases)|index|acknowledgments?|about the authors?)$')
-    OR regexp_matches(text, '(?i)\\bNo part of this publication may be reproduced or transmitted\\b')
+  WHEN coalesce(regexp_replace(text, '\\s', '', 'g'), '') = '' THEN 'empty'
+  WHEN len(list_filter(list_append(h, text), lambda x: regexp_matches(x, '(?im){_sql("|".join(f"(?:{p})" for p in C.STRUCTURAL_LINES))}'))) > 0
+    OR regexp_matches(text, '(?i){_sql(C.STRUCTURAL_TEXTS[1])}') OR regexp_matches(text, '(?is){_sql(C.STRUCTURAL_TEXTS[0].removeprefix("(?s)"))}')
     OR (len(lines) > 3 AND toc > 0.4 * len(lines)) OR (len(lines) > 5 AND idx > 0.4 * len(lines))
-    OR (n_words < 15 AND NOT regexp_matches(substr(text, 1, 100), '[a-zß-öø-ÿ]')) THEN 'structural'
-  WHEN regexp_matches(substr(text, 1, 200), '(?im)^(?:notes?\\s+(?:and|&)\\s+questions?|questions?)\\b') THEN 'notes_and_questions'
-  WHEN len(list_filter(['Justice ', 'Judge ', 'JUSTICE ', 'JUDGE ', 'delivered the opinion', 'Opinion of the Court', 'concurring', 'dissenting', 'affirmed', 'reversed', 'certiorari', 'Argued ', 'Decided '], lambda m: contains(text, m))) >= 2
-    AND len(list_filter(['delivered the opinion', 'Opinion of the Court', 'certiorari', 'Argued ', 'Decided '], lambda m: contains(text, m))) >= 1 THEN 'case_opinion'
+    OR (n_words < 15 AND NOT regexp_matches(substr(text, 1, 100), '\\p{{Ll}}')) THEN 'structural'
+  WHEN regexp_matches(coalesce(array_to_string(raw, ' '), ''), '(?im){_sql(C.NOTES_HEADING)}') OR regexp_matches(substr(text, 1, 200), '(?im){_sql(C.NOTES_HEADING)}') THEN 'notes_and_questions'
+  WHEN len(list_filter(h, lambda x: regexp_matches(x, '(?i){_sql(C.PROBLEM_HEADING)}'))) > 0 THEN 'problem_hypothetical'
+  WHEN len(chapters) > 0 AND ((list_contains(chapters, leaf) AND regexp_matches(leaf, '(?i){_sql(C.INTRODUCTION)}'))
+    OR (regexp_extract(leaf, '(?i){_sql(C.DIRECT_INTRODUCTION)}', 1) <> '' AND regexp_extract(leaf, '(?i){_sql(C.DIRECT_INTRODUCTION)}', 1) = regexp_extract(chapters[len(chapters)], '(?i){_sql(C.CHAPTER_NUMBER)}', 1))) THEN 'chapter_introduction'
+  WHEN len(list_filter(h, lambda x: regexp_matches(x, '(?im){_sql(C.NOTES_HEADING)}'))) = 0 AND marks >= 2 AND (strong >= 1 OR len(list_filter(h, lambda x: regexp_matches(x, '{_sql(C.CASE_NAME)}'))) > 0) THEN 'case_opinion'
   WHEN (len(lines) > 2 AND len(list_filter(lines, lambda x: length(x) - length(replace(x, '|', '')) >= 2)) > 0.3 * len(lines))
     OR len(list_filter(lines, lambda x: length(x) - length(replace(x, chr(9), '')) >= 2)) >= 3 THEN 'table'
+  WHEN len(list_filter(h, lambda x: regexp_full_match(x, '(?i){_sql(C.EXPLANATION_HEADING)}'))) > 0 THEN 'author_narrative'
+  WHEN len(list_filter(h, lambda x: regexp_full_match(x, '(?i){_sql(C.RULE_HEADING)}'))) > 0 OR regexp_matches(substr(text, 1, 500), '(?i){_sql(C.STATUTE_OPENING)}') THEN 'statutory_excerpt'
+  WHEN regexp_matches(text, '{_sql(C.FOOTNOTE_START)}') AND ((len(regexp_extract_all(text, '(?m){_sql(C.FOOTNOTE_START)}')) >= 2 AND cites >= 3) OR (cites >= 4 AND n_words < 200)) THEN 'footnote'
   ELSE 'author_narrative' END AS content_type FROM f""")
 def content_type_classify(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.content_type(F.col("text")).alias("content_type"))
+    variants = spark.createDataFrame([(i, lead, raw) for i, (lead, raw, _) in enumerate(VARIANTS)], "k int, lead string, headings array<string>")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(F.broadcast(variants), F.col("doc_id") % len(VARIANTS) == F.col("k"))
+    return docs.select("doc_id", F.concat("lead", "text").alias("text"), "headings").select("doc_id", X.content_type(F.col("text"), F.col("headings")).alias("content_type"))
 
 
 @query("SELECT doc_id, list_has_any(list_transform(['erent', 'LICENSE', 'mentaire'], lambda k: contains(lower(text), lower(k))), [true]) AS hit FROM documents")
@@ -155,7 +218,7 @@ def token_hash_vector(spark, sf_dir):
 OFFLINE_SQL = f"""
 toks AS (SELECT doc_id, list_filter({TOKENS_SQL}, lambda t: t NOT IN ({STOP})) AS tokens FROM documents),
 stats AS (SELECT count(*) AS n, coalesce(nullif(avg(len(tokens)), 0), 1.0) AS avgdl FROM toks),
-q0 AS (SELECT query_id, list_distinct(list_filter(regexp_extract_all(lower(query), '({WORD_SQL})', 1), lambda t: t NOT IN ({STOP}))) AS terms FROM (VALUES {ASKED}) AS v(query_id, query)),
+q0 AS (SELECT query_id, list_distinct(list_filter({tokens_sql('query')}, lambda t: t NOT IN ({STOP}))) AS terms FROM (VALUES {ASKED}) AS v(query_id, query)),
 q AS (SELECT query_id, len(terms) AS n_terms, unnest(terms) AS term FROM q0),
 post AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM toks) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY 1),
@@ -169,7 +232,7 @@ kstats AS (SELECT count(*) AS n, avg(greatest(len(tokens), 1)) AS avgdl, count(*
 kvoc AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(tokens)) AS term FROM ktoks) GROUP BY 1),
 kidf0 AS (SELECT term, ln(n - df + 0.5) - ln(df + 0.5) AS idf0 FROM kvoc, kstats UNION ALL SELECT NULL, ln(n - n_empty + 0.5) - ln(n_empty + 0.5) FROM kstats WHERE n_empty > 0),
 kidf AS (SELECT term, CASE WHEN idf0 < 0 THEN 0.25 * (SELECT avg(idf0) FROM kidf0) ELSE idf0 END AS idf FROM kidf0),
-kq AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '({WORD_SQL})', 1)) AS term FROM (VALUES {ASKED}) AS v(query_id, query)) GROUP BY 1, 2),
+kq AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({tokens_sql('query')}) AS term FROM (VALUES {ASKED}) AS v(query_id, query)) GROUP BY 1, 2),
 kpost AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS term FROM ktoks) WHERE term IN (SELECT term FROM kq) GROUP BY 1, 2, 3),
 ksc AS (SELECT query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * times) AS score FROM kpost JOIN kidf USING (term) JOIN kq USING (term), kstats GROUP BY 1, 2),
 okapi AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM ksc)"""
@@ -203,7 +266,7 @@ SELECT query_id, count(*) AS hits, count(*) FILTER (lang = 'en') AS compliant, r
 def filter_compliance(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     hits = retrieval.bm25_offline(docs, asked(spark))
-    held = retrieval.small(hits).join(docs.select("doc_id", "lang"), "doc_id").withColumn("ok", F.col("lang").eqNullSafe("en"))
+    held = F.broadcast(hits).join(docs.select("doc_id", "lang"), "doc_id").withColumn("ok", F.col("lang").eqNullSafe("en"))
     return held.groupBy("query_id").agg(F.count("*").alias("hits"), F.count(F.when(F.col("ok"), 1)).alias("compliant"), F.round(F.avg(F.col("ok").cast("int")), 6).alias("compliance"))
 
 
@@ -312,23 +375,28 @@ WITH s AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type
 SELECT event_type, round(quantile_cont(value, 0.95), 6) AS linear, round(max(value) FILTER (r = (95 * n + 99) // 100), 6) AS nearest_whole,
        round(max(value) FILTER (r = greatest(1, CAST(ceil(0.95 * n) AS BIGINT))), 6) AS nearest_real FROM s GROUP BY 1""")
 def percentile_definitions(spark, sf_dir):
-    w = W.partitionBy("event_type")
-    rows = table(spark, sf_dir, "events").where("value is not null").select("event_type", "value", F.row_number().over(w.orderBy("value")).alias("r"), F.count("*").over(w).alias("n"))
-    pick = lambda c: F.round(F.max(F.when(F.col("r") == c, F.col("value"))), 6)
-    return rows.groupBy("event_type").agg(F.round(F.percentile("value", 0.95), 6).alias("linear"), pick(F.floor((95 * F.col("n") + 99) / 100)).alias("nearest_whole"), pick(F.greatest(F.lit(1), F.ceil(0.95 * F.col("n")))).alias("nearest_real"))
+    out = corpus.exact_percentiles(table(spark, sf_dir, "events"), "event_type", "value", [0.95])
+    return out.select("event_type", F.round("l0", 6).alias("linear"), F.round("w0", 6).alias("nearest_whole"), F.round("r0", 6).alias("nearest_real"))
 
 
 @query("SELECT event_type, count(*) AS calls, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(max(value), 6) AS most FROM events GROUP BY 1")
 def latency_summary(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.round(F.max("value"), 6).alias("most"))
+    events = table(spark, sf_dir, "events")
+    means = events.groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("most"))
+    places = corpus.exact_percentiles(events, "event_type", "value", [0.5, 0.95]).select("event_type", F.round("l0", 6).alias("p50"), F.round("l1", 6).alias("p95"))
+    return means.join(places, "event_type", "left")
 
 
 # --- evaluation
 
+#: What a labelled document must hold to be judged for a query; the judgments know nothing of the ranking.
+JUDGED_BY = "(1, 'thation'), (2, 'erent'), (3, 'ertion'), (4, 'thand'), (5, 'mentaire'), (6, 'schlicheit'), (7, 'heat'), (8, 'ha')"
+
 GRADED_SQL = f"""
 WITH {OFFLINE_SQL},
-g AS (SELECT o.query_id, o.rank, o.doc_id, coalesce(l.quality + 2 * (1 - l.toxic), 0)::DOUBLE AS relevance FROM offline o LEFT JOIN labels l USING (doc_id) WHERE o.rank <= 10),
-pos AS (SELECT query_id, doc_id, relevance FROM (SELECT query_id, doc_id, (l.quality + 2 * (1 - l.toxic))::DOUBLE AS relevance FROM offline JOIN labels l USING (doc_id) WHERE rank <= 40) WHERE relevance > 0),
+j AS (SELECT query_id, doc_id, (l.quality + 2 * (1 - l.toxic))::DOUBLE AS relevance FROM documents d JOIN labels l USING (doc_id) JOIN (VALUES {JUDGED_BY}) AS v(query_id, word) ON contains(lower(d.text), word)),
+pos AS (SELECT * FROM j WHERE relevance > 0),
+g AS (SELECT o.query_id, o.rank, o.doc_id, coalesce(p.relevance, 0)::DOUBLE AS relevance FROM offline o LEFT JOIN pos p USING (query_id, doc_id) WHERE o.rank <= 10),
 tot AS (SELECT query_id, count(*) AS total FROM pos GROUP BY 1),
 ideal AS (SELECT query_id, sum((2 ** relevance - 1) / log2(p + 1)) AS ideal FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id) AS p FROM pos) WHERE p <= 10 GROUP BY 1),
 seen AS (SELECT *, sum((relevance > 0)::INT) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS s FROM g),
@@ -337,12 +405,17 @@ m AS (SELECT query_id, coalesce(1 / first, 0) AS mrr, coalesce(ap / total, 0) AS
       FROM tot JOIN ideal USING (query_id) LEFT JOIN agg USING (query_id))"""
 
 
+def judgments(spark, sf_dir):
+    """query_id, doc_id and relevance of the labelled documents that hold a query's word."""
+    words = values(spark, JUDGED_BY, "query_id, word")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(table(spark, sf_dir, "labels"), "doc_id")
+    relevance = (F.col("quality") + 2 * (1 - F.col("toxic"))).cast("double")
+    return docs.join(F.broadcast(words), F.contains(F.lower("text"), F.col("word"))).select("query_id", "doc_id", relevance.alias("relevance"))
+
+
 def _metrics(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    hits = retrieval.bm25_offline(docs, asked(spark), 40)
-    relevance = (F.col("quality") + 2 * (1 - F.col("toxic"))).cast("double").alias("relevance")
-    qrels = hits.join(labels.select("doc_id", relevance), "doc_id").select("query_id", "doc_id", "relevance")
-    grades = evaluation.graded(hits.where("rank <= 10"), qrels)
+    qrels = judgments(spark, sf_dir)
+    grades = evaluation.graded(retrieval.bm25_offline(table(spark, sf_dir, "documents"), asked(spark)), qrels)
     return evaluation.query_metrics(grades, qrels, (10,))
 
 
@@ -371,10 +444,9 @@ def metric_gates(spark, sf_dir):
 
 @query()
 def paired_bootstrap(spark, sf_dir):
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    qrels = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").join(retrieval.bm25_offline(docs, asked(spark), 40).select("query_id", "doc_id"), "doc_id").withColumn("relevance", F.lit(1.0))
-    one = evaluation.long_metrics(evaluation.query_metrics(evaluation.graded(retrieval.bm25_offline(docs, asked(spark)), qrels), qrels, (10,)))
-    two = evaluation.long_metrics(evaluation.query_metrics(evaluation.graded(retrieval.bm25_okapi(docs, asked(spark)), qrels), qrels, (10,)))
+    docs, qrels = table(spark, sf_dir, "documents"), judgments(spark, sf_dir)
+    measured = lambda hits: evaluation.long_metrics(evaluation.query_metrics(evaluation.graded(hits, qrels), qrels, (10,)))
+    one, two = measured(retrieval.bm25_offline(docs, asked(spark))), measured(retrieval.bm25_okapi(docs, asked(spark)))
     pairs = one.withColumnRenamed("value", "baseline").join(two.withColumnRenamed("value", "candidate"), ["query_id", "metric"])
     return evaluation.paired_bootstrap(pairs)
 
@@ -484,15 +556,14 @@ def contamination_join(spark, sf_dir):
         return df.select(key, words.alias("w")).where(F.size("w") >= 5).select(key, F.explode(F.array_distinct(own)).alias("s"))
 
     items = shingles(table(spark, sf_dir, "benchmark"), "item_id")
-    docs = shingles(table(spark, sf_dir, "documents"), "doc_id")
-    return docs.join(retrieval.small(items, 1_000_000), "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    docs = shingles(spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"), "doc_id")
+    return docs.join(items, "s").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
-@query("""
-WITH t AS (SELECT item_id, regexp_replace(text, '[^ -~]', '', 'g') AS text FROM benchmark), p AS (SELECT a.item_id, a.text AS reference, b.text AS prediction FROM t a JOIN t b ON b.item_id = a.item_id + 1)
-SELECT item_id, levenshtein(reference, prediction) AS distance, length(reference) AS units, round(levenshtein(reference, prediction) / length(reference), 6) AS rate FROM p""")
+@query()
 def edit_distance_rates(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").withColumn("text", F.regexp_replace("text", "[^ -~]", ""))
+    """Distances count code points of the whole texts; DuckDB's count bytes, so the test holds them against brute force."""
+    b = table(spark, sf_dir, "benchmark")
     pairs = b.select("item_id", F.col("text").alias("reference")).join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("prediction")), "item_id")
     d = F.levenshtein("reference", "prediction")
     return pairs.select("item_id", d.cast("long").alias("distance"), F.length("reference").cast("long").alias("units"), F.round(d / F.length("reference"), 6).alias("rate"))
