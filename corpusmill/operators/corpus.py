@@ -197,6 +197,14 @@ def links(records: DataFrame, group: str, order: str, key: Column) -> DataFrame:
     return records.withColumn("__key", key).withColumn("previous_id", F.lag("__key").over(w)).withColumn("next_id", F.lead("__key").over(w)).drop("__key")
 
 
+def link_issues(records: DataFrame, group: str, order: str, key: str) -> DataFrame:
+    """group, order and issue (previous_id, next_id) of ``records`` whose stored links differ from their order ("" for none)."""
+    own = links(records.withColumnRenamed("previous_id", "__p").withColumnRenamed("next_id", "__n"), group, order, F.col(key))
+    wrong = lambda stored, true, name: F.when(~F.coalesce(F.col(stored).cast("string"), F.lit("")).eqNullSafe(F.coalesce(F.col(true).cast("string"), F.lit(""))), name)
+    issues = F.array_compact(F.array(wrong("__p", "previous_id", "previous_id"), wrong("__n", "next_id", "next_id")))
+    return own.select(group, order, F.explode(issues).alias("issue"))
+
+
 def neighbours(records: DataFrame, group: str, order: str, distance: int = 2) -> DataFrame:
     """(group, order, relation, distance, neighbour) of every record's neighbours up to ``distance`` away."""
     w = W.partitionBy(group).orderBy(order)

@@ -84,11 +84,13 @@ def source_histogram(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT doc_id, text, length(regexp_replace(text, '\\s', '', 'g')) AS visible FROM documents)
-SELECT doc_id, visible >= 40 AND length(text) - length(replace(text, chr(65533), '')) <= 0.02 * visible
-       AND len(regexp_extract_all(text, '\\(cid:\\d+\\)')) * 8 <= 0.02 * length(text) AS usable FROM v""")
+WITH v AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN left(text, 400) || repeat(chr(65533), (doc_id % 11)::INT) WHEN doc_id % 5 = 1 THEN left(text, 400) || repeat(chr(57344), (doc_id % 11)::INT) ELSE text END AS t FROM documents)
+SELECT doc_id, length(regexp_replace(t, '\\s', '', 'g')) >= 40 AND (length(t) - length(replace(t, chr(65533), ''))) / greatest(length(t), 1) <= 0.02
+       AND (length(t) - length(replace(replace(t, chr(65533), ''), chr(57344), ''))) / greatest(length(t), 1) <= 0.02 AS usable FROM v""")
 def page_text_usability(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.usable_page(F.col("text")).alias("usable"))
+    marks = lambda c: F.concat(F.left("text", F.lit(400)), F.repeat(F.lit(c), (F.col("doc_id") % 11).cast("int")))
+    t = F.when(F.col("doc_id") % 5 == 0, marks("\ufffd")).when(F.col("doc_id") % 5 == 1, marks("\ue000")).otherwise(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("text")).select("doc_id", X.usable_page(F.col("text")).alias("usable"))
 
 
 @query("SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens, CASE WHEN length(text) = 0 THEN 'empty' WHEN length(text) > 20000 THEN 'long' WHEN length(text) < 40 THEN 'short' END AS reason FROM documents")
