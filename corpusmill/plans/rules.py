@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import constants as C
 from corpusmill.functions import text as X
 from corpusmill.functions import udfs
-from corpusmill.operators import corpus, evaluation, grounding, ingest, ocr, records, retrieval, service, telemetry
+from corpusmill.operators import corpus, evaluation, grounding, ingest, ocr, quality, records, retrieval, service, telemetry
 from corpusmill.plans.catalog import OFFLINE_SQL, OKAPI_SQL, _sql, asked, judgments, query
 from corpusmill.sources import exports
 from corpusmill.sources.tables import spread, table, values
@@ -402,6 +402,56 @@ def redacted_details(spark, sf_dir):
     return evaluation.redacted(docs_of(spark, sf_dir).select("doc_id", "lang", "text"), ["doc_id"], ["text"])
 
 
+QUALITY_SQL = """
+d AS (SELECT source, doc_id AS ord, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 + CASE WHEN doc_id % 101 = 0 THEN 1 ELSE 0 END AS chunk_index, CASE WHEN doc_id % 103 = 0 THEN 's0' ELSE 's' || doc_id END AS stable_id, CASE WHEN doc_id % 107 = 0 THEN 'zz' ELSE left(sha256(text), 16) END AS chunk_hash,
+  CASE WHEN doc_id % 11 = 0 THEN '| a |' || chr(10) || text ELSE text END AS text, CASE doc_id % 11 WHEN 0 THEN 'table' WHEN 1 THEN 'odd' WHEN 2 THEN NULL ELSE 'author_narrative' END AS content_type, CASE doc_id % 22 WHEN 0 THEN 'table' WHEN 3 THEN 'footnote' WHEN 4 THEN 'pages' WHEN 5 THEN 'table' ELSE 'body' END AS content_source,
+  n_chars % 50 AS p1, n_chars % 50 + doc_id % 3 - (CASE WHEN doc_id % 29 = 0 THEN 3 ELSE 0 END) AS p2, CASE WHEN doc_id % 109 <> 0 THEN n_chars END AS tokens, n_chars // 4 AS embedded,
+  CASE doc_id % 7 WHEN 0 THEN ['Roe v. Wade'] WHEN 1 THEN ['In re X', 'odd'] WHEN 2 THEN NULL ELSE [] END AS cases, CASE WHEN doc_id % 7 = 0 THEN 'Roe v. Wade' WHEN doc_id % 14 = 3 THEN 'x' END AS primary_case, CASE WHEN doc_id % 2 = 0 THEN 3 ELSE 0 END AS n_rows, 2 AS n_cols,
+  coalesce(lag(CASE WHEN doc_id % 103 = 0 THEN 's0' ELSE 's' || doc_id END) OVER (PARTITION BY source ORDER BY doc_id), '') AS prev, CASE WHEN doc_id % 13 = 0 THEN 'wrong' ELSE coalesce(lag(CASE WHEN doc_id % 103 = 0 THEN 's0' ELSE 's' || doc_id END) OVER (PARTITION BY source ORDER BY doc_id), '') END AS previous_id,
+  CASE WHEN doc_id % 17 <> 0 THEN '#' || doc_id END AS ref, CASE WHEN doc_id % 19 = 0 THEN 'old' ELSE md5(text) END AS told, md5(text) AS m, lang, doc_id, n_chars FROM documents),
+items AS (SELECT '#' || doc_id AS ref, CASE WHEN doc_id % 5 = 0 THEN 'table' ELSE 'text' END AS label, md5(text) AS sha256, doc_id % 4 <> 0 AS eligible FROM documents WHERE doc_id % 23 <> 0),
+v AS (SELECT *, p1 >= 1 AND p1 <= p2 AS valid FROM d), w AS (SELECT *, last_value(CASE WHEN valid THEN p1 END IGNORE NULLS) OVER (PARTITION BY source ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM v),
+missing AS (SELECT * FROM items WHERE eligible AND NOT EXISTS (SELECT 1 FROM d WHERE d.ref = items.ref)),
+foot AS (SELECT lang AS doc, '#' || doc_id AS ref, 'See ' || left(text, 20) AS t FROM documents WHERE doc_id % 6 = 0),
+c AS (
+  SELECT 'nonempty_corpus' AS name, count(*) AS observed FROM d UNION ALL SELECT 'unique_stable_ids', count(DISTINCT stable_id) FROM d UNION ALL SELECT 'valid_chunk_hashes', count(*) FROM d WHERE chunk_hash = 'zz'
+  UNION ALL SELECT 'page_metadata_valid', count(*) FROM v WHERE NOT valid UNION ALL SELECT 'page_regressions', count(*) FROM w WHERE valid AND p1 < before UNION ALL SELECT 'contiguous_chunk_indexes', count(*) FROM d WHERE doc_id % 101 = 0
+  UNION ALL SELECT 'retrieval_linkage_invariants', count(*) FROM d WHERE previous_id <> prev UNION ALL SELECT 'raw_token_counts_present', count(tokens) FROM d UNION ALL SELECT 'embedding_counts_present', count(embedded) FROM d UNION ALL SELECT 'embedding_limit', count(*) FROM d WHERE embedded > 1000
+  UNION ALL SELECT 'normalization_invariants', count(*) FILTER (regexp_matches(text, '[A-Za-z0-9]-\\s+[a-z]|[A-Za-z0-9]\\s+-[A-Za-z0-9]')) + count(*) FILTER (content_source <> 'table' AND regexp_matches(text, '(^|[^A-Za-z0-9_])(?:[A-Za-z]\\s+){3,}[A-Za-z]([^A-Za-z0-9_]|$)')) + count(*) FILTER (contains(text, chr(65533))) FROM d
+  UNION ALL SELECT 'known_content_types', count(DISTINCT coalesce(content_type, '')) FROM d WHERE coalesce(content_type, '') IN ('', 'odd')
+  UNION ALL SELECT 'classification_invariants', count(*) FILTER (content_type IS NULL) + count(*) FILTER (content_source = 'pages') + count(*) FILTER (content_source IN ('table', 'footnote') AND content_type IS DISTINCT FROM content_source) FROM d
+  UNION ALL SELECT 'entity_invariants', count(*) FILTER (cases IS NULL OR doc_id % 7 = 1) + count(*) FILTER (primary_case IS DISTINCT FROM cases[1]) FROM d
+  UNION ALL SELECT 'table_invariants', count(*) FILTER (NOT regexp_matches(text, '(?m)^\\s*\\|')) + count(*) FILTER (n_rows < 1) FROM d WHERE content_source = 'table'
+  UNION ALL SELECT 'chunks_have_source_lineage', count(*) FROM d WHERE ref IS NULL UNION ALL SELECT 'eligible_source_items_represented', count(*) FROM missing UNION ALL SELECT 'source_tables_represented', count(*) FROM missing WHERE label = 'table'
+  UNION ALL SELECT 'source_refs_resolve', count(*) FROM d WHERE ref IS NOT NULL AND NOT EXISTS (SELECT 1 FROM items i WHERE i.ref = d.ref) UNION ALL SELECT 'source_lineage_matches_source', count(*) FROM d JOIN items i USING (ref) WHERE d.told <> i.sha256
+  UNION ALL SELECT 'structural_ranges_excluded', count(*) FROM v WHERE valid AND ((p1 >= 5 AND p2 <= 9) OR (p1 >= 30 AND p2 <= 31))
+  UNION ALL SELECT 'canonical_text_duplicates', count(*) FROM (SELECT 1 FROM d WHERE regexp_replace(lower(text), '[^a-z0-9]', '', 'g') <> '' GROUP BY regexp_replace(lower(text), '[^a-z0-9]', '', 'g') HAVING count(*) > 1)
+  UNION ALL SELECT 'substantive_excluded_page_footers', count(*) FROM foot WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.ref = foot.ref))"""
+
+
+@query(f"""
+WITH {QUALITY_SQL}, r AS (SELECT name, observed, CASE WHEN name IN ('unique_stable_ids', 'raw_token_counts_present', 'embedding_counts_present') THEN (SELECT count(*) FROM d) ELSE 0 END AS required FROM c)
+SELECT *, CASE WHEN (name = 'nonempty_corpus' AND observed > 0) OR (name <> 'nonempty_corpus' AND observed = required) THEN 'pass' WHEN name IN ('canonical_text_duplicates', 'substantive_excluded_page_footers') THEN 'warning' ELSE 'fail' END AS status FROM r""")
+def quality_report(spark, sf_dir):
+    k, n, d = F.col("doc_id"), F.col("n_chars"), docs_of(spark, sf_dir)
+    w = W.partitionBy("source").orderBy("doc_id")
+    stable = F.when(k % 103 == 0, "s0").otherwise(F.concat(F.lit("s"), k))
+    names = F.when(k % 7 == 0, F.array(F.lit("Roe v. Wade"))).when(k % 7 == 1, F.array(F.lit("In re X"), F.lit("odd"))).when(k % 7 != 2, F.array().cast("array<string>"))
+    refs = F.when(k % 17 != 0, F.array(F.struct(F.concat(F.lit("#"), k).alias("ref"), F.when(k % 19 == 0, "old").otherwise(F.md5("text")).alias("sha256")))).otherwise(F.array().cast("array<struct<ref:string,sha256:string>>"))
+    kind = k % 22
+    own = d.select(
+        "source", k.alias("ord"), (F.row_number().over(w) - 1 + F.when(k % 101 == 0, 1).otherwise(0)).alias("chunk_index"), stable.alias("stable_id"), F.when(k % 107 == 0, "zz").otherwise(F.left(F.sha2("text", 256), F.lit(16))).alias("chunk_hash"),
+        F.when(k % 11 == 0, F.concat(F.lit("| a |\n"), "text")).otherwise(F.col("text")).alias("text"), F.when(k % 11 == 0, "table").when(k % 11 == 1, "odd").when(k % 11 != 2, "author_narrative").alias("content_type"),
+        F.when((kind == 0) | (kind == 5), "table").when(kind == 3, "footnote").when(kind == 4, "pages").otherwise("body").alias("content_source"), (n % 50).alias("page_start"), (n % 50 + k % 3 - F.when(k % 29 == 0, 3).otherwise(0)).alias("page_end"),
+        F.when(k % 109 != 0, n).alias("token_count"), F.floor(n / 4).alias("embedding_token_count"), names.alias("case_names"), F.when(k % 7 == 0, "Roe v. Wade").when(k % 14 == 3, "x").alias("primary_case"), F.when(k % 2 == 0, 3).otherwise(0).alias("table_rows"), F.lit(2).alias("table_cols"),
+        F.when(k % 13 == 0, "wrong").otherwise(F.coalesce(F.lag(stable).over(w), F.lit(""))).alias("previous_id"), refs.alias("refs"),
+    )
+    items = d.where("doc_id % 23 <> 0").select(F.concat(F.lit("#"), k).alias("ref"), F.when(k % 5 == 0, "table").otherwise("text").alias("label"), F.md5("text").alias("sha256"), (k % 4 != 0).alias("eligible"))
+    ranges = d.select("source").distinct().select("source", F.explode(F.array(F.struct(F.lit(5).alias("a"), F.lit(9).alias("b")), F.struct(F.lit(30).alias("a"), F.lit(31).alias("b")))).alias("x")).select("source", F.col("x.a").alias("start_page"), F.col("x.b").alias("end_page"))
+    footers = d.where("doc_id % 6 = 0").select(F.col("lang").alias("doc"), F.concat(F.lit("#"), k).alias("ref"), F.concat(F.lit("See "), F.left("text", F.lit(20))).alias("text"))
+    return quality.quality_report(own, items, ranges, footers, 1000)
+
+
 # --- service, telemetry, geometry
 
 
