@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import html_render, kn_quality, license_scan, simhash_dedup, topk_index, toxicity, url_filter
+from corpusmill.llm import html_render, kn_quality, license_scan, shingle_dedup, simhash_dedup, topk_index, toxicity, url_filter
 from corpusmill.llm.common import table
 
 
@@ -284,3 +284,26 @@ def test_near_copies_are_those_of_brute_force(spark, sf_dir):
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()) == want
     assert sorted(r.doc_id for r in simhash_dedup.deduplicated(docs).collect()) != want
     assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), sf_dir).count() == 0
+    old = shingle_dedup.FEW, shingle_dedup.CROWD, shingle_dedup.AT_ONCE
+    try:  # all meetings in blocks, in portions
+        shingle_dedup.FEW, shingle_dedup.CROWD, shingle_dedup.AT_ONCE = 1, 3, 5
+        assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect()) == want
+    finally:
+        shingle_dedup.FEW, shingle_dedup.CROWD, shingle_dedup.AT_ONCE = old
+
+
+def test_near_copies_of_a_crowd_and_odd_rows(spark):
+    rng = random.Random(10)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(250):  # copies of copies about the threshold, and a passage that all share
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2])):
+            words[rng.randrange(60)] = f"x{rng.randrange(30)}"
+        rows.append((i if i % 50 else None, " ".join(words), i % 3))
+    rows += [(7, rows[7][1], 0), (900, None, 1), (901, "", 2), (None, None, 0), (5, rows[5][1], 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `key` int").withColumn("row", F.lit("own")).withColumn("a.b", F.lit(1))
+    got = shingle_dedup.without_near_copies(docs)
+    assert got.columns == docs.columns and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
+    ids = [(10**6 if d is None else d, t) for d, t, _ in rows]
+    assert sorted(10**6 if r.doc_id is None else r.doc_id for r in got.collect()) == brute_survivors(ids)
