@@ -6,18 +6,16 @@ import json
 import os
 import time
 
-from corpusmill.plans import catalog
+from corpusmill.plans import catalog, rules  # noqa: F401  rules registers its queries
 from corpusmill.session import session
 
-HEADLINE = ["bm25_offline_topk", "bm25_okapi_topk", "rrf_fusion", "ndcg_map_mrr", "vector_topk_cosine", "exact_dup_groups", "content_type_classify", "token_hash_vector", "contamination_join", "snapshot_diff", "session_windows", "family_collapse", "quality_checks"]
+HEADLINE = ["bm25_offline_topk", "bm25_okapi_topk", "rrf_fusion", "ndcg_map_mrr", "vector_topk_cosine", "exact_dup_groups", "content_type_classify", "token_hash_vector", "contamination_join", "snapshot_diff", "session_windows", "family_collapse", "quality_checks", "near_dup_kept", "quality_report"]
 
 
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), int(os.environ.get("BENCH_CPUS", "8"))
     spark = session(f"local[{cpus}]", cpus)
     spark.sparkContext.setLogLevel("ERROR")
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(f"/tmp/corpusmill-bench-{os.getpid()}")
     took = {}
     spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for name in HEADLINE:

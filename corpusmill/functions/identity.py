@@ -59,6 +59,30 @@ def stable_id(record: dict, version: int = 2) -> str:
     return "chunk_" + short_sha(fields)
 
 
+def context_parent(metadata: dict) -> str:
+    """``context_`` and 16 hex digits of the source and chapter that a record's neighbours share; "" for records that have none.
+
+    Table children, structural records, footnotes and figures stand alone; records without a chapter share the front matter.
+    """
+    alone = metadata.get("retrieval_role") == "table_child" or metadata.get("content_type") == "structural" or metadata.get("content_source") in ("footnote", "figure")
+    chapter = metadata.get("chapter_num")
+    if alone or not (chapter is None or type(chapter) is int):
+        return ""
+    if metadata.get("stable_id_source") is not None:
+        source: object = bound_source(metadata)
+    elif isinstance(metadata.get("source_file"), str) and metadata["source_file"].strip():
+        source = {"legacy_source_file": metadata["source_file"]}
+    else:
+        return ""
+    return "context_" + short_sha({"source": source, "chapter_group": "front_matter" if chapter is None else chapter})
+
+
+@F.pandas_udf(T.StringType())
+def parent_id(metadata: pd.Series) -> pd.Series:
+    """Context parents of metadata given as JSON."""
+    return metadata.map(lambda m: context_parent(json.loads(m)), na_action="ignore")
+
+
 @F.pandas_udf(T.StringType())
 def record_id(record: pd.Series) -> pd.Series:
     """Stable ids of records given as JSON lines."""

@@ -146,7 +146,7 @@ def first_kept(records: DataFrame, threshold: float = 0.95, apart: list[str] | N
     while (held := marks.select("ord").distinct().count()) > OPEN_AT_ONCE or _grams(sets, marks) > GRAMS_AT_ONCE:
         firsts = marks.groupBy("sig").agg(F.min("ord").alias("first"))
         led = cut(marks.join(firsts, "sig"))
-        kept = cut(led.groupBy("ord").agg(F.max("first").alias("most")).where("most = ord").select("ord"))
+        kept = cut(led.groupBy("ord").agg(F.min("first").alias("least")).where("least = ord").select("ord"))
         pairs = led.where("first < ord").select(F.col("first").alias("a"), F.col("ord").alias("b")).distinct().join(kept.withColumnRenamed("ord", "a"), "a", "left_semi")
         now = cut(compared(pairs, sets, threshold).select(F.col("b").alias("ord")).distinct())
         gone = now if gone is None else gone.unionByName(now)

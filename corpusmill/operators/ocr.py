@@ -134,3 +134,35 @@ def polygon_area(points: Column) -> Column:
     ahead = F.concat(F.slice(points, 2, F.size(points) - 1), F.slice(points, 1, 1))
     terms = F.zip_with(points, ahead, lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)) / 2
+
+
+def clipped_polygon(points: list[tuple[float, float]], left: float, top: float, right: float, bottom: float) -> list[tuple[float, float]]:
+    """The part of a convex polygon inside a box, cut by one side of the box after another."""
+    for axis, limit, sign in ((0, left, 1), (0, right, -1), (1, top, 1), (1, bottom, -1)):
+        inside = lambda p, a=axis, m=limit, s=sign: s * (p[a] - m) >= 0
+        out = []
+        for p, q in zip(points, [*points[1:], *points[:1]]):
+            if inside(p):
+                out.append(p)
+            if inside(p) != inside(q):
+                t = (limit - p[axis]) / (q[axis] - p[axis])
+                out.append((p[0] + t * (q[0] - p[0]), p[1] + t * (q[1] - p[1])))
+        points = out
+    return points
+
+
+def nearest_binary32(numerator: int, denominator: int) -> float:
+    """The single-precision number nearest to a fraction, ties to even, without rounding twice."""
+    from fractions import Fraction
+
+    value = abs(Fraction(numerator, denominator))
+    if not value:
+        return 0.0
+    power = value.numerator.bit_length() - value.denominator.bit_length()
+    power -= value < Fraction(2) ** power
+    step = Fraction(2) ** (max(power, -126) - 23)
+    whole = round(value / step)  # to even on ties
+    result = float(whole * step)
+    if result >= 2.0**128:
+        raise OverflowError("beyond single precision")
+    return -result if (numerator < 0) != (denominator < 0) else result

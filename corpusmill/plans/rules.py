@@ -6,9 +6,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions import constants as C
+from corpusmill.functions import identity, markdown, udfs
 from corpusmill.functions import text as X
-from corpusmill.functions import udfs
-from corpusmill.operators import corpus, evaluation, grounding, ingest, ocr, quality, records, retrieval, service, telemetry
+from corpusmill.operators import corpus, divisions, evaluation, fidelity, grounding, ingest, ocr, quality, records, retrieval, service, telemetry
 from corpusmill.plans.catalog import OFFLINE_SQL, OKAPI_SQL, _sql, asked, judgments, query
 from corpusmill.sources import exports
 from corpusmill.sources.tables import spread, table, values
@@ -73,6 +73,44 @@ def token_signatures(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", X.token_signature(F.left("text", F.lit(200))).alias("signature"))
 
 
+LEXICAL_SQL = "lx AS (SELECT doc_id, text, source AS f1, upper(source) AS f2, lang AS f3, 'chapter ' || (n_chars % 9) AS f4 FROM documents)"
+
+
+@query(f"""
+WITH {LEXICAL_SQL}, a AS (SELECT doc_id, text, left(f1, 12) AS p1, 12 - length(left(f1, 12)) - 1 AS r1, f3, f4 FROM lx), b AS (SELECT *, CASE WHEN r1 > 0 THEN left(f3, r1::INT) END AS p2, CASE WHEN r1 > 0 THEN r1 - length(left(f3, r1::INT)) - 1 ELSE r1 END AS r2 FROM a)
+SELECT doc_id, sha256(text || chr(10) || p1 || coalesce(chr(10) || p2, '') || CASE WHEN r2 > 0 THEN chr(10) || left(f4, r2::INT) ELSE '' END) AS sha256 FROM b""")
+def lexical_documents(spark, sf_dir):
+    fields = [F.col("source"), F.upper("source"), F.lit(""), F.col("lang"), F.concat(F.lit("chapter "), F.col("n_chars") % 9)]
+    return docs_of(spark, sf_dir).select("doc_id", F.sha2(retrieval.lexical_text(F.col("text"), fields, 12), 256).alias("sha256"))
+
+
+@query(f"""
+WITH lexdocs AS (SELECT doc_id, text || chr(10) || source || chr(10) || lang AS text FROM documents), {OKAPI_SQL.replace("FROM documents", "FROM lexdocs")}
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM okapi WHERE rank <= 10""")
+def bm25_metadata_topk(spark, sf_dir):
+    """Lexical search over texts and their metadata."""
+    docs = docs_of(spark, sf_dir).select("doc_id", retrieval.lexical_text(F.col("text"), [F.col("source"), F.col("lang")]).alias("text"))
+    return retrieval.bm25_okapi(docs, asked(spark)).withColumn("score", F.round("score", 6))
+
+
+@query(f"""
+WITH {OKAPI_SQL.replace("lambda", "lambda")}, kept AS (SELECT query_id, term, times FROM kq WHERE term NOT IN ({", ".join(f"'{w}'" for w in C.FUNCTION_WORDS)})),
+fq AS (SELECT * FROM kept UNION ALL SELECT * FROM kq WHERE query_id NOT IN (SELECT query_id FROM kept)),
+fs AS (SELECT query_id, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl)) * times) AS score FROM kpost JOIN kidf USING (term) JOIN fq USING (term), kstats GROUP BY 1, 2)
+SELECT query_id, rank, doc_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM fs) WHERE rank <= 10""")
+def bm25_policy_topk(spark, sf_dir):
+    """Lexical search whose queries leave their function words out."""
+    return retrieval.bm25_okapi(docs_of(spark, sf_dir), asked(spark), policy="function-words-v1").withColumn("score", F.round("score", 6))
+
+
+@query()
+def hybrid_topk(spark, sf_dir):
+    """Both lexical legs fused under the default weights."""
+    docs = docs_of(spark, sf_dir)
+    fused, _ = retrieval.hybrid(retrieval.bm25_offline(docs, asked(spark), 40), retrieval.bm25_okapi(docs, asked(spark), 40))
+    return fused.withColumn("score", F.round("score", 9))
+
+
 # --- pages, furniture, chapters
 
 
@@ -624,3 +662,69 @@ def sidecar_spans(spark, sf_dir):
 def canonical_records(spark, sf_dir):
     own = docs_of(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 3 == 0, "table_child").when(F.col("doc_id") % 3 == 1, "table_parent").alias("retrieval_role"))
     return records.canonical_records(own).select("doc_id")
+
+
+# --- divisions, fidelity, Markdown, identity
+
+TITLES = ["Chapter 3: Pleading", "Part II - Courts", "Unit Twenty-One. Remedies", "§ 3 Notice", "Index", "Chapter XL", "Chapter 99", "see Chapter 4 and Chapter Five"]
+
+
+@query("""
+SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 3 THEN 2 WHEN 5 THEN 1 ELSE 3 END AS level FROM documents""")
+def contents_levels(spark, sf_dir):
+    title = F.element_at(F.array(*map(F.lit, TITLES)), (F.col("doc_id") % 8 + 1).cast("int"))
+    return docs_of(spark, sf_dir).select("doc_id", divisions.toc_level(title, divisions.CHAPTERS).alias("level"))
+
+
+@query()
+def division_matches(spark, sf_dir):
+    """The divisions that documents with a heading before them refer to."""
+    title = F.element_at(F.array(*map(F.lit, TITLES)), (F.col("doc_id") % 8 + 1).cast("int"))
+    text = F.concat(title, F.lit("\n"), F.left("text", F.lit(200)))
+    return docs_of(spark, sf_dir).select("doc_id", F.explode(divisions.found_divisions(text, divisions.CHAPTERS, "chunk_heading")).alias("d")).select("doc_id", "d.ordinal", "d.kind", "d.title")
+
+
+@query()
+def fidelity_audit(spark, sf_dir):
+    """Turns as source items of their conversation, and records that join them, drop one or change a word."""
+    own = table(spark, sf_dir, "conversations")
+    items = own.select(F.col("conv_id").alias("doc"), F.col("turn").alias("place"), F.concat(F.lit("#"), F.col("turn")).alias("ref"), "text")
+    changed = F.when(F.col("turn") % 7 == 3, F.concat(F.col("text"), F.lit(" inserted"))).otherwise(F.col("text"))
+    records = own.where("turn % 5 <> 4").select(F.col("conv_id").alias("doc"), F.col("turn").alias("ord"), changed.alias("text"), F.when(F.col("turn") % 11 != 6, F.array(F.concat(F.lit("#"), F.col("turn")))).alias("refs"))
+    return fidelity.audit(records, items)
+
+
+@query()
+def markdown_issues(spark, sf_dir):
+    """What is wrong with documents that tables, fences and footnotes are set before."""
+    leads = ["| a | b |\n|---|---|\n| 1 |\n", "```\n", "x[^1]\n[^1]: y\n", "x[^2]\n[^2]: y\n", "| a |\n| b |\n", ""]
+    lead = F.element_at(F.array(*map(F.lit, leads)), (F.col("doc_id") % len(leads) + 1).cast("int"))
+    return docs_of(spark, sf_dir).select("doc_id", F.explode_outer(markdown.markdown_issues(F.concat(lead, "text"))).alias("issue"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'context_' || left(sha256('{"chapter_group":' || CASE WHEN doc_id % 7 = 0 THEN '"front_matter"' ELSE (n_chars % 9)::VARCHAR END || ',"source":{"legacy_source_file":"' || source || '"}}'), 16) END AS parent FROM documents""")
+def context_parents(spark, sf_dir):
+    k = F.col("doc_id")
+    metadata = F.to_json(F.struct(F.when(k % 5 == 0, "structural").otherwise("x").alias("content_type"), F.col("source").alias("source_file"), F.when(k % 7 != 0, F.col("n_chars") % 9).alias("chapter_num")))
+    return docs_of(spark, sf_dir).select("doc_id", identity.parent_id(metadata).alias("parent"))
+
+
+@query()
+def metadata_projections(spark, sf_dir):
+    """Bounded metadata of every document, whole fields within a budget."""
+    metadata = F.to_json(F.struct("source", "lang", F.left("text", F.lit(900)).alias("context"), F.split(F.left("text", F.lit(300)), " ").alias("headings")))
+    return docs_of(spark, sf_dir).select("doc_id", F.sha2(grounding.projected(metadata, ["source", "headings", "context", "lang"], 600), 256).alias("sha256"))
+
+
+@query("""
+SELECT source, doc_id, CAST(floor((sum(ceil(length(text) / 4.0)) OVER (PARTITION BY source ORDER BY doc_id) - 1) / 5000) AS BIGINT) AS batch FROM documents""")
+def token_batches(spark, sf_dir):
+    own = docs_of(spark, sf_dir).select("source", "doc_id", F.length("text").alias("n"))
+    return retrieval.token_batches(own, "source", "doc_id", F.ceil(F.col("n") / 4), 5000).select("source", "doc_id", "batch")
+
+
+@query()
+def summary_clusters(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return retrieval.summary_clusters(vectors, 8).groupBy("cluster").agg(F.count("*").alias("n"))

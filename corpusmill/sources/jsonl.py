@@ -132,7 +132,7 @@ def judged_queries(spark: SparkSession, path: str) -> DataFrame:
 def usage_report(spark: SparkSession, path: str) -> DataFrame:
     """The token counts of a usage report (one JSON file with counts), its digest and error: a count that is missing, or tokens without attempts."""
     names = ["exact_prompt_tokens", "exact_completion_tokens", "estimated_prompt_tokens", "estimated_completion_tokens", "exact_usage_attempts", "estimated_usage_attempts", "unknown_usage_attempts"]
-    held = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("report_sha256"), F.from_json(F.decode("content", F.lit("UTF-8")), "counts STRUCT<" + ", ".join(f"{n} BIGINT" for n in names) + ">").alias("r"))
+    held = spark.read.format("binaryFile").load(path).select(F.sha2("content", 256).alias("report_sha256"), F.from_json(F.decode("content", "UTF-8"), "counts STRUCT<" + ", ".join(f"{n} BIGINT" for n in names) + ">").alias("r"))
     own = held.select("report_sha256", "r.counts.*")
     absent = F.lit(False)
     for n in names:
