@@ -39,6 +39,13 @@ def set_aside(df: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, list[Col
     return df.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), [F.col(n).alias(c) for c, n in names.items()]
 
 
+def kept_and(df: DataFrame, text: str, replaced: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """All columns but ``text`` and those ``replaced``, under names of our own, then ``text``; and the columns that name them back."""
+    plain, back = set_aside(df.select(*[F.col(f"`{c}`") for c in df.columns if c != text and c not in replaced]), ())
+    named = [F.col(f"`{c}`").alias(n) for c, n in zip([c for c in df.columns if c != text and c not in replaced], plain.columns)]
+    return df.select(*named, F.col(f"`{text}`").alias("__text")), back
+
+
 def portions(batches, column: int, limit: int = 4_000_000):
     """Slices of Arrow batches with about ``limit`` bytes of the string column each, so that a task holds little at once."""
     import numpy as np

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import portions
+from corpusmill.llm.common import kept_and, portions
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -336,8 +336,8 @@ def render(source: str | None) -> str:
 
 def rendered(pages: DataFrame, markup: str = "html", text: str = "text") -> DataFrame:
     """``pages`` without ``markup`` and with ``text``, the visible text; a column named so is replaced."""
-    kept = [c for c in pages.columns if c not in (markup, text)]
-    source = pages.select(*kept, F.col(markup).alias("__markup"))
+    source, back = kept_and(pages, markup, (text,))
+    kept = source.columns[:-1]
 
     def run(batches):
         import pyarrow as pa
@@ -346,4 +346,4 @@ def rendered(pages: DataFrame, markup: str = "html", text: str = "text") -> Data
             texts = [render(x.as_py()) for x in batch.column(len(kept))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*kept, text])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField(text, T.StringType())]))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField(text, T.StringType())])).select(*back, text)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import portions
+from corpusmill.llm.common import kept_and, portions
 
 SHINGLE, BANDS, MOST_WORDS = 5, 64, 2_000_000
 #: ASCII letters and digits and all bytes of other scripts make words.
@@ -155,8 +155,8 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]], *, text: st
     """``docs`` without ``text`` and with ``matches``; a column named so is replaced."""
     if sum(len(words_of(t)) for _, t in templates) > MOST_WORDS:
         raise ValueError(f"the templates have more than {MOST_WORDS} words")
-    kept = [c for c in docs.columns if c not in (text, "matches")]
-    source = docs.select(*kept, F.col(text).alias("__text"))
+    source, back = kept_and(docs, text, ("matches",))
+    kept = source.columns[:-1]
     sent = docs.sparkSession.sparkContext.broadcast(templates)
     at = len(kept)
 
@@ -169,4 +169,4 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]], *, text: st
             found = [[dict(zip(("license", "start", "end", "containment"), m)) for m in index.scan(words_of(t.as_py()))] for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, kind)], names=[*kept, "matches"])
 
-    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField("matches", T.ArrayType(MATCH))]))
+    return source.mapInArrow(run, T.StructType([*source.schema.fields[:-1], T.StructField("matches", T.ArrayType(MATCH))])).select(*back, "matches")

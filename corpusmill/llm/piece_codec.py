@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import ChunkMemo, portions
+from corpusmill.llm.common import ChunkMemo, kept_and, portions
 
 SPACE = "▁"
 
@@ -109,8 +109,8 @@ def _vocabulary(path: str) -> MergeVocabulary:
 
 def encode_decode(docs: DataFrame, model_path: str, *, text: str = "text", ids: str = "ids", decoded: str = "decoded", check_every: int = 64) -> DataFrame:
     """``docs`` without ``text`` and with its piece ids and the library's decoding of them."""
-    kept = [c for c in docs.columns if c not in (text, ids, decoded)]
-    source = docs.select(*kept, F.col(text).alias("__text"))
+    source, back = kept_and(docs, text, (ids, decoded))
+    kept = source.columns[:-1]
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded, T.StringType(), False)])
 
     at_text = len(kept)
@@ -137,7 +137,7 @@ def encode_decode(docs: DataFrame, model_path: str, *, text: str = "text", ids:
             columns = [*batch.columns[:-1], id_column, pa.array(plain, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, decoded])
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(run, schema).select(*back, ids, decoded)
 
 
 def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
