@@ -64,12 +64,30 @@ def portions(batches, column: int, limit: int = 4_000_000):
 
 
 _memos: weakref.WeakSet = weakref.WeakSet()
+_models: list[dict] = []
+
+
+def forgettable(models: dict) -> dict:
+    """A dict of loaded models that other operators may empty."""
+    _models.append(models)
+    return models
 
 
 def forget_memos() -> None:
-    """Empties the memos that a reused Python worker still holds from an earlier operator."""
+    """Gives back what a reused Python worker still holds from earlier operators: memos, models and freed memory."""
+    import ctypes
+
+    import pyarrow as pa
+
     for memo in list(_memos):
         memo.young, memo.old = {}, {}
+    for models in _models:
+        models.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 class ChunkMemo:

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import set_aside
+from corpusmill.llm.common import forget_memos, set_aside
 
 KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 #: Upper case to lower case, other bytes outside words to a space.
@@ -211,6 +211,7 @@ def match_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", wi
         coming = next(groups, None)
 
         def run(batches, sent=spark.sparkContext.broadcast(group), first=first, cutting=cut and coming is None):
+            forget_memos()
             automaton = SuffixAutomaton([(i, w.split()) for i, w in sent.value], window)
             ids = [i for i, _ in sent.value]
             for batch in batches:

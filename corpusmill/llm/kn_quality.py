@@ -87,6 +87,8 @@ def _count(batches):
     import numpy as np
     import pyarrow as pa
 
+    forget_memos()
+
     def merged(parts):
         keys = np.concatenate([k for k, _ in parts])
         counts = np.concatenate([n for _, n in parts])

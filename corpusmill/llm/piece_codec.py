@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import ChunkMemo, kept_and, portions
+from corpusmill.llm.common import ChunkMemo, forgettable, kept_and, portions
 
 SPACE = "▁"
 
@@ -97,7 +97,7 @@ class MergeVocabulary:
         return self.memo.encode(self._parts(data)) if self.separable else self._encoded(data)
 
 
-_loaded: dict[str, MergeVocabulary] = {}
+_loaded: dict[str, MergeVocabulary] = forgettable({})
 
 
 def _vocabulary(path: str) -> MergeVocabulary:

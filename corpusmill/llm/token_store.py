@@ -29,7 +29,7 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import ChunkMemo, portions, written
+from corpusmill.llm.common import ChunkMemo, forgettable, portions, written
 
 MAGIC = b"BPT1"
 #: The starts of up to this many segments (16 bytes each) are broadcast; beyond, they are joined by a shuffle.
@@ -167,7 +167,7 @@ class WordEncoder:
         return self.memo.encode((data if b"<|" in data else data.lower()).split())
 
 
-_loaded: dict[str, WordEncoder] = {}
+_loaded: dict[str, WordEncoder] = forgettable({})
 
 
 def _encoder(path: str) -> WordEncoder:
