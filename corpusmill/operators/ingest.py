@@ -83,6 +83,14 @@ def with_chapters(records: DataFrame, group: str, order: str, chapter: Column) -
     return own.withColumn("chapter", F.coalesce("__own", "__last")).drop("__own", "__last", "number")
 
 
+def chapter_headers(pages: DataFrame, own, context: str = "page_header") -> DataFrame:
+    """doc, page, chapter and title of the pages (doc, page, header) whose header names a division of the profile ``own``; the first it names counts."""
+    from corpusmill.operators.divisions import found_divisions
+
+    found = pages.select("doc", "page", F.try_element_at(found_divisions(F.col("header"), own, context), F.lit(1)).alias("d"))
+    return found.where("d is not null").select("doc", "page", F.col("d.ordinal").alias("chapter"), F.col("d.title").alias("title"))
+
+
 def chapter_map(headers: DataFrame) -> DataFrame:
     """doc, chapter, title, first_page and last_page of (doc, page, chapter, title) page headers; the first title counts."""
     return headers.where("chapter is not null").groupBy("doc", "chapter").agg(F.min_by("title", "page").alias("title"), F.min("page").alias("first_page"), F.max("page").alias("last_page"))

@@ -180,6 +180,17 @@ def chapter_map(spark, sf_dir):
     return ingest.chapter_map(docs_of(spark, sf_dir).select(F.col("lang").alias("doc"), F.col("doc_id").alias("page"), F.when(F.col("n_chars") % 5 != 0, F.col("n_chars") % 12).alias("chapter"), F.col("source").alias("title")))
 
 
+@query("""
+WITH h AS (SELECT source AS doc, doc_id AS page, doc_id // 40 % 30 + 1 AS chapter, 'On ' || lang AS title FROM documents WHERE doc_id % 6 = 0)
+SELECT doc, CAST(chapter AS INTEGER) AS chapter, arg_min(title, page) AS title, min(page) AS first_page, max(page) AS last_page FROM h GROUP BY 1, 2""")
+def header_chapters(spark, sf_dir):
+    """Chapters read off page headers, with the pages they run over."""
+    number = (F.floor(F.col("doc_id") / 40) % 30 + 1).cast("string")
+    header = F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("Chapter "), number, F.lit(" - On "), "lang")).otherwise(F.concat(F.lit("page "), number))
+    pages = docs_of(spark, sf_dir).select(F.col("source").alias("doc"), F.col("doc_id").alias("page"), header.alias("header"))
+    return ingest.chapter_map(ingest.chapter_headers(pages, divisions.CHAPTERS))
+
+
 @query("""
 WITH s AS (SELECT l_orderkey AS doc, l_partkey % 60 AS page, l_suppkey AS name FROM lineitem)
 SELECT a.doc, a.page, a.name, coalesce((SELECT min(b.page) FROM s b WHERE b.doc = a.doc AND b.page > a.page) - 1, 99) AS end_page FROM s a""")
@@ -435,6 +446,21 @@ def review_candidates(spark, sf_dir):
     return evaluation.review_candidates(runs, judged, 20)
 
 
+@query("""
+WITH c AS (SELECT doc_id AS case_id, doc_id % 4 = 0 AS ea, doc_id % 3 = 0 AS inj, doc_id % 5 <> 0 AS answered, doc_id % 7 AS k FROM documents),
+l AS (SELECT case_id, count(*) FILTER (i % 2 = 0 AND (case_id + i) % 6 <> 0) AS sc, count(*) FILTER (i % 2 = 0) AS st, count(*) FILTER (i % 2 = 1 AND (case_id + i) % 6 = 0) AS ue, count(*) FILTER (i % 2 = 1) AS ut FROM c, range(0, 7) AS r(i) WHERE i < k GROUP BY 1),
+m AS (SELECT c.*, coalesce(sc, 0) AS sc, coalesce(st, 0) AS st, coalesce(ue, 0) AS ue, coalesce(ut, 0) AS ut, (NOT answered) = ea AS good FROM c LEFT JOIN l USING (case_id)),
+t AS (SELECT *, good AND sc = st AND ue = 0 AS ok FROM m)
+SELECT 'claim_citation_entailment_accuracy' AS metric, sum(sc) / sum(st) AS value FROM t UNION ALL SELECT 'unsupported_claim_rate', sum(ue) / sum(ut) FROM t UNION ALL SELECT 'answer_abstention_accuracy', avg(good::INT) FROM t
+UNION ALL SELECT 'prompt_injection_fixture_accuracy', sum((inj AND ok)::INT) / sum(inj::INT) FROM t""")
+def grounding_case_ratios(spark, sf_dir):
+    k, d = F.col("doc_id"), docs_of(spark, sf_dir)
+    cases = d.select(k.alias("case_id"), (k % 4 == 0).alias("expect_abstain"), (k % 3 == 0).alias("injection"))
+    verdicts = d.select(k.alias("case_id"), F.when(k % 5 != 0, "ok").otherwise("no_citation").alias("verdict"))
+    claims = d.where("doc_id % 7 > 0").select(k.alias("case_id"), F.explode(F.sequence(F.lit(0), (k % 7 - 1).cast("int"))).alias("i")).select("case_id", (F.col("i") % 2 == 0).alias("supported"), ((F.col("case_id") + F.col("i")) % 6 != 0).alias("passed"))
+    return records.grounding_ratios(records.grounding_cases(cases, verdicts, claims).select([c for c in records.grounding_cases(cases, verdicts, claims).columns if c not in ("case_id", "accuracy")]))
+
+
 @query("SELECT lang, sha256(doc_id::VARCHAR) AS doc_id_sha256, sha256(text) AS text_sha256 FROM documents")
 def redacted_details(spark, sf_dir):
     return evaluation.redacted(docs_of(spark, sf_dir).select("doc_id", "lang", "text"), ["doc_id"], ["text"])
