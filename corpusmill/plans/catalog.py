@@ -129,7 +129,7 @@ def nearby_line_dedup(spark, sf_dir):
     return docs.select("doc_id", "n_chars", udfs.nearby_line_dedup("text").alias("t")).select("doc_id", (F.col("n_chars") - F.length("t")).alias("removed_chars"), F.sha2("t", 256).alias("sha256"))
 
 
-@query("SELECT doc_id, length(regexp_replace(text, '(?m)^[ \\t]*\\d{1,4}[ \\t]*$', '', 'g')) AS n_left FROM documents")
+@query(f"SELECT doc_id, length(regexp_replace(text, '(?m){C.PAGE_NUMBER_LINE}', '', 'g')) AS n_left FROM documents")
 def page_number_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.length(X.strip_page_numbers(F.col("text"))).alias("n_left"))
 
@@ -285,6 +285,17 @@ def vector_topk_cosine(spark, sf_dir):
     return retrieval.vector_topk(vectors, centres)
 
 
+@query("""
+WITH q AS (SELECT vec_id AS query_id, list_transform(embedding::FLOAT[], lambda x: x::DOUBLE) AS q FROM embeddings WHERE vec_id % 50 = 0), v AS (SELECT vec_id, list_transform(embedding::FLOAT[], lambda x: x::DOUBLE) AS e FROM embeddings WHERE label % 2 = 0),
+s AS (SELECT query_id, vec_id, round(list_dot_product(e, q) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(e, e))), 6) AS score FROM v, q)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""")
+def vector_topk_filtered(spark, sf_dir):
+    """The nearest vectors of even labels to every fiftieth vector."""
+    vectors = table(spark, sf_dir, "embeddings")
+    queries = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return retrieval.vector_topk(vectors, queries, 5, keep=F.col("label") % 2 == 0)
+
+
 @query("""
 WITH h AS (SELECT l_suppkey AS query_id, l_orderkey AS family_id, l_linenumber > 1 AS is_child, l_linenumber, l_partkey FROM lineitem),
 w AS (SELECT *, max(is_child::INT) OVER (PARTITION BY query_id, family_id) AS c FROM h)

@@ -68,6 +68,18 @@ def phrase_counts(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", X.phrase_count(F.split(F.lower("text"), " "), ["the", "thing"]).alias("n"))
 
 
+@query("SELECT doc_id, '~p.' || (1 + round_even(least(doc_id % 60, 49) / 49 * (n_chars % 30), 0)::INT) AS page FROM documents WHERE n_chars % 30 > 0 UNION ALL SELECT doc_id, '~p.1' FROM documents WHERE n_chars % 30 = 0")
+def page_estimates(spark, sf_dir):
+    """Pages guessed from a record's place among fifty of a book of up to thirty pages."""
+    return docs_of(spark, sf_dir).select("doc_id", X.page_estimate(F.col("doc_id") % 60, F.lit(50), F.col("n_chars") % 30 + 1).alias("page"))
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'de' AND n_chars % 3 = 0")
+def equal_filter_rows(spark, sf_dir):
+    own = docs_of(spark, sf_dir).select("doc_id", F.col("lang").alias("content_type"), (F.col("n_chars") % 3).alias("chapter_num"))
+    return own.where(retrieval.equal_filters("de", 0)).select("doc_id")
+
+
 @query("SELECT doc_id, array_to_string(list_sort(regexp_extract_all(lower(left(text, 200)), '[a-z]+|\\d+')), chr(31)) AS signature FROM documents")
 def token_signatures(spark, sf_dir):
     return docs_of(spark, sf_dir).select("doc_id", X.token_signature(F.left("text", F.lit(200))).alias("signature"))

@@ -153,3 +153,12 @@ def file_snapshots(spark: SparkSession, path: str, most_bytes: int = 1 << 28) ->
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON lines by Spark's own commit protocol (temporary files, then a rename)."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+
+
+def index_ids(spark: SparkSession, path: str, key: str = "id") -> DataFrame:
+    """The ids of an index table; an error if its size changes while they are read."""
+    before = spark.read.parquet(path).count()
+    ids = cut(spark.read.parquet(path).select(key))
+    if not before == ids.count() == spark.read.parquet(path).count():
+        raise RuntimeError("the index changed while its ids were read")
+    return ids

@@ -300,6 +300,13 @@ def test_more_sources(spark, tmp_path):
     assert json.loads(spark.read.text(str(tmp_path / "report")).first()[0]) == {"mode": "x", "metrics": [{"metric": "mrr", "value": 0.5}]}
 
 
+def test_index_ids_and_one_line_json(spark, tmp_path):
+    spark.range(7).write.parquet(str(tmp_path / "index"))
+    assert sorted(r.id for r in jsonl.index_ids(spark, str(tmp_path / "index")).collect()) == list(range(7))
+    row = spark.createDataFrame([("a\u2028b\x85c",)], "t string").select(X.one_line_json(F.struct("t")).alias("j")).first().j
+    assert len(row.splitlines()) == 1 and json.loads(row) == {"t": "a\u2028b\x85c"}
+
+
 def test_lines_over_many_splits(spark, tmp_path):
     rng = random.Random(6)
     own = ["é" * rng.randint(0, 300) + " " for _ in range(3000)]
