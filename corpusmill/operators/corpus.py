@@ -258,28 +258,49 @@ def page_ranges(entries: DataFrame, pages: int, group: str = "book") -> DataFram
     """
     kinds = dict(entries.dtypes)
 
-    def run(pdf):
-        pdf = pdf.sort_values("ord").reset_index(drop=True)
-        start = pdf.page.astype("Float64").ffill()
-        known = start.notna().tolist()
-        first = [int(x) if k else 0 for x, k in zip(start.fillna(0), known)]
+    def ranges(rows):
+        first, last = [], None
+        for _, _, p in rows:
+            last = last if p is None else p
+            first.append(last)
         end, waiting = [pages] * len(first), []
         for i, p in enumerate(first):
-            while known[i] and waiting and first[waiting[-1]] < p:
+            while p is not None and waiting and first[waiting[-1]] < p:
                 end[waiting.pop()] = p - 1
-            if known[i]:
+            if p is not None:
                 waiting.append(i)
-        held, granted = set(), []
-        for k, p, q in zip(known, first, end):
-            granted.append(k and p not in held)
-            if granted[-1]:
+        held: set[int] = set()
+        for (g, o, _), p, q in zip(rows, first, end):
+            granted = p is not None and p not in held
+            if granted:
                 held.update(range(p, q + 1))
-        out = pdf[[group, "ord"]].copy()
-        out["start_page"], out["end_page"], out["granted"] = start.astype("Int64"), [q if k else None for k, q in zip(known, end)], granted
-        out["end_page"] = out.end_page.astype("Int64")
-        return out
+            yield g, o, p, None if p is None else q, granted
+
+    def run(batches):
+        import pyarrow as pa
+
+        def batch_of(out, like):
+            columns = list(zip(*out))
+            types = [like.schema.field(0).type, like.schema.field(1).type, pa.int64(), pa.int64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=[group, "ord", "start_page", "end_page", "granted"])
 
-    return entries.select(group, "ord", "page").groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, ord {kinds['ord']}, start_page long, end_page long, granted boolean")
+        rows, out, like = [], [], None
+        for batch in batches:
+            like = batch
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and row[0] != rows[-1][0]:
+                    out += ranges(rows)
+                    rows = []
+                rows.append(row)
+            if len(out) > 10_000:
+                yield batch_of(out, like)
+                out = []
+        out += ranges(rows)
+        if out:
+            yield batch_of(out, like)
+
+    dealt = entries.select(group, "ord", F.col("page").cast("long").alias("page")).repartition(group).sortWithinPartitions(group, "ord")
+    return dealt.mapInArrow(run, f"{group} {kinds[group]}, ord {kinds['ord']}, start_page long, end_page long, granted boolean")
 
 
 def in_ranges(pages: DataFrame, ranges: DataFrame, group: str, width: int = 64) -> DataFrame:
