@@ -66,9 +66,10 @@ SELECT CASE WHEN n < 50 THEN '0-50' WHEN n < 200 THEN '50-200' WHEN n < 500 THEN
        count(*) AS n_docs, min(n) AS least, max(n) AS most, round(avg(n), 6) AS mean, round(median(n), 6) AS middle
 FROM w GROUP BY 1""")
 def doc_length_buckets(spark, sf_dir):
-    n = X.word_count(F.col("text"))
     bucket = F.when(F.col("n") < 50, "0-50").when(F.col("n") < 200, "50-200").when(F.col("n") < 500, "200-500").when(F.col("n") < 1000, "500-1000").otherwise("1000+")
-    return table(spark, sf_dir, "documents").select(n.alias("n")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n_docs"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean"), F.round(F.median("n"), 6).alias("middle"))
+    own = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select(X.word_count(F.col("text")).alias("n")).select("n", bucket.alias("bucket"))
+    middle = corpus.exact_percentiles(own, "bucket", "n", [0.5]).select("bucket", F.round(F.col("l0").cast("double"), 6).alias("middle"))
+    return own.groupBy("bucket").agg(F.count("*").alias("n_docs"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("mean")).join(middle, "bucket")
 
 
 @query("SELECT lang, source, count(*) AS n_docs, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM documents GROUP BY lang, source")
