@@ -339,17 +339,17 @@ def numbered(rows: DataFrame, group: str, order: list[str], sums: dict[str, Colu
 
 def exact_percentiles(rows: DataFrame, group: str, value: str, quantiles: list[float]) -> DataFrame:
     """group, n and for the i-th quantile l{i} (between the two nearest values), w{i} (nearest rank by whole percents) and r{i} (nearest rank)."""
-    placed = numbered(rows.where(F.col(value).isNotNull()).select(group, value), group, [value])
-    counts = placed.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("n"))
+    placed = numbered(rows.where(F.col(value).isNotNull()).select(group, F.col(value).alias("__v")), group, ["__v"])
+    counts = placed.groupBy(F.col(group).alias("__g")).agg(F.count("*").alias("__c"))
     both = placed.join(F.broadcast(counts), F.col(group).eqNullSafe(F.col("__g"))).drop("__g")
-    at = lambda c: F.max(F.when(F.col("number") == c, F.col(value)))
+    at = lambda c: F.max(F.when(F.col("number") == c, F.col("__v")))
     out = []
     for i, q in enumerate(quantiles):
-        place = q * (F.col("n") - 1)
+        place = q * (F.col("__c") - 1)
         low, high, share = at(F.floor(place)), at(F.ceil(place)), F.max(place - F.floor(place))
-        whole = F.greatest(F.floor((round(100 * q) * F.col("n") + 99) / 100), F.lit(1)) - 1
-        out += [(low + (high - low) * share).alias(f"l{i}"), at(whole).alias(f"w{i}"), at(F.greatest(F.lit(1), F.ceil(q * F.col("n"))) - 1).alias(f"r{i}")]
-    return both.groupBy(group).agg(F.max("n").alias("n"), *out)
+        whole = F.greatest(F.floor((round(100 * q) * F.col("__c") + 99) / 100), F.lit(1)) - 1
+        out += [(low + (high - low) * share).alias(f"l{i}"), at(whole).alias(f"w{i}"), at(F.greatest(F.lit(1), F.ceil(q * F.col("__c"))) - 1).alias(f"r{i}")]
+    return both.groupBy(group).agg(F.max("__c").alias("n"), *out)
 
 
 def histogram_percentile(levels: DataFrame, group: str, percent: int) -> DataFrame:
