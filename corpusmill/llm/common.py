@@ -33,6 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def crc32_sql(numbers: str) -> str:
+    """The unsigned CRC-32 of a list of byte values in DuckDB, which has no function for it."""
+    step = "0"
+    for k in range(8):  # what each bit of the lowest byte leaves behind
+        left = 1 << k
+        for _ in range(8):
+            left = (left >> 1) ^ (0xEDB88320 if left & 1 else 0)
+        step = f"xor({step}, ((xor(a, x) >> {k}) & 1) * {left})"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {numbers}), lambda a, x: xor(a >> 8, {step})), 4294967295)"
+
+
 def set_aside(df: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
     """``df`` with all columns but the ``used`` ones under names of our own, and the columns that name them back, in order."""
     names = {c: c if c in used else f"__own{i}" for i, c in enumerate(df.columns)}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontam, html_render, kn_quality, license_scan, piece_codec, simhash_dedup, token_store, topk_index, toxicity, url_filter
+from corpusmill.llm import decontam, html_render, kn_quality, license_scan, merkle, piece_codec, sharding, simhash_dedup, token_store, topk_index, toxicity, turn_trie, url_filter
 from corpusmill.llm.common import table
 
 
@@ -58,10 +58,30 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), list(license_scan.TEMPLATES.items()))
 
 
+def op11_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proof_digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_pivot_topk, op2_kneser_ney, op3_url_filter, op4_token_planes, op5_decontamination, op6_simhash, op7_toxicity, op8_sentencepiece, op9_html_text, op10_license_scan)
+    own = (
+        op1_pivot_topk, op2_kneser_ney, op3_url_filter, op4_token_planes, op5_decontamination, op6_simhash, op7_toxicity,
+        op8_sentencepiece, op9_html_text, op10_license_scan, op11_jump_shards, op12_prefix_trie, op13_merkle_manifest,
+    )
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": url_filter.oracle()}
+    return {
+        "op3_url_filter": url_filter.oracle(),
+        "op11_jump_shards": sharding.oracle(),
+        "op12_prefix_trie": turn_trie.oracle(),
+        "op13_merkle_manifest": merkle.oracle(),
+    }
