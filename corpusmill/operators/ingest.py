@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as X
+from corpusmill.operators import lineage
 from corpusmill.operators.corpus import in_ranges, numbered
 
 #: Least shares of usable pages, of all and of scans, and most of replacement characters; fixed values.
@@ -185,23 +186,16 @@ def running_headers(items: DataFrame, margin: float = 0.12, near: float = 12.0)
 
 
 def heading_scopes(items: DataFrame, group: str, order: str) -> DataFrame:
-    """group, order and path: the headings in force at every item, the last of each level above.
+    """group, order and path: the titles of the headings in force at every item, from the outermost in.
 
-    ``items``: group, order, level (null for body), title.  A heading ends those of its level and below.  As the last heading of
-    each level stands in a running window, the levels above that came after a higher one are kept by their places.
+    ``items``: group, order, level (of any depth, null for body), title.  A heading ends those of its level and below.
     """
-    levels = range(1, 7)
-    w = W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    last = lambda k: F.last(F.when(F.col("level") == k, F.struct(F.col(order).alias("at"), F.col("title").alias("title"))), ignorenulls=True).over(w)
-    own = items.withColumns({f"__{k}": last(k) for k in levels})
-    parts = []
-    for k in levels:
-        above = [F.coalesce(F.col(f"__{j}.at") < F.col(f"__{k}.at"), F.lit(True)) for j in range(1, k)]
-        alive = F.col(f"__{k}").isNotNull()
-        for a in above:
-            alive = alive & a
-        parts.append(F.when(alive, F.col(f"__{k}.title")))
-    return own.select(group, order, F.array_join(F.array_compact(F.array(*parts)), " > ").alias("path"))
+    paths = lineage.heading_paths(items.select(group, order, "level"), group, order, nested=False)
+    titles = items.where("level is not null").select(group, F.col(order).alias("__h"), "title")
+    named = paths.select(group, order, F.posexplode("path").alias("__d", "__h")).join(titles, [group, "__h"])
+    joined = named.groupBy(group, order).agg(F.array_sort(F.collect_list(F.struct("__d", "title"))).alias("__t"))
+    path = F.array_join(F.transform("__t", lambda x: x["title"]), " > ")
+    return paths.select(group, order).join(joined, [group, order], "left").select(group, order, F.coalesce(path, F.lit("")).alias("path"))
 
 
 def page_regressions(records: DataFrame, group: str, order: str) -> DataFrame:

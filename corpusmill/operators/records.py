@@ -144,18 +144,33 @@ def citation_edges(records: DataFrame) -> DataFrame:
     return records.select(F.col("stable_id").alias("source"), F.explode(found).alias("target")).groupBy("source", "target").agg(F.count("*").alias("mentions"))
 
 
+def root_paths(entries: DataFrame) -> DataFrame:
+    """node and path (values from the root to the node) of the nodes of (node, parent, value) that a root (parent null) reaches.
+
+    Each round joins every path to the one above its beginning, so paths double and a forest of depth d takes log2 d rounds.
+    Nodes below a missing parent find nothing to join, and a path on which a node stands twice is on a cycle: both are left out.
+    """
+    step = F.array(F.struct("node", "value"))
+    here = cut(entries.select("node", F.col("parent").alias("up"), step.alias("path")))
+    while True:
+        whole, rest = here.where("up is null"), here.where("up is not null")
+        if rest.isEmpty():
+            return whole.select("node", F.transform("path", lambda x: x["value"]).alias("path"))
+        above = here.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("path").alias("start"))
+        longer = rest.join(above, "up").select("node", F.col("further").alias("up"), F.concat("start", "path").alias("path"))
+        once = F.size(F.array_distinct(F.transform("path", lambda x: x["node"]))) == F.size("path")
+        here = cut(whole.unionByName(longer.where(once)))
+
+
 def tree_paths(entries: DataFrame) -> DataFrame:
-    """node, level and path (titles from the root, joined by `` > ``) of a (node, parent, title) forest of any depth; a cycle below a root is an error."""
-    level = cut(entries.where("parent is null").select("node", F.lit(0).alias("level"), F.col("title").alias("path")))
-    every, most = level, entries.count()
-    for i in range(1, most + 1):
-        level = cut(entries.join(level.select(F.col("node").alias("parent"), F.col("path").alias("above")), "parent").select("node", F.lit(i).alias("level"), F.concat_ws(" > ", "above", "title").alias("path")))
-        if level.isEmpty():
-            return every
-        every = every.unionByName(level)
-    if most:
-        raise ValueError("the entries have a cycle")
-    return every
+    """node, level and path (titles from the root, joined by `` > ``) of a (node, parent, title) forest of any depth.
+
+    A node on a cycle or below a missing parent is an error, as is one below a node of two rows: every row has one path.
+    """
+    found = cut(root_paths(entries.select("node", "parent", F.col("title").alias("value"))))
+    if found.count() != entries.count():
+        raise ValueError("entries hang on a cycle, on a missing parent or on one of two rows")
+    return found.select("node", (F.size("path") - 1).alias("level"), F.array_join("path", " > ", "").alias("path"))
 
 
 def boxes_overlap(regions: DataFrame, lines: DataFrame) -> DataFrame:

@@ -559,7 +559,7 @@ def quality_checks(spark, sf_dir):
 
 @query("""
 WITH w AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM benchmark),
-b AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s FROM w, range(1, 20001) AS r(i) WHERE i + 4 <= len(w)),
+b AS (SELECT DISTINCT item_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 3))) AS i FROM w)),
 dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
 d AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3))) AS i FROM dw))
 SELECT doc_id, item_id, count(*) AS shared FROM d JOIN b USING (s) GROUP BY 1, 2""")

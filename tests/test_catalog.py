@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from corpusmill.plans import fixtures, rules  # noqa: F401  these register their queries
+from corpusmill.plans import fixtures, rules, structure  # noqa: F401  these register their queries
 from corpusmill.plans.catalog import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
