@@ -324,7 +324,7 @@ def oracle() -> str:
     digits = "list_transform(string_split(doc_id::VARCHAR, ''), lambda s: ascii(s)::BIGINT)"
     return f"""
 WITH RECURSIVE cells AS MATERIALIZED (
-  SELECT doc_id, {leaf("n_chars")} AS leaf, CASE WHEN {crc32_sql(digits)} % 7 = 0 THEN {leaf("n_chars::HUGEINT + 1")} END AS now,
+  SELECT doc_id, {leaf("n_chars")} AS leaf, CASE WHEN doc_id IS NOT NULL AND {crc32_sql(digits)} % 7 = 0 THEN {leaf("n_chars::HUGEINT + 1")} END AS now,
     dense_rank() OVER (ORDER BY lang IS NOT NULL, encode(lang)) - 1 AS g
   FROM documents
 ), leaves AS MATERIALIZED (

@@ -29,7 +29,7 @@ from corpusmill.llm.common import crc32_sql, cut
 #: Odd multipliers of the two lanes of a prefix; -r and r - 1 have few factors of two.
 LANES = {"a": 0x9E3779B97F4A7C1B, "b": 0xC2B2AE3D27D4EB53}
 STRETCH = 4096
-LEAST_HEAVY, MOST_HEAVY, SHARE = 4096, 1 << 20, 65536
+LEAST_HEAVY, MOST_HEAVY, SHARE = 256, 1 << 20, 65536
 WORDS = r"[^\x20\x09-\x0D]+"
 NODE = "p binary, q binary, conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long"
 
