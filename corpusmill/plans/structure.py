@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corpusmill.operators import lineage
+from corpusmill.operators import corpus, families, lineage, records
 from corpusmill.plans.catalog import query
+from corpusmill.plans.fixtures import CHILDREN_SQL, supplier_tables
 from corpusmill.sources.tables import spread, table
 
 #: Every line of every document as an item: its number, level, and what it does to the headings in force.
@@ -188,3 +189,35 @@ SELECT doc_id, pos AS heading FROM heads ANTI JOIN claimed USING (doc_id, pos)""
 def unclaimed_headings(spark, sf_dir):
     paths, bound = _bindings(spark, sf_dir)
     return lineage.unclaimed_headings(paths, bound, "doc_id", "pos")
+
+
+# --- table families
+
+
+@query(f"""
+WITH {CHILDREN_SQL}, k AS (
+  SELECT *, child_index = 0 AND source_key % 5 = 0 AS torn, source_key % 4 = 1 AS orphan, child_index = 1 AND source_key % 3 = 2 AS recounted FROM c
+  WHERE total >= 4 AND NOT (child_index = 2 AND source_key % 7 = 3)
+), p AS (SELECT stable_id, any_value(child_count) AS n, count(*) AS held FROM k WHERE NOT orphan GROUP BY 1), i AS (
+  SELECT stable_id, child_index, unnest([CASE WHEN torn THEN 'invalid_child_table' END, CASE WHEN orphan THEN 'missing_parent' END,
+    CASE WHEN torn AND NOT orphan THEN 'child_text_mismatch' END, CASE WHEN recounted AND NOT orphan THEN 'child_count_mismatch' END]) AS issue FROM k
+  UNION ALL SELECT stable_id, NULL, unnest(CASE WHEN held < n THEN ['family_child_count_mismatch', 'family_child_indexes_invalid'] ELSE [] END) FROM p
+)
+SELECT * FROM i WHERE issue IS NOT NULL""")
+def table_family_issues(spark, sf_dir):
+    """Tables of suppliers by nation with their row children: some torn, some recounted, some missing, some without parents."""
+    made = records.with_table_children(supplier_tables(spark, sf_dir)).where("retrieval_role is not null")
+    k, i, child = F.regexp_extract("table_parent_stable_id", r"^(\d+)-", 1).cast("int"), F.col("child_index"), F.col("part") == 1
+    own = made.withColumns({"k": k, "one": F.lit(1), "cols": F.lit(2)}).where(~((k % 4 == 1) & ~child) & ~(F.coalesce(i == 2, F.lit(False)) & (k % 7 == 3)))
+    shown = own.select(
+        "part", F.col("table_parent_stable_id").alias("family"), "child_index", "stable_id", "retrieval_role", F.lit("table").alias("content_type"),
+        F.lit("table").alias("content_source"), F.col("one").alias("schema_version"), F.col("table_parent_stable_id").alias("parent_id"),
+        F.when((i == 0) & (k % 5 == 0), "torn").otherwise(F.col("text")).alias("text"), F.lit("f").alias("source_file"),
+        (F.col("child_count") + F.when((i == 1) & (k % 3 == 2), 1).otherwise(0)).cast("int").alias("child_count"), F.col("cols").alias("table_cols"),
+        F.when(child, 1).otherwise(F.col("child_count")).cast("int").alias("table_rows"), F.coalesce("source_rows", "one").cast("int").alias("source_rows"),
+        F.coalesce("source_fragments", "one").cast("int").alias("source_fragments"), F.lit(0).alias("g"),
+        F.array(F.struct(F.col("k").cast("string").alias("ref"), F.lit("table").alias("label"))).alias("refs"),
+    )
+    placed = corpus.numbered(shown, "g", ["part", "family", "child_index"]).withColumnRenamed("number", "ord").drop("g")
+    found = families.family_audit(placed.drop("part", "family"))
+    return found.join(placed.select("ord", F.col("family").alias("stable_id"), "child_index"), "ord").select("stable_id", "child_index", "issue")
