@@ -3,13 +3,20 @@
 The builder opens and closes what HTML leaves out: a paragraph ends at the next block, list items,
 table cells, rows and options end at their next one, an end tag closes what stands open inside it,
 and unknown end tags are passed over.  Scripts, styles, templates, the head and its title, elements with
-``hidden``, hidden inputs and inline ``display:none`` or
-``visibility:hidden`` are not visible.  Everything else is: navigation and footers too.
+``hidden``, hidden inputs and what has inline ``display:none`` are not there.  Inline ``visibility`` is inherited: what is
+hidden keeps its place and shows no text, and a ``visibility:visible`` inside shows again.  Everything else is visible:
+navigation and footers too.
 
 Layout: white space runs count as one space outside ``pre``; blocks start on lines of their own,
 paragraphs, headings, lists and tables are set off by a blank line; ``br`` breaks a line and
-``hr`` draws one; list items get a dash or their number and nested lists are indented; cells of a
-table stand in aligned columns; an image shows its alternative text.
+``hr`` draws one; list items get a dash or their number, and nested lists of any depth are indented, by ``MOST_INDENT``
+characters at most; an image shows its alternative text.
+
+Cells of a table stand in the columns that ``colspan`` and ``rowspan`` give them, and columns are aligned.  What is added to
+align them is bounded by the page's own size: lines of a cell are broken at spaces beyond ``MOST_WIDE`` characters, no cell
+is padded further than that, a row passes over ``MOST_BLANK`` columns of cells from above at most, and cells beyond column
+``MOST_SPANNED`` do not reach down.  Tables of one column are plain blocks, so they nest to any depth.  Tables of more
+columns, nested ``MOST_NESTED`` deep in one another, lay their cells out one below the other.
 
 Defined results: null and empty pages render as the empty text; repeated rows each stand; broken
 markup never fails; an empty table gives an empty result.
@@ -19,8 +26,9 @@ from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
+from itertools import accumulate, groupby
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +38,8 @@ from corpusmill.llm.common import kept_and, portions
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-UNSEEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+NOT_THERE = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -54,8 +63,10 @@ IMPLIED = {
     "body": (frozenset(("head",)), frozenset(("html",))),
     **dict.fromkeys(ROW_GROUPS, (ROW_GROUPS | {"tr", "td", "th", "caption"}, frozenset(("table",)))),
 }
-#: Items and cells nested deeper are not indented or aligned any further, but stand on lines of their own.
-DEEPEST = 32
+#: Bounds of the layout: see above.
+MOST_INDENT, MOST_WIDE, MOST_BLANK, MOST_SPANNED, MOST_NESTED = 64, 120, 24, 200, 16
+#: The greatest spans that HTML allows.
+MOST_COLUMNS, MOST_ROWS = 1000, 65534
 #: Tags whose end closes cells that stand open inside.
 ACROSS_CELLS = frozenset(("table", "tr", "tbody", "thead", "tfoot", "body", "html"))
 PARAGRAPH = frozenset(("p",))
@@ -82,7 +93,26 @@ class Node:
             return True
         if not self.attributes:
             return False
-        return self.get("hidden") is not None or bool(UNSEEN_STYLE.search(self.get("style") or "")) or (self.tag == "input" and (self.get("type") or "").lower() == "hidden")
+        return self.get("hidden") is not None or bool(NOT_THERE.search(self.get("style") or "")) or (self.tag == "input" and (self.get("type") or "").lower() == "hidden")
+
+    def shown(self, inherited: bool) -> bool:
+        """Whether its own text shows."""
+        own = VISIBILITY.findall(self.get("style") or "") if self.attributes else []
+        return own[-1].lower() == "visible" if own else inherited
+
+    def span(self, name: str, most: int) -> int:
+        value = (self.get(name) or "").strip()
+        return min(max(int(value), 1), most) if re.fullmatch(r"\d{1,9}", value) else 1
+
+    def columns(self) -> int:
+        """The most cells that a row of this table has as its own."""
+        most, todo = 0, [self]
+        while todo:
+            node = todo.pop()
+            own = [c for c in node.children if not isinstance(c, str)]
+            most = max(most, sum(c.span("colspan", MOST_COLUMNS) for c in own if c.tag in CELLS))
+            todo += [c for c in own if c.tag == "tr" or c.tag in ROW_GROUPS]
+        return most
 
 
 def build(source: str) -> Node:
@@ -158,14 +188,19 @@ def build(source: str) -> Node:
 
 
 class Page:
-    """Lines of a layout under way; ``gap`` counts the line ends owed before the next text."""
+    """Lines of a layout under way; ``gap`` counts the line ends owed before the next text.
+
+    ``lead`` is what the next line starts with, if it is the first of list items; ``indent`` what all others start with.
+    ``laid`` tells that lines of a table are among them.
+    """
 
-    __slots__ = ("lines", "line", "gap", "space")
+    __slots__ = ("lines", "line", "gap", "space", "lead", "indent", "laid")
 
     def __init__(self):
         self.lines: list[str] = []
         self.line: list[str] = []
         self.gap, self.space = 0, False
+        self.lead, self.indent, self.laid = "", "", False
 
     def end_line(self) -> None:
         if self.line:
@@ -175,13 +210,16 @@ class Page:
 
     def owe(self, n: int) -> None:
         self.end_line()
-        self.gap = max(self.gap, n)
+        if not self.lead:
+            self.gap = max(self.gap, n)
 
     def put(self, text: str) -> None:
         if not self.line:
             if self.lines:
                 self.lines.extend([""] * (self.gap - 1))
             self.gap = 1
+            self.line.append(self.lead or self.indent)
+            self.lead = ""
         elif self.space:
             self.line.append(" ")
         self.space = False
@@ -201,31 +239,97 @@ class Page:
             if i:
                 if self.line:
                     self.end_line()
+                elif self.lead:
+                    self.put("")
+                    self.end_line()
                 else:
                     self.lines.append("")
             if part:
                 self.put(part)
 
+    def break_line(self) -> None:
+        if self.line:
+            self.end_line()
+            self.gap = 1
+        elif self.lines and not self.lead:
+            self.gap = min(self.gap + 1, 2)
+
+    def open_item(self, mark: str) -> str:
+        """Begins a list item and returns the indent to go back to."""
+        self.owe(1)
+        before = self.indent
+        if len(before) + len(mark) <= MOST_INDENT:
+            self.indent = before + " " * len(mark)
+        self.lead = (self.lead or before) + mark
+        return before
+
+    def close_item(self, before: str) -> None:
+        if self.lead:  # an item without text is its mark
+            self.put("")
+        self.end_line()
+        self.gap, self.indent = 1, before
+
     def finished(self) -> list[str]:
         self.end_line()
         return self.lines
 
 
-def aligned(rows: list[list[list[str]]]) -> list[str]:
-    """Rows of cells (each a list of lines) as lines with aligned columns."""
-    widths: list[int] = []
-    for row in rows:
-        for i, cell in enumerate(row):
-            wide = max(map(len, cell), default=0)
-            if i < len(widths):
-                widths[i] = max(widths[i], wide)
-            else:
-                widths.append(wide)
+class Table:
+    """Cells of a table under way: (row, column, columns, lines), and the columns that cells from above still take."""
+
+    __slots__ = ("row", "at", "cells", "taken")
+
+    def __init__(self):
+        self.row, self.at = -1, 0
+        self.cells: list[tuple[int, int, int, list[str]]] = []
+        self.taken: dict[int, int] = {}
+
+    def next_row(self) -> None:
+        self.row, self.at = self.row + 1, 0
+
+    def place(self, columns: int, rows: int, lines: list[str]) -> None:
+        while self.taken.get(self.at, 0) > self.row:
+            self.at += 1
+        self.cells.append((self.row, self.at, columns, lines))
+        if rows > 1:
+            self.taken.update(dict.fromkeys(range(self.at, min(self.at + columns, MOST_SPANNED)), self.row + rows))
+        self.at += columns
+
+
+def broken(lines: list[str]) -> list[str]:
+    """The lines of a cell, those that are too wide broken at spaces."""
     out = []
-    for row in rows:
-        for k in range(max(map(len, row), default=0)):
-            cells = [(cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(row)]
-            out.append(" | ".join(cells).rstrip())
+    for line in lines:
+        while len(line) > MOST_WIDE and (at := line.rfind(" ", 1, MOST_WIDE + 1)) > 0:
+            out.append(line[:at].rstrip(" "))
+            line = line[at + 1 :]
+        out.append(line)
+    return out
+
+
+def aligned(cells: list[tuple[int, int, int, list[str]]]) -> list[str]:
+    """Cells (row, column, columns, lines), ascending, as lines with aligned columns."""
+    widths: dict[int, int] = {}
+    for _, c, n, lines in cells:
+        wide = max(map(len, lines), default=0)
+        widths[c] = max(widths.get(c, 0), min(wide, MOST_WIDE) if n == 1 else 0)
+    columns = sorted(widths)
+    ends = list(accumulate((widths[c] + 3 for c in columns), initial=0))
+
+    def width(c: int, n: int) -> int:
+        """Of a cell over ``n`` columns from ``c`` on; columns in which no cell begins have none."""
+        return widths[c] if n == 1 else min(ends[bisect_left(columns, c + n)] - ends[bisect_left(columns, c)] - 3, MOST_WIDE)
+
+    out = []
+    for _, row in groupby(cells, key=lambda cell: cell[0]):
+        parts, column = [], 0
+        for _, c, n, lines in row:
+            # columns that cells from above take are blank
+            parts += [(widths[b], []) for b in range(column, min(c, column + MOST_BLANK)) if b in widths]
+            parts.append((width(c, n), lines))
+            column = c + n
+        for k in range(max(len(lines) for _, lines in parts)):
+            out.append(" | ".join([(lines[k] if k < len(lines) else "").ljust(w) for w, lines in parts]).rstrip())
     return out
 
 
@@ -234,44 +338,37 @@ def render(source: str | None) -> str:
     if not source:
         return ""
     pages = [Page()]
-    tables: list[list[list[list[str]]]] = []
+    #: Open tables, those of one column or nested too deep as None.
+    tables: list[Table | None] = []
     lists: list[list] = []
-    own_page: list[bool] = []
+    items: list[str | None] = []
     pre = 0
-    todo: list = [(build(source), False)]
+    todo: list = [(build(source), False, True)]
     while todo:
-        node, leaving = todo.pop()
+        node, leaving, shown = todo.pop()
         page = pages[-1]
         if isinstance(node, str):
-            text = html.unescape(node) if "&" in node else node
-            page.exact(text) if pre else page.flow(text)
+            if shown:
+                text = html.unescape(node) if "&" in node else node
+                page.exact(text) if pre else page.flow(text)
             continue
         tag = node.tag
         if leaving:
-            if tag in CELLS and tables:
-                if own_page.pop():
-                    cell = pages.pop().finished()
-                    tables[-1][-1].append(cell or [""])
-                else:
-                    page.owe(1)
+            if tag in CELLS and tables and tables[-1]:
+                inner = pages.pop()
+                lines = inner.finished() if inner.laid else broken(inner.finished())
+                tables[-1].place(node.span("colspan", MOST_COLUMNS), node.span("rowspan", MOST_ROWS), lines or [""])
             elif tag == "table":
-                rows = [r for r in tables.pop() if r]
-                for line in aligned(rows):
+                own = tables.pop()
+                for line in aligned(own.cells) if own else ():
                     page.end_line()
                     page.put(line)
+                    page.laid = True
                 page.owe(2)
-            elif tag == "li" and not own_page.pop():
-                page.owe(1)
             elif tag == "li":
-                inner = pages.pop().finished()
-                mark = lists[-1] if lists else [None, 0]
-                mark[1] += 1
-                lead = f"{mark[1]}. " if mark[0] == "ol" else "- "
-                for i, line in enumerate(inner or [""]):
-                    pages[-1].owe(1)
-                    pages[-1].put((lead if i == 0 else " " * len(lead)) + line)
-                    pages[-1].end_line()
-                pages[-1].owe(1)
+                before = items.pop()
+                if before is not None:
+                    page.close_item(before)
             else:
                 if tag in ("ul", "ol", "menu", "dir") and lists:
                     lists.pop()
@@ -282,46 +379,41 @@ def render(source: str | None) -> str:
             continue
         if node.unseen():
             continue
+        shown = node.shown(shown)
         if tag == "br":
-            if page.line:
-                page.end_line()
-                page.gap = 1
-            elif page.lines:
-                page.gap = min(page.gap + 1, 2)
-            continue
-        if tag == "hr":
-            page.owe(1)
-            page.put("---")
-            page.owe(1)
+            page.break_line()
             continue
-        if tag == "img":
-            page.flow(node.get("alt") or "")
-            continue
-        if tag == "input":
-            if (node.get("type") or "").lower() in SHOWN_INPUTS:
+        if tag in ("hr", "img", "input"):
+            if tag == "hr" and shown:
+                page.owe(1)
+                page.put("---")
+                page.owe(1)
+            elif tag == "img" and shown:
+                page.flow(node.get("alt") or "")
+            elif shown and (node.get("type") or "").lower() in SHOWN_INPUTS:
                 page.flow(node.get("value") or "")
             continue
         if tag == "table":
             page.owe(2)
-            tables.append([])
+            tables.append(Table() if len(pages) <= MOST_NESTED and node.columns() > 1 else None)
         elif tag == "tr" and tables:
-            tables[-1].append([])
+            if tables[-1]:
+                tables[-1].next_row()
+            else:
+                page.owe(1)
         elif tag in CELLS and tables:
-            if not tables[-1]:
-                tables[-1].append([])
-            own_page.append(len(pages) <= DEEPEST)
-            if own_page[-1]:
+            if tables[-1]:
+                if tables[-1].row < 0:
+                    tables[-1].next_row()
                 pages.append(Page())
             else:
                 page.owe(1)
         elif tag == "li":
-            page.owe(1)
-            own_page.append(len(pages) <= DEEPEST)
-            if own_page[-1]:
-                pages.append(Page())
-            else:
-                page.put("-")
-                page.space = True
+            mark = lists[-1] if lists else [None, 0]
+            mark[1] += 1
+            items.append(page.open_item(f"{mark[1]}. " if mark[0] == "ol" else "- ") if shown else None)
+            if not shown:
+                page.owe(1)
         elif tag in BLOCK:
             page.owe(2 if tag in SPACED and not (tag in ("ul", "ol") and lists) else 1)
             if tag in ("ul", "ol", "menu", "dir"):
@@ -329,8 +421,8 @@ def render(source: str | None) -> str:
                 lists.append([tag, int(start) - 1 if start and re.fullmatch(r"-?\d{1,9}", start) else 0])
             if tag == "pre":
                 pre += 1
-        todo.append((node, True))
-        todo.extend((child, False) for child in reversed(node.children))
+        todo.append((node, True, shown))
+        todo.extend((child, False, shown) for child in reversed(node.children))
     return "\n".join(pages[0].finished()).strip("\n")
 
 

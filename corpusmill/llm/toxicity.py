@@ -193,10 +193,10 @@ def _seen(batches):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", per_class: int = 2000, grades: int = 4) -> OrdinalModel:
-    """The model of at most ``per_class`` clean and ``per_class`` toxic labelled rows of ``docs``.
+    """The model of at most ``per_class`` clean and ``per_class`` toxic labelled ids of ``docs``, each with one of its rows.
 
     Features are counted and chosen on the cluster.  The driver gets counts of at most 2 x ``MOST_FEATURES`` of them and, for
-    each sampled row, its counts of the chosen ones: at most 2 x per_class x ``MOST_FEATURES`` numbers (24 MB), however long the texts are.
+    each sampled id, its counts of the chosen ones: at most 2 x per_class x ``MOST_FEATURES`` numbers (24 MB), however long the texts are.
     """
     import numpy as np
 
@@ -206,7 +206,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", pe
         part = known.where(side).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = part if picked is None else picked.union(part)
     picked = cut(picked)  # at most 2 x per_class rows
-    texts = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select(F.greatest("grade", F.lit(0)).alias("grade"), "text")
+    # one row of each id, of the least text by hash: repeated rows neither weigh more nor fill the driver
+    found = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    texts = found.groupBy("doc_id").agg(F.max("grade").alias("grade"), F.min_by("text", F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("t"))).alias("text"))
+    texts = texts.select(F.greatest("grade", F.lit(0)).alias("grade"), "text")
     held = reread(texts.mapInArrow(_extract, "grade int, features binary"), "toxicity-sample")
     n_up, n_down = held.agg(F.count(F.when(F.col("grade") > 0, 1)), F.count(F.when(F.col("grade") <= 0, 1))).first()
     if not n_up or not n_down:

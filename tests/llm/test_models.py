@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import pytest
@@ -203,6 +204,63 @@ def test_toxicity_fit_is_that_of_the_rows_in_memory(spark):
     assert toxicity.toxicity_rows(long, labels).count() == 40
 
 
+def test_repeated_labelled_rows_count_once(spark):
+    """A labelled id gives one row to the fit, however often it stands in the documents, so neither model nor memory grow with copies."""
+    docs, labels = table(spark, "/root/testdata/sf0.001", "documents"), table(spark, "/root/testdata/sf0.001", "labels")
+    one = docs.join(labels.where("toxic = 1"), "doc_id", "left_semi").orderBy("doc_id").limit(1)
+    many = docs.unionByName(one.crossJoin(spark.range(3000)).select(*docs.columns)).unionByName(one.withColumn("text", F.lit("zz other text of that id")))
+    rows = []
+    kept, toxicity.fit_matrix = toxicity.fit_matrix, lambda x, *a, **b: rows.append(len(x)) or kept(x, *a, **b)
+    try:
+        plain, crowded = toxicity.fit_toxicity(docs, labels), toxicity.fit_toxicity(many, labels)
+    finally:
+        toxicity.fit_matrix = kept
+    assert len(set(rows)) == 1 and len(plain.weights) > 0
+    assert toxicity.fit_toxicity(docs.unionByName(one.crossJoin(spark.range(50)).select(*docs.columns)), labels) == plain
+    assert crowded.cuts
+
+
+def test_fit_is_the_least_of_its_loss():
+    """Against a plain projected descent on the cumulative-link loss, written out with loops over rows and thresholds."""
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        grade = rng.choice([0, 0, 1, 2, 3])
+        own = [f for f in range(6) for _ in range(rng.random() < (0.02 if grade == 0 else 0.2 + 0.2 * grade * (f < 4)))] + [50 + i % 9]
+        rows.append((np.array(sorted(own), np.int32), grade))
+    model = toxicity.fit(rows)
+    names, cuts = sorted(model.weights), len(model.cuts)
+    counts = [[int((f == n).sum()) for n in names] for f, _ in rows]
+    grades = [g for _, g in rows]
+    above = sum(g > 0 for g in grades)
+    share = [0.5 / above if g > 0 else 0.5 / (len(grades) - above) for g in grades]
+
+    def loss_and_slope(w, c):
+        loss, dw, dc = sum(5e-5 * x * x for x in w), [1e-4 * x for x in w], [0.0] * cuts
+        for row, g, weight in zip(counts, grades, share):
+            score = sum(n * x for n, x in zip(row, w))
+            for k in range(cuts):
+                p = 1 / (1 + math.exp(-(score - c[k])))
+                loss -= weight * math.log(max(p if g > k else 1 - p, 1e-12))
+                slope = weight * (p - (g > k))
+                dc[k] -= slope
+                for j, n in enumerate(row):
+                    dw[j] += slope * n
+        return loss, dw, dc
+
+    w, c = [0.0] * len(names), [0.0, 0.5, 1.0][:cuts]
+    for _ in range(1500):
+        _, dw, dc = loss_and_slope(w, c)
+        w, c = [max(x - 0.3 * d, 0.0) for x, d in zip(w, dw)], [x - 0.3 * d for x, d in zip(c, dc)]
+    best, mine = loss_and_slope(w, c)[0], loss_and_slope([model.weights[n] for n in names], model.cuts)[0]
+    assert len(names) >= 3 and mine <= best * 1.01 + 1e-6
+    for row in counts[:60]:
+        theirs = sum(1 / (1 + math.exp(-(sum(n * x for n, x in zip(row, w)) - k))) for k in c)
+        assert abs(theirs - model.severity(sum(n * model.weights[m] for n, m in zip(row, names)))) < 0.1
+
+
 def test_ordinal_fit_orders_grades():
     import numpy as np
 
@@ -228,12 +286,63 @@ def test_ordinal_fit_orders_grades():
         ("x &amp; y&nbsp;z <b>q</b>w", "x & y\xa0z qw"),
         ("<img alt='pic'> t <!-- c --> u", "pic t u"),
         ("</p></table><td>a</td> < b <", "a\n< b <"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>d</table>", "a | b\n  | d"),
+        ("<table><tr><td>p<td rowspan=3>q<td>r<tr><td>s<td>t<tr><td>uu</table>", "p  | q | r\ns  |   | t\nuu"),
+        ("<table><tr><td colspan=2>over two<td>x<tr><td>abc<td>defgh<td>y</table>", "over two    | x\nabc | defgh | y"),
+        ("<table><tr><td colspan=2 rowspan=2>sq<td>x<tr><td>y<tr><td>a<td>b<td>z</table>", "sq    | x\n  |   | y\na | b | z"),
+        ("<table><tr><td colspan=x rowspan=0>a<td>b</table>", "a | b"),
+        ("<table><tr><td>" + "w " * 70 + "<td>q</table>", ("w " * 60).rstrip() + " | q\n" + ("w " * 10).rstrip() + " " * 100 + " |"),
+        ("<div style='visibility:hidden'>no <b style='Visibility : visible'>yes</b> no<img alt=no></div>", "yes"),
+        ("<ul style='visibility:hidden'><li>no<li style='visibility:visible'>yes</ul>", "- yes"),
+        ("<p style='visibility:hidden;visibility:visible'>x", "x"),
+        ("<div style='display:none'><b style='visibility:visible'>no</b></div>x", "x"),
+        ("<ul><li><ul><li>x</ul><li></ul>", "- - x\n-"),
+        ("<ol><li>a<p>b<ul><li>c</ul>d<li>e</ol>f", "1. a\n\n   b\n\n   - c\n   d\n2. e\n\nf"),
+        ("<ul><li>a<table><tr><td>x<td>y<tr><td>zz</table></ul>", "- a\n\n  x  | y\n  zz"),
+        ("<table><tr><td>one<tr><td>column<ul><li>z</ul></table>", "one\ncolumn\n\n- z"),
+        ("<table><tr><td>a<td><table><tr><td>b<td>c<tr><td>dd<td>e</table><td>f</table>", "a | b  | c | f\n  | dd | e |"),
     ],
 )
 def test_render(source, want):
     assert html_render.render(source) == want
 
 
+def test_deep_lists_and_tables_keep_their_layout():
+    deep = html_render.render("<ul><li>x" * 100).split("\n")
+    assert deep[:3] == ["- x", "  - x", "    - x"] and deep[99] == " " * html_render.MOST_INDENT + "- x" and len(deep) == 100
+    nested = "<table><tr><td>a<td>b<tr><td>cc<td>" * 12 + "x" + "</table>" * 12
+    lines = html_render.render(nested).split("\n")
+    assert lines[:4] == ["a  | b", "cc | a  | b", "   | cc | a  | b", "   |    | cc | a  | b"] and lines[12].endswith("cc | x") and len(lines) == 13
+    boxed = "<table><tr><td>" * 3000 + "x<p>y" + "</table>" * 3000
+    assert html_render.render(boxed) == "x\n\ny"
+
+
+def test_layout_adds_in_proportion():
+    """What aligns cells grows with the page, not with its square, however wide, spanned or nested the cells are."""
+    kinds = [
+        lambda n: "<table>" + "<tr><td>x<td>y" * n + "<tr><td>" + "w " * 3 * n + "<td>q</table>",
+        lambda n: "<table>" + "<tr><td>x<td>y" * n + "<tr><td>" + "w" * 6 * n + "<td>q</table>",
+        lambda n: "<table><tr>" + "<td rowspan=65534>ab" * n + "<tr><td>z" * n,
+        lambda n: "<table>" + "<tr><td colspan=1000 rowspan=9>x" * n,
+        lambda n: "<table><tr>" + "<td>wide enough" * n + "<tr><td colspan=1000>x<td>y" * n,
+        lambda n: "<table><tr><td>x<td>y" * n,
+        lambda n: "<ol><li>x" * n,
+    ]
+    for page in kinds:
+        one, two = (len(html_render.render(page(n))) for n in (1000, 4000))
+        assert two < 5 * one + 50_000
+
+
+def test_layout_loses_and_adds_no_words():
+    rng = random.Random(9)
+    tags = ["<p>", "<table>", "<tr>", "<td>", "<td colspan=3>", "<td rowspan=2>", "</td>", "</tr>", "</table>", "<ul>", "<ol>", "<li>", "</ul>", "<div>", "</div>", "<br>", "w%d ", "w%d"]
+    for _ in range(1500):
+        parts = [t % rng.randint(0, 99) if "%" in t else t for t in rng.choices(tags, k=rng.randint(0, 60))]
+        page = " ".join(parts)
+        found = re.findall(r"w\d+", html_render.render(page))
+        assert sorted(found) == sorted(re.findall(r"w\d+", page)), page
+
+
 def test_render_survives_anything(spark):
     rng = random.Random(4)
     tags = ["<p>", "</p>", "<table>", "<tr>", "<td>", "</td>", "</tr>", "</table>", "<ul>", "<li>", "</ul>", "<b", ">", "<!--", "-->", "<pre>", "</pre>", "&lt;", "<br/>", "w%d", " ", "\n", "<script>", "</script>", "'", '"', "<div hidden>", "</div>"]
@@ -249,6 +358,10 @@ def visible_words(markup):
     """Words of a page's text by the standard library's parser, without regard to layout."""
     from html.parser import HTMLParser
 
+    void = set("area base br col embed hr img input link meta source track wbr".split())
+    gone = set("head script style template title noscript datalist iframe noembed noframes".split())
+    style = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+
     class Reader(HTMLParser):
         def __init__(self):
             super().__init__(convert_charrefs=True)
@@ -258,7 +371,7 @@ def visible_words(markup):
             named = dict(attrs)
             if self.unseen and tag == self.unseen[-1][0]:
                 self.unseen[-1][1] += 1
-            elif not self.unseen and tag not in html_render.VOID and (tag in html_render.UNSEEN or "hidden" in named or html_render.UNSEEN_STYLE.search(named.get("style") or "")):
+            elif not self.unseen and tag not in void and (tag in gone or "hidden" in named or style.search(named.get("style") or "")):
                 self.unseen.append([tag, 1])
             elif not self.unseen and tag == "img":
                 self.out.append(named.get("alt") or "")
