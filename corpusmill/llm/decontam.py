@@ -10,10 +10,13 @@ Words are runs of characters other than U+0000-2F, 3A-60 and 7B-7F once A-Z are
 in UTF-8 these are the bytes 0-9, a-z and 80-FF.  An occurrence of a window is made of words
 that items hold, so runs of such words shorter than every window need not be streamed.
 
-Items go to the tasks in groups of at most ``group_words`` words (one larger item stands alone), each
-sent as its words' bytes and built into an automaton there: 100,000 random words take about 85 MB
-in a Python worker.  The driver holds one group at a time.  Documents pass through one automaton
-after another, and their spans are united.
+Items of the same words are one.  They go to the tasks in groups of at most ``group_words`` words, sent as
+their words' bytes (a few hundred KB a group) and built into automata there: 100,000 random words take about 85 MB in a
+Python worker.  An item longer than a group is cut into pieces that share window - 1 words, so that every window lies whole in
+one.  A worker keeps ``HELD`` automata; where there are more groups, it takes a portion of texts, passes it through the
+automata one after another, building each anew, and unites the spans.  So a worker's memory is that of ``HELD`` automata and
+a portion, whatever the benchmark's size.  A stage takes ``GROUPS_AT_ONCE`` groups (6.4 million words, about 50 MB sent);
+further ones follow in further stages.
 
 Defined results: null texts and texts without words have no words and no hits; items without
 words match nothing; items with a null id hit words but are not named; an id given twice is
@@ -26,13 +29,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import forget_memos, set_aside
+from corpusmill.llm.common import forget_memos, portions, set_aside
 
 KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 #: Upper case to lower case, other bytes outside words to a space.
@@ -47,44 +51,44 @@ def words_of(text: str | None) -> list[bytes]:
 class SuffixAutomaton:
     """All factors of the items' word sequences, with the windows that end in each state."""
 
-    def __init__(self, items: list[tuple[object, list[bytes]]], window: int = 10):
+    def __init__(self, items: list[list[bytes]], window: int = 10):
         self.window = window
         self.vocabulary: dict[bytes, int] = {}
-        for _, words in items:
+        for words in items:
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary))
         self.step: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        owners: list[set[int]] = [set()]
-        self.short: dict[int, list[tuple[int, int]]] = {}
-        ends = []
-        for k, (_, words) in enumerate(items):
+        for words in items:
             last = 0
             for w in words:
                 last = self._extend(last, self.vocabulary[w])
-                while len(owners) < len(self.length):
-                    owners.append(set())
-                owners[last].add(k)
-            if words and len(words) < window:
-                ends.append((k, words))
-        for v in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            owners[self.link[v]] |= owners[v]
-        self.least = min([window, *(len(w) for _, w in items if w)])
-        #: For each state as long as a window: the items holding the last `window` words of it.
-        self.held: list[frozenset[int] | None] = [None] * len(self.length)
-        short_here: dict[int, list[tuple[int, int]]] = {}
-        for k, words in ends:
+        self.least = min([window, *(len(w) for w in items if w)])
+        #: For each state as long as a window, the one that holds its last ``window`` words; those that do know their items.
+        self.anchor = [0] * len(self.length)
+        by_length = sorted(range(1, len(self.length)), key=self.length.__getitem__)
+        for v in by_length:
+            if self.length[v] >= window:
+                up = self.link[v]
+                self.anchor[v] = self.anchor[up] if self.length[up] >= window else v
+        self.held: dict[int, set[int]] = {}
+        here: dict[int, tuple[int, int]] = {}
+        for k, words in enumerate(items):
             v = 0
-            for w in words:
+            for n, w in enumerate(words, 1):
                 v = self.step[v][self.vocabulary[w]]
-            short_here.setdefault(v, []).append((len(words), k))
-        for v in sorted(range(1, len(self.length)), key=self.length.__getitem__):
-            up = self.link[v]
-            if self.length[v] >= window:
-                self.held[v] = self.held[up] if self.length[up] >= window else frozenset(owners[v])
-            both = self.short.get(up, []) + short_here.get(v, [])
-            if both:
-                self.short[v] = both
+                if n >= window:
+                    self.held.setdefault(self.anchor[v], set()).add(k)
+            if 0 < len(words) < window:
+                here[v] = (len(words), k)
+        #: For each state, the shorter items that end there: at most one of each length.
+        self.short: dict[int, list[tuple[int, int]]] = {}
+        for v in by_length if here else ():
+            above = self.short.get(self.link[v], [])
+            if v in here:
+                self.short[v] = [*above, here[v]]
+            elif above:
+                self.short[v] = above
 
     def _extend(self, last: int, c: int) -> int:
         step, link, length = self.step, self.link, self.length
@@ -120,7 +124,8 @@ class SuffixAutomaton:
 
     def occurrences(self, ids: list[int]) -> tuple[list[tuple[int, int]], set[int]]:
         """Hit [start, end) intervals and item numbers of a run of known words."""
-        step, link, length, held, short, window = self.step, self.link, self.length, self.held, self.short, self.window
+        step, link, length, short, window = self.step, self.link, self.length, self.short, self.window
+        held, anchor = self.held, self.anchor
         at, matched, spans, items = 0, 0, [], set()
         for i, c in enumerate(ids):
             to = step[at].get(c)
@@ -132,7 +137,7 @@ class SuffixAutomaton:
                 continue
             at, matched = to, matched + 1
             if matched >= window:
-                items |= held[at]
+                items |= held[anchor[at]]
                 start = i + 1 - matched
                 if spans and start <= spans[-1][1]:
                     spans[-1] = (min(start, spans[-1][0]), i + 1)
@@ -174,24 +179,68 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-GROUP_WORDS = 100_000
+GROUP_WORDS, GROUPS_AT_ONCE = 100_000, 64
+#: Automata that a worker keeps, and the bytes of texts that pass through more of them at a time.
+HELD, PORTION = 3, 16_000_000
+
+Group = list[tuple[list[str], bytes]]
+
 
+def item_groups(benchmark: DataFrame, window: int, group_words: int) -> Iterator[Group]:
+    """(ids, words joined by spaces) of the distinct items in groups of at most ``group_words`` words, read one after another.
 
-def item_groups(benchmark: DataFrame, group_words: int) -> Iterator[list[tuple[str | None, bytes]]]:
-    """(id, words joined by spaces) of the items in groups of at most ``group_words`` words, read one after another; one group at least."""
-    group, held, some = [], 0, False
-    for item_id, text in benchmark.select(F.col("item_id").cast("string"), "text").toLocalIterator():
-        words = words_of(text)
-        if words:
-            if group and held + len(words) > group_words:
+    Items are brought together by their words on the cluster; the driver holds what is sent of one stage.
+    """
+    group_words = max(group_words, 2 * window)
+
+    @F.udf("binary")
+    def normal(text):
+        return b" ".join(words_of(text)) or None
+
+    words = benchmark.select(F.col("item_id").cast("string").alias("item_id"), normal("text").alias("w")).where("w is not null")
+    named = words.groupBy("w").agg(F.array_sort(F.collect_set("item_id")).alias("ids"))
+    group: Group = []
+    held = 0
+    for row in named.select("ids", "w").toLocalIterator():
+        own = bytes(row.w).split()
+        for at in range(0, max(len(own) - window + 1, 1), group_words - window + 1):
+            piece = own[at : at + group_words]
+            if group and held + len(piece) > group_words:
                 yield group
-                group, held, some = [], 0, True
-            group.append((item_id, b" ".join(words)))
-            held += len(words)
-    if group or not some:
+                group, held = [], 0
+            group.append((list(row.ids), b" ".join(piece)))
+            held += len(piece)
+    if group:
         yield group
 
 
+class Automata:
+    """The automata of groups of items, the last ``HELD`` of them kept."""
+
+    def __init__(self, groups: list[Group], window: int):
+        self.groups, self.window, self.kept = groups, window, {}
+
+    def __getitem__(self, g: int) -> SuffixAutomaton:
+        if g not in self.kept:
+            while len(self.kept) >= HELD:
+                self.kept.pop(next(iter(self.kept)))
+            self.kept[g] = SuffixAutomaton([w.split() for _, w in self.groups[g]], self.window)
+        return self.kept[g]
+
+    def scan(self, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str]]]:
+        """Hit intervals and item ids of texts of words."""
+        spans, names = [[] for _ in texts], [set() for _ in texts]
+        # those that are kept from the texts before come first
+        for g in sorted(range(len(self.groups)), key=lambda g: g not in self.kept):
+            automaton, ids = self[g], self.groups[g]
+            for i, words in enumerate(texts):
+                found, held = automaton.scan(words)
+                if found:
+                    spans[i] += found
+                    names[i].update(*(ids[k][0] for k in held))
+        return list(zip(spans, names))
+
+
 def match_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", window: int = 10, group_words: int = GROUP_WORDS, cut: bool = False) -> DataFrame:
     """``docs`` with n_words, spans (array of start, end in words, disjoint, ascending) and items (distinct ids as strings).
 
@@ -205,36 +254,33 @@ def match_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", wi
     kept_names, added_names = kept.columns, [f.name for f in added]
     at = kept_names.index(text)
     types = [pa.int64(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())]
-    groups = item_groups(benchmark, group_words)
-    out, group, first = kept, next(groups), True
-    while group is not None:
-        coming = next(groups, None)
+    groups = item_groups(benchmark, window, group_words)
+    out, own, first = kept, list(islice(groups, GROUPS_AT_ONCE)), True
+    while own or first:
+        coming = list(islice(groups, GROUPS_AT_ONCE))
 
-        def run(batches, sent=spark.sparkContext.broadcast(group), first=first, cutting=cut and coming is None):
+        def run(batches, sent=spark.sparkContext.broadcast(own), first=first, cutting=cut and not coming):
             forget_memos()
-            automaton = SuffixAutomaton([(i, w.split()) for i, w in sent.value], window)
-            ids = [i for i, _ in sent.value]
-            for batch in batches:
+            automata = Automata(sent.value, window)
+            for batch in portions(batches, at, PORTION if len(sent.value) > HELD else PORTION // 8):
                 before = [[]] * batch.num_rows if first else batch.column(batch.num_columns - 2).to_pylist()
                 named = [[]] * batch.num_rows if first else batch.column(batch.num_columns - 1).to_pylist()
                 counts, spans, items, texts = [], [], [], []
-                for t, old, old_names in zip(batch.column(at), before, named):
-                    t = t.as_py()
-                    words = words_of(t)
-                    found, held = automaton.scan(words)
+                every = [words_of(t.as_py()) for t in batch.column(at)]
+                for t, words, (found, ids), old, old_names in zip(batch.column(at), every, automata.scan(every), before, named):
                     counts.append(len(words))
-                    own = united(found + [(x["start"], x["end"]) for x in old])
-                    spans.append([{"start": s, "end": e} for s, e in own])
-                    items.append(sorted({ids[k] for k in held if ids[k] is not None} | set(old_names)))
+                    hit = united(found + [(x["start"], x["end"]) for x in old])
+                    spans.append([{"start": s, "end": e} for s, e in hit])
+                    items.append(sorted(ids | set(old_names)))
                     if cutting:
-                        texts.append(remove_spans(t, own) if own else t)
+                        texts.append(remove_spans(t.as_py(), hit) if hit else t.as_py())
                 columns = list(batch.columns if first else batch.columns[:-3])
                 if cutting:
                     columns[at] = pa.array(texts, columns[at].type)
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array(v, t) for v, t in zip((counts, spans, items), types))], names=[*kept_names, *added_names])
 
         out = out.mapInArrow(run, T.StructType([*kept.schema.fields, *added]))
-        group, first = coming, False
+        own, first = coming, False
     return out
 
 

@@ -94,6 +94,37 @@ def brute_contamination(docs, items, window=10):
     return sorted(out, key=str)
 
 
+def test_many_groups_and_long_items(spark, monkeypatch):
+    """Items cut into pieces, more groups than a worker keeps, and more than a stage takes, hit what whole items hit."""
+    rng = random.Random(8)
+    words = ["a", "b", "c", "d9", "é"]
+    items = [(i, " ".join(rng.choice(words) for _ in range(rng.choice([4, 12, 15, 90, 200])))) for i in range(25)]
+    items += [(100 + i, items[i][1]) for i in range(5)] + [(None, items[0][1]), (7, "")]
+    docs = [(i, " ".join(rng.choice(items)[1][rng.randint(0, 60) :][: rng.randint(0, 200)] for _ in range(3))) for i in range(30)]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = brute_contamination(docs, items)
+    for at_once in (64, 4):
+        monkeypatch.setattr(decontam, "GROUPS_AT_ONCE", at_once)
+        found = decontam.match_spans(a, b, group_words=20).collect()
+        got = []
+        for r in found:
+            names = sorted(r["items"])
+            got.append((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), bool(r.spans)))
+        assert sorted(got, key=str) == want
+
+
+def test_automata_are_linear_in_their_items():
+    import time
+
+    began = time.time()
+    for text in ("a " * 60_000, "a b " * 30_000, " ".join(str(i % 500) for i in range(60_000))):
+        own = decontam.SuffixAutomaton([text.encode().split()] + [f"{k} x y z".encode().split() for k in range(500)])
+        assert len(own.length) < 2 * 63_000 and sum(map(len, own.held.values())) <= 63_000 and sum(map(len, own.short.values())) < 10_000
+    many = decontam.SuffixAutomaton([f"{k} {'same ' * 20}".encode().split() for k in range(2000)])
+    assert sum(map(len, many.held.values())) <= 2000 * 21
+    assert time.time() - began < 30
+
+
 def test_decontamination(spark, sf_dir):
     rng = random.Random(5)
     words = ["a", "b", "c", "ab", "é9"]
