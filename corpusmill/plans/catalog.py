@@ -258,8 +258,9 @@ fused AS (SELECT query_id, doc_id, sum(weight / (10 + rank)) AS score, min(list
 o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, first) AS r FROM fused)
 SELECT query_id, r AS rank, doc_id, round(score, 9) AS score FROM o WHERE r <= 10""")
 def rrf_fusion(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    lists = [(retrieval.bm25_offline(docs, asked(spark), 40), 0.5), (retrieval.bm25_okapi(docs, asked(spark), 40), 1.0)]
+    docs, queries = table(spark, sf_dir, "documents"), asked(spark)
+    held = retrieval.postings(docs, [retrieval.query_terms(queries), retrieval.okapi_terms(queries)])
+    lists = [(retrieval.bm25_offline(docs, queries, 40, held=held), 0.5), (retrieval.bm25_okapi(docs, queries, 40, held=held), 1.0)]
     return retrieval.rank_fusion(lists).withColumn("score", F.round("score", 9))
 
 
