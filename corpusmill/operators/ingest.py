@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as X
 from corpusmill.operators import lineage
 from corpusmill.operators.corpus import in_ranges, numbered
+from corpusmill.operators.folds import folded
 
 #: Least shares of usable pages, of all and of scans, and most of replacement characters; fixed values.
 USABLE_PAGES, USABLE_SCANS, MOST_REPLACED = 0.60, 1.00, 0.02
@@ -103,34 +107,70 @@ def section_ranges(sections: DataFrame, pages: int) -> DataFrame:
     return sections.withColumn("end_page", F.coalesce(later - 1, F.lit(pages)))
 
 
+@dataclass
+class _Run:
+    """The run of records that is open: its first record, its words (one more than allowed stands for all beyond) and whether it may go on."""
+
+    first: int | None = None
+    words: int = 0
+    open: bool = False
+
+
+def _joined(run: _Run, at: int, words: int, stops: bool, most: int) -> _Run:
+    if run.open and run.words + words <= most:
+        return _Run(run.first, run.words + words, not stops)
+    return _Run(at, min(words, most + 1), not stops)
+
+
 def joined_leads(records: DataFrame, group: str, order: str, most_words: int) -> DataFrame:
     """group, first, n_records and text: runs of records joined while the lead lacks a full stop and the words stay within ``most_words``.
 
-    A task takes one group at a time; what a run becomes depends on the runs before it.
+    ``order`` is a long, unique in its group.  What a run becomes depends on the runs before it, but of these only on how many words are open:
+    a stretch of records is summed up by what it makes of each number of words, so a group may lie in many tasks (``folds``).  Only
+    counts pass through them; the texts of a run, which is as short as ``most_words`` says or one record, meet by its first record.
     """
-    kinds = dict(records.dtypes)
-
-    def run(pdf):
-        import pandas as pd
-
-        out, held = [], None
-        for o, t in pdf.sort_values(order)[[order, "text"]].itertuples(index=False):
-            n = len((t or "").split())
-            if held and not held[2].rstrip().endswith(".") and held[3] + n <= most_words:
-                held = [held[0], held[1] + 1, f"{held[2]} {t or ''}", held[3] + n]
-            else:
-                if held:
-                    out.append(held)
-                held = [o, 1, t or "", n]
-        return pd.DataFrame([(pdf[group].iloc[0], *h[:3]) for h in [*out, held]], columns=[group, "first", "n_records", "text"])
+    text = F.coalesce("text", F.lit(""))
+    told = records.select(group, F.col(order).cast("long").alias("at"), text.alias("text"))
+    sized = told.select(group, "at", X.word_count(F.col("text")).alias("n"), F.coalesce(X.stripped(F.col("text")).endswith("."), F.lit(False)).alias("stops"))
+    states = [_Run(None, 0, False), *[_Run(None, w, True) for w in range(most_words + 2)]]
+
+    def step(run: _Run, row: dict) -> _Run:
+        return _joined(run, row["at"], row["n"], row["stops"], most_words)
+
+    def summary(rows: Iterable[dict]) -> list[_Run]:
+        place, ends = list(range(len(states))), list(states)
+        for row in rows:
+            ends = [step(run, row) for run in ends]
+            if len(ends) > 1:  # states that have become one stay one
+                known: dict[tuple, int] = {}
+                to = [known.setdefault((e.first, e.words, e.open), len(known)) for e in ends]
+                ends, place = [next(e for e, k in zip(ends, to) if k == i) for i in range(len(known))], [to[p] for p in place]
+        return [ends[p] for p in place]
+
+    def after(run: _Run, own: list[_Run]) -> _Run:
+        made = own[run.words + 1 if run.open else 0]
+        return _Run(run.first if made.first is None else made.first, made.words, made.open)
+
+    def walk(run: _Run, rows: Iterable[dict]) -> Iterator[tuple]:
+        for row in rows:
+            run = step(run, row)
+            yield row[group], row["at"], run.first
 
-    return records.select(group, order, "text").groupBy(group).applyInPandas(run, f"{group} {kinds[group]}, first {kinds[order]}, n_records long, text string")
+    kinds = dict(records.dtypes)
+    runs = folded(sized, group, ["at"], _Run(), summary, after, walk, f"`{group}` {kinds[group]}, at long, first long")
+    same = F.col(f"x.{group}").eqNullSafe(F.col(f"y.{group}")) & (F.col("x.at") == F.col("y.at"))
+    both = told.alias("x").join(runs.alias("y"), same).select(F.col(f"x.{group}").alias(group), "y.first", "x.at", "x.text")
+    parts = both.groupBy(group, "first").agg(F.count("*").alias("n_records"), F.array_sort(F.collect_list(F.struct("at", "text"))).alias("p"))
+    return parts.select(group, F.col("first").cast(kinds[order]).alias("first"), "n_records", F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"))
 
 
 def questions(records: DataFrame, group: str, order: str) -> DataFrame:
-    """group, order, place, question and before: the questions of notes records, each with the record before as its context."""
-    w = W.partitionBy(group).orderBy(order)
-    own = records.withColumn("before", F.lag("text").over(w)).where("content_type = 'notes_and_questions'")
+    """group, order, place, question and before: the questions of notes records, each with the record before as its context.
+
+    The record before is handed on over ranges, so a group may lie in many tasks.
+    """
+    placed = numbered(records.select(group, order, "content_type", "text"), group, [order], lasts={"__b": F.struct("text")})
+    own = placed.withColumn("before", F.col("__b.text")).where("content_type = 'notes_and_questions'")
     asked = F.filter(F.transform(F.regexp_extract_all("text", F.lit(r"([^.?!]*\?)"), F.lit(1)), X.one_spaced), lambda q: F.length(q) > 1)
     return own.select(group, order, "before", F.posexplode(asked).alias("place", "question"))
 
@@ -204,9 +244,9 @@ def page_regressions(records: DataFrame, group: str, order: str) -> DataFrame:
     ``records``: page, content_type, section_path, content_source, reason.  Allowed: author's narrative after the statute it
     explains, in the same section; and a footnote kept back by one page to end a sentence.
     """
-    w = W.partitionBy(group).orderBy(order)
-    before = lambda c: F.lag(c).over(w)
-    own = records.where("page is not null").withColumns({f"__{c}": before(c) for c in ("page", "content_type", "section_path", "content_source")})
+    held = ("page", "content_type", "section_path", "content_source")
+    placed = numbered(records.where("page is not null"), group, [order], lasts={"__b": F.struct(*held)})
+    own = placed.withColumns({f"__{c}": F.col(f"__b.{c}") for c in held})
     back = own.where("page < __page")
     lane = (F.col("section_path") != "") & F.col("section_path").eqNullSafe(F.col("__section_path")) & (F.col("__content_type") == "statutory_excerpt") & (F.col("content_type") == "author_narrative")
     note = (F.col("__page") == F.col("page") + 1) & (F.col("__content_source") == "body") & (F.col("content_source") == "footnote") & (F.col("content_type") == "footnote") & (F.col("reason") == "footnote_after_continuation")

@@ -133,14 +133,14 @@ ENDINGS_SQL = ", ".join("'" + e.replace("\n", "' || chr(10) || '") + "'" for e i
 
 
 @query(f"""
-WITH a AS (SELECT doc_id AS answer_id, regexp_replace(CASE WHEN doc_id % 8 = 5 THEN '' ELSE regexp_replace(substr(text, 1, 30), '[\\[\\]\\n<>.]', ' ', 'g') END || [{ENDINGS_SQL}][doc_id % 8 + 1], '(?s)<think>.*?</think>', '', 'g') AS t FROM documents),
+WITH a AS (SELECT doc_id AS answer_id, regexp_replace(CASE WHEN doc_id % 8 = 5 THEN '' ELSE regexp_replace(text, '[\\[\\]\\n<>.]', ' ', 'g') END || [{ENDINGS_SQL}][doc_id % 8 + 1], '(?s)<think>.*?</think>', '', 'g') AS t FROM documents),
 g AS (SELECT answer_id, unnest(regexp_extract_all(t, '\\[([^\\[\\]]+)\\]', 1)) AS g FROM a),
 c AS (SELECT answer_id, list_distinct(flatten(list(list_transform(regexp_extract_all(g, '(?i)S\\d+'), lambda x: upper(x))))) AS ids FROM g WHERE regexp_matches(g, '(?i)S\\d') AND regexp_full_match(regexp_replace(g, '(?i)S\\d+', '', 'g'), '[ \\t,;:&/-]*') GROUP BY 1)
 SELECT answer_id, CASE WHEN upper(regexp_replace(trim(t), '[. ]+$', '')) = 'INSUFFICIENT_EVIDENCE' THEN 'insufficient' WHEN len(list_filter(ids, lambda x: x NOT IN ('S1', 'S2'))) > 0 THEN 'unknown_source' WHEN ids IS NULL THEN 'no_citation'
   WHEN len(list_filter(regexp_split_to_array(trim(t), '\\n+'), lambda p: regexp_matches(p, '[A-Za-z]') AND NOT regexp_matches(p, '(?i)\\[[^\\[\\]]*S\\d+[^\\[\\]]*\\]'))) > 0 THEN 'uncited_paragraph' ELSE 'ok' END AS verdict
 FROM a LEFT JOIN c USING (answer_id)""")
 def answer_verdicts(spark, sf_dir):
-    head = F.regexp_replace(F.substring("text", 1, 30), r"[\[\]\n<>.]", " ")
+    head = F.regexp_replace("text", r"[\[\]\n<>.]", " ")
     ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.col("doc_id") % 8 + 1).cast("int"))
     answers = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("answer_id"), F.concat(F.when(F.col("doc_id") % 8 == 5, "").otherwise(head), ending).alias("answer"))
     return records.answer_verdict(answers.withColumn("known_ids", F.array(F.lit("S1"), F.lit("S2"))))

@@ -80,9 +80,9 @@ def equal_filter_rows(spark, sf_dir):
     return own.where(retrieval.equal_filters("de", 0)).select("doc_id")
 
 
-@query("SELECT doc_id, array_to_string(list_sort(regexp_extract_all(lower(left(text, 200)), '[a-z]+|\\d+')), chr(31)) AS signature FROM documents")
+@query("SELECT doc_id, sha256(array_to_string(list_sort(regexp_extract_all(lower(text), '[a-z]+|\\d+')), chr(31))) AS signature FROM documents")
 def token_signatures(spark, sf_dir):
-    return docs_of(spark, sf_dir).select("doc_id", X.token_signature(F.left("text", F.lit(200))).alias("signature"))
+    return docs_of(spark, sf_dir).select("doc_id", F.sha2(X.token_signature(F.col("text")), 256).alias("signature"))
 
 
 LEXICAL_SQL = "lx AS (SELECT doc_id, text, source AS f1, upper(source) AS f2, lang AS f3, 'chapter ' || (n_chars % 9) AS f4 FROM documents)"
@@ -212,17 +212,16 @@ def section_ranges(spark, sf_dir):
 
 @query()
 def joined_leads(spark, sf_dir):
-    return ingest.joined_leads(docs_of(spark, sf_dir).select("source", "doc_id", F.left("text", F.lit(80)).alias("text")), "source", "doc_id", 60)
+    return ingest.joined_leads(docs_of(spark, sf_dir).select("source", "doc_id", "text"), "source", "doc_id", 400).select("source", "first", "n_records", F.sha2("text", 256).alias("sha256"))
 
 
 @query("""
-WITH d AS (SELECT source, doc_id, regexp_replace(left(text, 40), '[.?!\\n]', ' ', 'g') || '? ' || regexp_replace(substr(text, 60, 30), '[.?!\\n]', ' ', 'g') || ' why?' AS text, CASE WHEN doc_id % 3 = 0 THEN 'notes_and_questions' ELSE 'x' END AS kind FROM documents),
+WITH d AS (SELECT source, doc_id, regexp_replace(text, '[!\\n]', '? ', 'g') || ' why?' AS text, CASE WHEN doc_id % 3 = 0 THEN 'notes_and_questions' ELSE 'x' END AS kind FROM documents),
 w AS (SELECT *, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS before FROM d),
 q AS (SELECT source, doc_id, before, list_filter(list_transform(regexp_extract_all(text, '[^.?!]*\\?'), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), lambda x: length(x) > 1) AS qs FROM w WHERE kind = 'notes_and_questions')
-SELECT source, doc_id, sha256(before) AS before_sha256, CAST(i - 1 AS INTEGER) AS place, qs[i] AS question FROM q, range(1, 6) AS r(i) WHERE i <= len(qs)""")
+SELECT source, doc_id, sha256(before) AS before_sha256, CAST(unnest(range(0, len(qs))) AS INTEGER) AS place, unnest(qs) AS question FROM q""")
 def question_rows(spark, sf_dir):
-    plain = lambda c: F.regexp_replace(c, r"[.?!\n]", " ")
-    text = F.concat(plain(F.left("text", F.lit(40))), F.lit("? "), plain(F.substring("text", 60, 30)), F.lit(" why?"))
+    text = F.concat(F.regexp_replace("text", r"[!\n]", "? "), F.lit(" why?"))
     own = docs_of(spark, sf_dir).select("source", "doc_id", text.alias("text"), F.when(F.col("doc_id") % 3 == 0, "notes_and_questions").otherwise("x").alias("content_type"))
     return ingest.questions(own, "source", "doc_id").select("source", "doc_id", F.sha2("before", 256).alias("before_sha256"), "place", "question")
 
@@ -550,8 +549,9 @@ def warning_codes(spark, sf_dir):
 
 @query()
 def response_texts(spark, sf_dir):
-    """The texts of each source's response, forty documents each, within 20,000 bytes."""
-    own = docs_of(spark, sf_dir).select(F.col("source").alias("query_id"), "doc_id", "text").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("doc_id"))).where("rank <= 40")
+    """The texts of responses, each of the documents of a source among two hundred ids, within 20,000 bytes."""
+    bundle = F.concat_ws("-", "source", F.floor(F.col("doc_id") / 200).cast("string"))
+    own = docs_of(spark, sf_dir).select(bundle.alias("query_id"), "doc_id", "text").withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("doc_id")))
     return service.fit_responses(own, 20_000, 200).select("query_id", "rank", F.length("text").alias("n_chars"), "truncated")
 
 
@@ -669,10 +669,11 @@ def polygon_areas(spark, sf_dir):
 
 @query()
 def project_parts(spark, sf_dir):
-    """Each language's sources as chapters of a project, in at most three files."""
-    texts = docs_of(spark, sf_dir).where("doc_id % 10 = 0").groupBy("lang", "source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", F.left("text", F.lit(60)).alias("t")))), lambda x: x["t"]), "\n").alias("text"))
-    names = F.concat(F.lit("ch"), F.lpad(F.regexp_extract("source", r"(\d+)$", 1), 2, "0"), F.lit(".md"))
-    return exports.project_groups(texts.select(F.col("lang").alias("project"), names.alias("name"), "text"), 3).select("project", "part", "first", "last", F.sha2("text", 256).alias("sha256"))
+    """Projects of fifty documents of a language, each a chapter, in at most three files."""
+    docs, k = docs_of(spark, sf_dir), F.col("doc_id")
+    names = F.concat(F.lit("ch"), (k % 50).cast("string"), F.lit(".md"))
+    texts = docs.select(F.concat_ws("-", "lang", F.floor(k / 50).cast("string")).alias("lang"), names.alias("names"), "text")
+    return exports.project_groups(texts.select(F.col("lang").alias("project"), F.col("names").alias("name"), "text"), 3).select("project", "part", "first", "last", F.sha2("text", 256).alias("sha256"))
 
 
 @query("""
@@ -685,9 +686,9 @@ def book_markdown(spark, sf_dir):
     return exports.book_markdown(own.drop("text"), own.select("book", F.col("ord").alias("page"), "text")).select("book", F.sha2("text", 256).alias("sha256"))
 
 
-@query("SELECT trim(regexp_replace(left(text, 30), '\\s+', ' ', 'g')) || chr(9) || coalesce(lang, '') || chr(9) || source || ' ' || lang AS line FROM documents WHERE trim(regexp_replace(left(text, 30), '\\s+', ' ', 'g')) <> ''")
+@query("SELECT trim(regexp_replace(text, '\\s+', ' ', 'g')) || chr(9) || coalesce(lang, '') || chr(9) || source || ' ' || lang AS line FROM documents WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''")
 def flashcard_lines(spark, sf_dir):
-    return exports.flashcards(docs_of(spark, sf_dir).select(F.left("text", F.lit(30)).alias("front"), F.col("lang").alias("back"), F.array("source", "lang").alias("tags")))
+    return exports.flashcards(docs_of(spark, sf_dir).select(F.col("text").alias("front"), F.col("lang").alias("back"), F.array("source", "lang").alias("tags")))
 
 
 @query("""
@@ -718,7 +719,7 @@ def contents_levels(spark, sf_dir):
 def division_matches(spark, sf_dir):
     """The divisions that documents with a heading before them refer to."""
     title = F.element_at(F.array(*map(F.lit, TITLES)), (F.col("doc_id") % 8 + 1).cast("int"))
-    text = F.concat(title, F.lit("\n"), F.left("text", F.lit(200)))
+    text = F.concat(title, F.lit("\n"), F.col("text"))
     return docs_of(spark, sf_dir).select("doc_id", F.explode(divisions.found_divisions(text, divisions.CHAPTERS, "chunk_heading")).alias("d")).select("doc_id", "d.ordinal", "d.kind", "d.title")
 
 
@@ -751,7 +752,7 @@ def context_parents(spark, sf_dir):
 @query()
 def metadata_projections(spark, sf_dir):
     """Bounded metadata of every document, whole fields within a budget."""
-    metadata = F.to_json(F.struct("source", "lang", F.left("text", F.lit(900)).alias("context"), F.split(F.left("text", F.lit(300)), " ").alias("headings")))
+    metadata = F.to_json(F.struct("source", "lang", F.col("text").alias("context"), F.split("text", " ").alias("headings")))
     return docs_of(spark, sf_dir).select("doc_id", F.sha2(grounding.projected(metadata, ["source", "headings", "context", "lang"], 600), 256).alias("sha256"))
 
 

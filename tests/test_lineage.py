@@ -142,3 +142,31 @@ def test_records_take_the_headings_they_show(spark):
     found = {r.record: (r.bound, r.missing, r.direct, r.unbound, r.valid) for r in bound.collect()}
     assert found == {0: ([], [0], [], [], False), 1: ([2], [0], [2], [], False), 2: ([0, 2], [], [0], ["odd", "odd"], False)}
     assert [r.heading for r in lineage.unclaimed_headings(paths, bound, "doc", "ord").collect()] == [5]
+
+
+@pytest.mark.parametrize("most", [0, 4, 9])
+def test_leads_are_joined_over_ranges(spark, most):
+    rng = random.Random(most)
+    texts = [None, "", "one", "one two", "ends here.", "a b c d e f g h i j k l", " . ", "three more words "]
+    rows = [(rng.choice(["a", "a", "b", None]), i, rng.choice(texts)) for i in range(300)]
+    want = []
+    for group in ("a", "b", None):
+        held = None
+        for g, at, text in rows:
+            if g != group:
+                continue
+            n = len((text or "").split())
+            if held and not held[2].rstrip().endswith(".") and held[3] + n <= most:
+                held = [held[0], held[1] + 1, f"{held[2]} {text or ''}", held[3] + n]
+            else:
+                want += [(group, *held[:3])] if held else []
+                held = [at, 1, text or "", n]
+        want.append((group, *held[:3]))
+    found = ingest.joined_leads(spark.createDataFrame(rows, "g string, o int, text string"), "g", "o", most)
+    assert sorted(map(str, (tuple(r) for r in found.collect()))) == sorted(map(str, want))
+
+
+def test_questions_have_the_record_before(spark):
+    rows = [("a", 1, "x", "before?"), ("a", 2, "notes_and_questions", "Why so? no. And  how?"), ("b", 1, "notes_and_questions", "Is it? "), ("a", 3, "notes_and_questions", "Last?"), ("a", 0, "x", None)]
+    found = ingest.questions(spark.createDataFrame(rows, "g string, o int, content_type string, text string"), "g", "o").collect()
+    assert sorted(map(str, (tuple(r) for r in found))) == sorted(map(str, [("a", 2, "before?", 0, "Why so?"), ("a", 2, "before?", 1, "And how?"), ("a", 3, "Why so? no. And  how?", 0, "Last?"), ("b", 1, None, 0, "Is it?")]))
