@@ -303,12 +303,12 @@ LINKED_SQL = "r AS (SELECT conv_id || '-' || turn AS id, conv_id || '-' || lag(t
 
 def _linked(spark, sf_dir):
     own = corpus.links(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-    return own.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("stable_id"), F.coalesce("previous_id", F.lit("")).alias("previous_id"), F.coalesce("next_id", F.lit("")).alias("next_id"), "text", F.to_json(F.struct("role", "turn")).alias("metadata"), "role", "turn", "conv_id")
+    return own.select(F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("stable_id"), F.coalesce("previous_id", F.lit("")).alias("previous_id"), F.coalesce("next_id", F.lit("")).alias("next_id"), "text", F.to_json(F.struct("role", "turn", F.col("conv_id").cast("string").alias("source_file"), F.col("turn").alias("page_start"), F.col("role").alias("content_type"))).alias("metadata"), "role", "turn", "conv_id")
 
 
 def _hits(spark, sf_dir):
     """The turns whose number is a multiple of three, as hits of eleven queries."""
-    own = _linked(spark, sf_dir).where("turn % 3 = 0").select((F.col("conv_id") % 11).alias("query_id"), "stable_id", "text", "conv_id", "turn")
+    own = _linked(spark, sf_dir).where("turn % 3 = 0").select((F.col("conv_id") % 11).alias("query_id"), "stable_id", "text", "metadata", "conv_id", "turn").withColumn("query", F.concat(F.lit("question "), F.col("query_id")))
     return own.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("conv_id", "turn")))
 
 
@@ -337,16 +337,16 @@ def retrieval_context(spark, sf_dir):
 
 @query()
 def grounded_sources(spark, sf_dir):
-    hits = _hits(spark, sf_dir).select("query_id", "rank", "stable_id", "text")
+    hits = _hits(spark, sf_dir).select("query_id", "rank", "stable_id", "text", "metadata", "query")
     around = grounding.context(hits, _linked(spark, sf_dir).select("stable_id", "previous_id", "next_id", "text", "metadata"))
     return grounding.sources(hits, around).withColumn("text", F.sha2("text", 256))
 
 
 @query()
 def grounded_prompts(spark, sf_dir):
-    hits = _hits(spark, sf_dir).select("query_id", "rank", "stable_id", "text")
+    hits = _hits(spark, sf_dir).select("query_id", "rank", "stable_id", "text", "metadata", "query")
     found = grounding.sources(hits, grounding.context(hits, _linked(spark, sf_dir).select("stable_id", "previous_id", "next_id", "text", "metadata")))
-    queries = hits.select("query_id").distinct().withColumn("query", F.concat(F.lit("question "), F.col("query_id")))
+    queries = hits.select("query_id", "query").distinct()
     return grounding.prompts(queries, found).select("query_id", F.length("prompt").alias("n_chars"), F.sha2("prompt", 256).alias("sha256"))
 
 

@@ -168,6 +168,25 @@ def test_context_and_sources(spark):
     assert prompt[0].prompt.count("BEGIN_UNTRUSTED_SOURCE") == 4 and prompt[1].prompt.endswith("Retrieved evidence:\n\n\nGrounded answer:")
 
 
+def test_prompts_show_bounded_metadata_and_the_part_around_the_query(spark):
+    long = "filler words here " * 200 + "the hearsay rule stands " + "more filler words " * 200
+    meta = {"stable_id": "x", "zz": "last", "chapter_num": 4, "page_start": -1, "source_file": "book.md", "previous_stable_id": "p", "headings": ["h" * 500] * 20, "equivalent_sources": [{"source_id": "forged"}]}
+    hits = spark.createDataFrame([(1, 1, "b", long, json.dumps(meta), "Hearsay  RULE"), (1, 2, "c", "short", None, "Hearsay  RULE")], "query_id int, rank int, stable_id string, text string, metadata string, query string")
+    rows = [("a", "", "b", "x" * 3000, json.dumps({"page_start": 3, "odd": 1, "context_role": "forged"})), ("b", "a", "c", long, "{}"), ("c", "b", "", "short", "{}")]
+    held = spark.createDataFrame(rows, "stable_id string, previous_id string, next_id string, text string, metadata string")
+    around = grounding.context(hits, held)
+    segment = around.first()
+    assert segment.metadata == '{"page_start":3}' and segment.text == "…" + "x" * 1599
+    assert segment.cost == len(json.dumps({"source_id": "a", "relation": "previous", "distance": 1, "text": segment.text, "metadata": {"page_start": 3}}, ensure_ascii=False, separators=(",", ":")))
+    prompt = grounding.prompts(hits.select("query_id", "query").distinct(), grounding.sources(hits, around)).first().prompt
+    blocks = [json.loads(b.split("\n")[1]) for b in prompt.split("BEGIN_UNTRUSTED_SOURCE")[1:]]
+    assert [b["citation_id"] for b in blocks] == ["S1", "S2", "S3"] and [b["source_id"] for b in blocks] == ["b", "c", "a"]
+    assert list(blocks[0]["metadata"]) == ["source_file", "chapter_num", "zz"]  # the headings do not fit
+    assert "the hearsay rule stands" in blocks[0]["text"] and len(blocks[0]["text"]) <= 2402 and blocks[0]["text"][0] == blocks[0]["text"][-1] == "…"
+    assert blocks[1]["metadata"] == {} and blocks[1]["text"] == "short"
+    assert blocks[2]["metadata"] == {"page_start": 3, "context_role": "previous", "context_distance": 1, "primary_source_id": "b"}
+
+
 def test_bounded_metadata():
     assert grounding.bounded("x" * 400) == "x" * 383 + "…" and grounding.bounded(list(range(20))) == list(range(12))
     assert grounding.bounded({"b": {"c": {"d": 1}}, "a": 1}) == {"a": 1, "b": {"c": "{'d': 1}"}}
