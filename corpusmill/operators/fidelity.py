@@ -4,35 +4,87 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusmill.functions.udfs import source_words
 
+#: Odd multiplier of the window hashes.
+STEP = 0x9E3779B97F4A7C15
 
-def aligned(words: list[str], source: list[tuple[str, int, str]], covered: set[tuple[str, int]]) -> list[tuple[str, int]] | None:
-    """Where the words of a record stand in its source's (ref, place, word), or None.
 
-    Whole and together, if they do so at places that no record has taken (the first of such); if they do so only at places
-    taken in part, None; else one after another, passing over words of the source and places taken, but never adding or turning any.
-    """
-    if not words:
-        return []
-    n, first, together = len(words), words[0], []
-    for i, (_, _, w) in enumerate(source[: len(source) - n + 1] if n <= len(source) else []):
-        if w == first and all(source[i + k][2] == words[k] for k in range(1, n)):
-            places = [s[:2] for s in source[i : i + n]]
-            together.append((-sum(p not in covered for p in places), i, places))
-    if together:
-        taken, _, places = min(together)
-        return places if -taken == n else None
-    out, at = [], 0
-    for w in words:
-        while at < len(source) and (source[at][2] != w or source[at][:2] in covered):
-            at += 1
-        if at == len(source):
+class Words:
+    """The words of a document's items as numbers, with which places are taken and which are out of scope."""
+
+    def __init__(self, items: list[tuple[str, list[str], bool]]):
+        import numpy as np
+
+        self.vocabulary: dict[str, int] = {}
+        self.places: dict[str, slice] = {}
+        ids, outside = [], []
+        for ref, words, out_of_scope in items:
+            self.places[ref] = slice(len(ids), len(ids) + len(words))
+            ids += [self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words]
+            outside += [out_of_scope] * len(words)
+        self.ids = np.array(ids, np.int64)
+        self.covered = np.zeros(len(ids), bool)
+        self.outside = np.array(outside, bool)
+        # a number's code is spread over 64 bits, so that windows of unlike words have unlike hashes
+        self.codes = np.arange(1, len(self.vocabulary) + 1, dtype=np.uint64) * np.uint64(STEP)
+        self.codes ^= self.codes >> np.uint64(29)
+        self.codes *= np.uint64(0xBF58476D1CE4E5B9)
+
+    def aligned(self, words: list[str], refs: list[str]):
+        """Where the words of a record stand in the items it cites (places in all the document's words), or None.
+
+        Whole and together, if they do so at places that no record has taken (of the windows the one with the most such, the first among
+        equals); if they do so only at places taken in part, None; else one after another, passing over words of the source, places
+        taken and those out of scope, but never adding or turning any.  Windows are found by running hashes of the cited words, the
+        rest by an index of them: the work is in proportion to the words cited.
+        """
+        import numpy as np
+
+        known = list(map(self.vocabulary.get, words))
+        where = np.concatenate([np.zeros(0, np.int64), *[np.arange(self.places[r].start, self.places[r].stop) for r in refs]])
+        if not words or None in known or len(known) > len(where):
+            return None if words else where[:0]
+        own, source, n = np.array(known, np.int64), self.ids[where], len(known)
+        powers = np.full(len(source) + 1, STEP, np.uint64)
+        powers[0] = 1
+        powers = np.multiply.accumulate(powers)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(self.codes[source] * powers[:-1])])
+        asked = np.add.reduce(self.codes[own] * powers[:n])
+        starts = np.flatnonzero(sums[n:] - sums[:-n] == asked * powers[: len(source) - n + 1])
+        taken = np.concatenate([[0], np.cumsum(self.covered[where])])
+        together = False
+        for at in starts[np.argsort(taken[starts + n] - taken[starts], kind="stable")].tolist():
+            if np.array_equal(source[at : at + n], own):
+                together = True
+                if taken[at + n] == taken[at]:
+                    return where[at : at + n]
+                break
+        if together:
             return None
-        out.append(source[at][:2])
-        at += 1
-    return out
+        free = np.flatnonzero(~self.covered[where] & ~self.outside[where])
+        order = free[np.argsort(source[free], kind="stable")]
+        held = source[order]
+        lows, highs = np.searchsorted(held, own, "left"), np.searchsorted(held, own, "right")
+        out, cursor = [], 0
+        for low, high in zip(lows.tolist(), highs.tolist()):
+            k = low + int(np.searchsorted(order[low:high], cursor))
+            if k >= high:
+                return None
+            out.append(int(order[k]))
+            cursor = out[-1] + 1
+        return where[out]
+
+
+def aligned(words: list[str], source: list[tuple[str, int, str]], covered: set[tuple[str, int]]) -> list[tuple[str, int]] | None:
+    """``Words.aligned`` of one record with a source given as (ref, place, word)."""
+    held = Words([("", [w for _, _, w in source], False)])
+    for i, (ref, place, _) in enumerate(source):
+        held.covered[i] = (ref, place) in covered
+    found = held.aligned(words, [""])
+    return None if found is None else [source[i][:2] for i in found.tolist()]
 
 
 AUDIT = "doc {0}, kind string, key string, n_words long, covered long, issue string"
@@ -42,27 +94,48 @@ def audit(records: DataFrame, items: DataFrame) -> DataFrame:
     """doc, kind (record or item), key, n_words, covered and issue of records (doc, ord, text, refs) against items (doc, place, ref, text).
 
     Records take their words from the items they cite, in their order, each place once.  A record that cannot is
-    ``unattested_words``, one that cites none ``no_source``; an item is ``words_lost`` where records took not all of its words.  A
+    ``unattested_words``, one that cites none ``no_source``; an item is ``words_lost`` where records took not all of its words.
+    Items may have a ``container``: to cite a container, even one that is no item, is to cite all within it, however deep.  Items
+    may be ``out_of_scope`` (a page view that is left out): their words may be taken whole and together only, and none is lost.  A
     task takes one document.
     """
     kind = dict(records.dtypes)["doc"]
+    held = items.withColumns({c: F.lit(None).cast(t) for c, t in (("container", "string"), ("out_of_scope", "boolean")) if c not in items.columns})
 
     def run(key, mine, theirs):
-        theirs = theirs.sort_values("place")
-        words = {ref: source_words(t) for ref, t in theirs[["ref", "text"]].itertuples(index=False)}
-        order = {ref: i for i, ref in enumerate(theirs.ref)}
-        covered: set[tuple[str, int]] = set()
+        theirs = theirs.sort_values("place").drop_duplicates("ref", keep="last")
+        refs = theirs.ref.tolist()
+        order = {ref: i for i, ref in enumerate(refs)}
+        own_words = {ref: source_words(t) for ref, t in zip(refs, theirs.text)}
+        outside = {ref: bool(x) for ref, x in zip(refs, theirs.out_of_scope.fillna(False).astype(bool))}
+        source = Words([(r, own_words[r], outside[r]) for r in refs])
+        inside: dict[str, list[str]] = {}
+        for ref, box in zip(refs, theirs.container):
+            if isinstance(box, str):
+                inside.setdefault(box, []).append(ref)
+
+        def reached(cited) -> list[str]:
+            found, todo = set(), list(cited)
+            while todo:
+                r = todo.pop()
+                if r not in found:
+                    found.add(r)
+                    todo += inside.get(r, [])
+            return sorted((r for r in found if r in order), key=order.get)
+
         out = []
-        for ord_, text, refs in mine.sort_values("ord")[["ord", "text", "refs"]].itertuples(index=False):
+        for ord_, text, cited in mine.sort_values("ord")[["ord", "text", "refs"]].itertuples(index=False):
             own = source_words(text)
-            cited = sorted({r for r in ([] if refs is None else refs) if r in order}, key=order.get)
-            found = aligned(own, [(r, i, w) for r in cited for i, w in enumerate(words[r])], covered) if cited else None
-            covered.update(found or [])
+            cited = reached([] if cited is None else cited)
+            found = source.aligned(own, cited) if cited else None
+            if found is not None:
+                source.covered[found] = True
             issue = "no_source" if not cited and own else "unattested_words" if found is None and own else None
-            out.append((key[0], "record", str(ord_), len(own), len(found or []), issue))
-        for ref, own in words.items():
-            n = sum((ref, i) in covered for i in range(len(own)))
-            out.append((key[0], "item", ref, len(own), n, "words_lost" if n < len(own) else None))
+            out.append((key[0], "record", str(ord_), len(own), 0 if found is None else len(found), issue))
+        for ref in refs:
+            n, size = int(source.covered[source.places[ref]].sum()), len(own_words[ref])
+            out.append((key[0], "item", ref, size, n, "words_lost" if n < size and not outside[ref] else None))
         return pd.DataFrame(out, columns=["doc", "kind", "key", "n_words", "covered", "issue"])
 
-    return records.groupBy("doc").cogroup(items.groupBy("doc")).applyInPandas(run, AUDIT.format(kind))
+    own = held.select("doc", "place", "ref", "text", "container", "out_of_scope")
+    return records.groupBy("doc").cogroup(own.groupBy("doc")).applyInPandas(run, AUDIT.format(kind))
