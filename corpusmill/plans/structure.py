@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusmill.operators import corpus, families, lineage, records
+from corpusmill.operators import corpus, families, layout, lineage, records
 from corpusmill.plans.catalog import query
+from corpusmill.plans.fixtures import BOXES_SQL as FIXED_BOXES_SQL
 from corpusmill.plans.fixtures import CHILDREN_SQL, supplier_tables
+from corpusmill.plans.fixtures import _boxes as fixed_boxes
 from corpusmill.sources.tables import spread, table
 
 #: Every line of every document as an item: its number, level, and what it does to the headings in force.
@@ -221,3 +224,94 @@ def table_family_issues(spark, sf_dir):
     placed = corpus.numbered(shown, "g", ["part", "family", "child_index"]).withColumnRenamed("number", "ord").drop("g")
     found = families.family_audit(placed.drop("part", "family"))
     return found.join(placed.select("ord", F.col("family").alias("stable_id"), "child_index"), "ord").select("stable_id", "child_index", "issue")
+
+
+# --- page layout
+
+
+@query(f"""
+WITH {FIXED_BOXES_SQL}, e AS (
+  SELECT *, count(*) OVER (PARTITION BY page, line_id) AS lines, count(*) OVER (PARTITION BY page, region_id) AS boxes FROM (
+    SELECT r.page, region_id, line_id, (least(n.rr, r.rr) - greatest(n.l, r.l)) * (least(n.b, r.b) - greatest(n.t, r.t)) AS o, (n.rr - n.l) * (n.b - n.t) AS x, (r.rr - r.l) * (r.b - r.t) AS y
+    FROM r JOIN n ON r.page = n.page AND least(n.rr, r.rr) > greatest(n.l, r.l) AND least(n.b, r.b) > greatest(n.t, r.t)) WHERE o >= 0.5 * least(x, y)
+), s AS (
+  SELECT r.page, r.region_id, CASE WHEN max(boxes) IS NULL THEN 'no' WHEN max(boxes) > 1 THEN 'split' WHEN max(lines) > 1 THEN 'merge' WHEN min(o / (x + y - o)) < 0.5 THEN 'weak' ELSE 'one' END AS status, min(line_id) AS box
+  FROM r LEFT JOIN e USING (page, region_id) GROUP BY 1, 2
+), a AS (
+  SELECT page, count(*) AS reference_lines, count(*) FILTER (WHERE status = 'one') AS matched_lines, count(*) FILTER (WHERE status = 'no') AS no_overlap_lines,
+    count(*) FILTER (WHERE status = 'split') AS split_candidates, count(*) FILTER (WHERE status = 'weak') AS weak_pairs FROM s GROUP BY 1
+), i AS (
+  SELECT p.page, count(*) AS order_inversions FROM s p JOIN s q ON q.page = p.page AND q.region_id > p.region_id AND q.box < p.box WHERE p.status = 'one' AND q.status = 'one' GROUP BY 1
+), b AS (
+  SELECT n.page, count(*) AS observed_boxes, count(*) FILTER (WHERE k > 1) AS merge_candidates, count(*) FILTER (WHERE k IS NULL) AS unmatched_boxes
+  FROM n LEFT JOIN (SELECT page, line_id, count(*) AS k FROM e GROUP BY 1, 2) USING (page, line_id) GROUP BY 1
+), t AS (SELECT page, COLUMNS(* EXCLUDE page) FROM a FULL JOIN b USING (page))
+SELECT page, coalesce(reference_lines, 0) AS reference_lines, coalesce(matched_lines, 0) AS matched_lines, coalesce(no_overlap_lines, 0) AS no_overlap_lines, coalesce(split_candidates, 0) AS split_candidates,
+  coalesce(weak_pairs, 0) AS weak_pairs, coalesce(observed_boxes, 0) AS observed_boxes, coalesce(merge_candidates, 0) AS merge_candidates, coalesce(unmatched_boxes, 0) AS unmatched_boxes,
+  coalesce(order_inversions, 0) AS order_inversions, coalesce(matched_lines, 0) * (coalesce(matched_lines, 0) - 1) // 2 AS comparable_pairs,
+  round(matched_lines / nullif(reference_lines, 0), 6) AS line_recall, round(coalesce(matched_lines, 0) / nullif(observed_boxes, 0), 6) AS box_precision
+FROM t LEFT JOIN i USING (page)""")
+def stage_counts(spark, sf_dir):
+    """Regions of pages against the boxes found there."""
+    regions, found = fixed_boxes(spark, sf_dir)
+    lines = regions.withColumnRenamed("region_id", "line_id").withColumn("ord", F.col("line_id"))
+    out = layout.stage_counts(lines, found.withColumnRenamed("line_id", "box_id"))
+    return out.withColumns({c: F.round(c, 6) for c in ("line_recall", "box_precision")})
+
+
+@query()
+def inferred_columns(spark, sf_dir):
+    """Lines of documents as pages of two columns, some read across, some with a title, a wide line or a crooked one."""
+    i, n = _items(spark, sf_dir), F.col("n")
+    k, across = F.col("pos") % 24, F.col("doc_id") % 5 == 0
+    row, side = F.when(across, F.floor(k / 2)).otherwise(k % 12), F.when(across, k % 2).otherwise(F.floor(k / 12))
+    title = (k == 0) & (n % 4 == 0)
+    top = F.when(title, 0).otherwise(200 + row * 30)
+    left = side * 300 + 10
+    page = F.concat_ws("-", F.col("doc_id").cast("string"), F.floor(F.col("pos") / 24).cast("string"))
+    right = left + F.when(title, 500).when(n % 47 == 0, 380).otherwise(200 + n % 30)
+    lines = i.select(page.alias("page"), k.alias("line"), F.when(n % 211 != 0, left).alias("left"), top.alias("top"), right.alias("right"), (top + F.when(n % 53 == 0, 45).otherwise(20)).alias("bottom"))
+    pages = lines.select("page").distinct().select("page", F.lit(600).alias("width"), F.lit(800).alias("height"))
+    return layout.inferred_columns(lines, pages)
+
+
+CELLS_SQL = """
+x AS (SELECT l_orderkey, l_partkey, l_suppkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS k FROM lineitem),
+p AS (SELECT l_orderkey AS tab, k, k AS r, l_suppkey % 3 AS c, 1 + l_partkey % 2 AS rs, 1 + l_suppkey % 2 AS cs, l_returnflag AS t FROM x),
+q AS (SELECT l_orderkey AS tab, k, k AS r, l_suppkey % 3 AS c, 1 + l_partkey % 2 AS rs, 1 + CASE WHEN l_partkey % 7 = 0 THEN 1 ELSE l_suppkey % 2 END AS cs, CASE WHEN l_partkey % 5 = 0 THEN 'Z' ELSE l_returnflag END AS t FROM x WHERE l_partkey % 11 <> 0)"""
+
+
+def _cells(spark, sf_dir):
+    k = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    own = table(spark, sf_dir, "lineitem").withColumn("k", k)
+    span, part = 1 + F.col("l_suppkey") % 2, F.col("l_partkey")
+    common = [F.col("l_orderkey").alias("table"), F.col("k").alias("region_id"), F.col("k").alias("row"), (F.col("l_suppkey") % 3).alias("column"), (1 + part % 2).alias("row_span")]
+    reference = own.select(*common, span.alias("column_span"), F.col("l_returnflag").alias("text"))
+    predicted = own.where(part % 11 != 0).select(*common, F.when(part % 7 == 0, 2).otherwise(span).alias("column_span"), F.when(part % 5 == 0, "Z").otherwise(F.col("l_returnflag")).alias("text"))
+    return reference, predicted
+
+
+@query(f"""
+WITH {CELLS_SQL}, g AS (SELECT tab, k, rr, unnest(range(c, c + cs)) AS cc, t FROM (SELECT *, unnest(range(r, r + rs)) AS rr FROM p)),
+h AS (SELECT tab, k, rr, unnest(range(c, c + cs)) AS cc, t FROM (SELECT *, unnest(range(r, r + rs)) AS rr FROM q)),
+a AS (SELECT tab, rr, cc, min(t) AS a FROM g GROUP BY ALL), b AS (SELECT tab, rr, cc, min(t) AS b FROM h GROUP BY ALL)
+SELECT tab AS "table", count(a) AS reference_places, count(*) AS all_places, count(*) FILTER (WHERE a = b) AS agreeing, round(count(*) FILTER (WHERE a = b) / count(*), 6) AS agreement FROM a FULL JOIN b USING (tab, rr, cc) GROUP BY 1""")
+def grid_accuracy(spark, sf_dir):
+    return layout.grid_accuracy(*_cells(spark, sf_dir)).withColumn("agreement", F.round("agreement", 6))
+
+
+@query(f"""
+WITH {CELLS_SQL}, m AS (SELECT coalesce(p.tab, q.tab) AS tab, p.k AS pk, q.k AS qk, p.cs = q.cs AND p.rs = q.rs AND p.c = q.c AS same FROM p FULL JOIN q ON q.tab = p.tab AND q.k = p.k)
+SELECT CASE WHEN tab % 3 = 0 THEN 'calibration' ELSE 'held_out' END AS split, count(*) FILTER (WHERE pk = qk) AS matched_regions, count(*) FILTER (WHERE qk IS NULL) AS missing_regions, count(*) FILTER (WHERE pk IS NULL) AS extra_regions,
+  count(pk) AS reference_table_cells, count(*) FILTER (WHERE same) AS correct_table_cells, count(*) FILTER (WHERE pk = qk AND NOT same) AS wrong_table_cells, count(*) FILTER (WHERE qk IS NULL) AS missing_table_cells,
+  count(*) FILTER (WHERE pk IS NULL) AS extra_table_cells, round(count(*) FILTER (WHERE same) / count(pk), 6) AS table_cell_accuracy FROM m GROUP BY 1""")
+def cell_counts(spark, sf_dir):
+    def listed(cells, name):
+        cell = F.struct("region_id", "table", "row", "column", "row_span", "column_span")
+        return cells.groupBy("table").agg(F.array_sort(F.collect_list("region_id")).alias(name), F.collect_list(cell).alias(f"{name}_cells"))
+
+    reference, predicted = (listed(c, n) for c, n in zip(_cells(spark, sf_dir), ("reference", "prediction")))
+    both = reference.join(predicted, "table", "left")
+    empty = [F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c) for c in ("prediction", "prediction_cells")]
+    split = F.when(F.col("table") % 3 == 0, "calibration").otherwise("held_out")
+    return layout.cell_counts(both.select(F.col("table").alias("id"), split.alias("split"), "reference", "reference_cells", *empty)).withColumn("table_cell_accuracy", F.round("table_cell_accuracy", 6))
