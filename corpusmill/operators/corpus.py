@@ -337,6 +337,80 @@ def numbered(rows: DataFrame, group: str, order: list[str], sums: dict[str, Colu
     return both.select(*names, (F.col("__n") - 1 + zero(F.col("__a"))).alias("number"), *[(zero(F.col(f"__t_{k}")) + zero(F.col(f"__v_{k}"))).alias(k) for k in sums], *[F.coalesce(f"__b_{k}", f"__f_{k}").alias(k) for k in lasts])
 
 
+def ordered_digests(rows: DataFrame, group: str, order: list[str], text: Column, separator: str = "", start: str = "", end: str = "", piece: int = 1 << 20) -> DataFrame:
+    """group, root and n: SHA-256 of ``start``, the texts of a group's rows in order with ``separator`` between, and ``end``.
+
+    One digest over a sequence is one stream, but neither the sequence nor its rows are ever one value: ranges of group and order
+    join their texts to pieces of about ``piece`` characters, and a group's pieces are hashed as they come, one after another.
+    A null text counts as empty.  A group without rows has no root.
+    """
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    told = rows.select(F.col(group).alias("g"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.coalesce(text, F.lit("")).alias("t"))
+    keys = ["g", *[f"o{i}" for i in range(len(order))]]
+    ranged = told.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).select("g", "t", F.spark_partition_id().alias("part"))
+    kind = dict(told.dtypes)["g"]
+
+    def joined(batches):
+        import pyarrow as pa
+
+        group_type, held, key, at = None, [], None, 0
+
+        def batch():
+            made = pa.RecordBatch.from_arrays([pa.array([key], group_type), pa.array([number], pa.int32()), pa.array([at], pa.int64()), pa.array([separator.join(held)]), pa.array([len(held)], pa.int64())], names=["g", "part", "at", "t", "n"])
+            held.clear()
+            return made
+
+        size = 0
+        for rows_ in batches:
+            group_type = rows_.schema.field(0).type
+            for g, t, number_ in zip(*(c.to_pylist() for c in rows_.columns)):
+                if held and (g != key or size > piece):
+                    yield batch()
+                    at, size = at + 1, 0
+                key, number = g, number_
+                held.append(t)
+                size += len(t)
+        if held:
+            yield batch()
+
+    def hashed(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        group_type, key, state, n, out = None, None, None, 0, []
+
+        def flushed():
+            columns = list(zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], group_type), pa.array(columns[1]), pa.array(columns[2], pa.int64())], names=["g", "root", "n"])
+
+        def closed():
+            state.update(end.encode())
+            out.append((key, state.hexdigest(), n))
+
+        for rows_ in batches:
+            group_type = rows_.schema.field(0).type
+            for g, t, count in zip(*(c.to_pylist() for c in rows_.columns)):
+                if state is not None and g == key:
+                    state.update((separator + t).encode())
+                else:
+                    if state is not None:
+                        closed()
+                    key, state, n = g, hashlib.sha256((start + t).encode()), 0
+                n += count
+            if len(out) > 4096:
+                yield flushed()
+        if state is not None:
+            closed()
+        if out:
+            yield flushed()
+
+    pieces = ranged.mapInArrow(joined, f"g {kind}, part int, at long, t string, n long")
+    dealt = pieces.repartition(parts, "g").sortWithinPartitions("g", "part", "at").select("g", "t", "n")
+    return dealt.mapInArrow(hashed, f"g {kind}, root string, n long").withColumnRenamed("g", group)
+
+
 def exact_percentiles(rows: DataFrame, group: str, value: str, quantiles: list[float]) -> DataFrame:
     """group, n and for the i-th quantile l{i} (between the two nearest values), w{i} (nearest rank by whole percents) and r{i} (nearest rank)."""
     placed = numbered(rows.where(F.col(value).isNotNull()).select(group, F.col(value).alias("__v")), group, ["__v"])

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.functions.udfs import source_words
+from corpusmill.functions.udfs import attestation, source_words
+from corpusmill.operators.corpus import numbered, ordered_digests
+
+#: Version of attestations, and what is done to items whose words are not kept one by one; fixed values.
+ATTESTATION_VERSION = 7
+OPAQUE = ["table", "figure", "native_repair", "container_alias"]
 
 #: Odd multiplier of the window hashes.
 STEP = 0x9E3779B97F4A7C15
@@ -139,3 +144,35 @@ def audit(records: DataFrame, items: DataFrame) -> DataFrame:
 
     own = held.select("doc", "place", "ref", "text", "container", "out_of_scope")
     return records.groupBy("doc").cogroup(own.groupBy("doc")).applyInPandas(run, AUDIT.format(kind))
+
+
+def attested(text: Column, items: Column) -> Column:
+    """The attestation of a record as canonical JSON: digests of its text and words, and, if an item was put in opaquely, what it cites.
+
+    ``items``: array of (ref, transform), null for none.
+    """
+    own = attestation(F.coalesce(text, F.lit("")))
+    some = F.coalesce(F.exists(items, lambda i: F.coalesce(i["transform"].isin(OPAQUE), F.lit(False))), F.lit(False))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    refs = F.to_json(F.filter(F.transform(items, lambda i: i["ref"]), lambda r: r.isNotNull()))
+    fields = {
+        "opaque_output_sha256": F.when(some, quoted(own["output_lexical_sha256"])).otherwise("null"),
+        "opaque_source_refs": F.when(some, refs).otherwise("[]"),
+        "output_lexical_count": own["output_lexical_count"].cast("string"),
+        "output_lexical_sha256": quoted(own["output_lexical_sha256"]),
+        "output_text_sha256": quoted(own["output_text_sha256"]),
+        "schema_version": F.lit(str(ATTESTATION_VERSION)),
+    }
+    return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{k}":'), v) for k, v in fields.items()]), F.lit("}"))
+
+
+def attestation_roots(records: DataFrame, group: str, order: str) -> DataFrame:
+    """group, root and n of the records (text, items, retrieval_role) in order: one digest of the canonical JSON list of their attestations.
+
+    Each stands with its place among all records of the group; table children have a place but no attestation.  No list is built: the
+    digest runs over the records as a stream (``ordered_digests``).
+    """
+    placed = numbered(records.select(group, order, "text", "items", "retrieval_role"), group, [order])
+    own = placed.where(F.coalesce(F.col("retrieval_role"), F.lit("")) != "table_child").select(group, "number", attested(F.col("text"), F.col("items")).alias("a"))
+    entry = F.concat(F.lit('{"attestation":'), F.col("a"), F.lit(',"record_index":'), F.col("number").cast("string"), F.lit("}"))
+    return ordered_digests(own, group, ["number"], entry, ",", "[", "]")

@@ -506,8 +506,8 @@ def stable_id_recovery(spark, sf_dir):
 
 @query("SELECT source, sha256(string_agg(doc_id::VARCHAR, chr(10) ORDER BY doc_id::VARCHAR)) AS root, count(*) AS n FROM documents GROUP BY 1")
 def digest_roots(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").groupBy("source").agg(F.sort_array(F.collect_list(F.col("doc_id").cast("string"))).alias("ids"))
-    return own.select("source", F.sha2(F.array_join("ids", "\n"), 256).alias("root"), F.size("ids").cast("long").alias("n"))
+    own = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("id"))
+    return corpus.ordered_digests(own, "source", ["id"], F.col("id"), "\n")
 
 
 @query("""

@@ -733,6 +733,15 @@ def fidelity_audit(spark, sf_dir):
     return fidelity.audit(records, items)
 
 
+@query()
+def attestation_roots(spark, sf_dir):
+    """One digest a source of the attestations of its documents, in order."""
+    k = F.col("doc_id")
+    item = F.struct(F.concat(F.lit("#/texts/"), k.cast("string")).alias("ref"), F.when(k % 4 == 0, F.lit(fidelity.OPAQUE[0])).alias("transform"))
+    own = docs_of(spark, sf_dir).select("source", "doc_id", "text", F.when(k % 3 != 0, F.array(item)).alias("items"), F.when(k % 5 == 0, "table_child").alias("retrieval_role"))
+    return fidelity.attestation_roots(own, "source", "doc_id")
+
+
 @query()
 def markdown_issues(spark, sf_dir):
     """What is wrong with documents that tables, fences and footnotes are set before."""

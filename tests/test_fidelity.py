@@ -1,9 +1,14 @@
 """The alignment of records with their source against a scan of every place."""
 
+import hashlib
+import json
 import random
 import time
 
-from corpusmill.operators import fidelity
+from pyspark.sql import functions as F
+
+from corpusmill.functions.udfs import source_words
+from corpusmill.operators import corpus, fidelity
 
 
 def scanned(words, source, covered, outside):
@@ -64,3 +69,35 @@ def test_containers_and_items_out_of_scope(spark):
     assert found["record", "3"] == (2, 0, "unattested_words")  # a window with a taken word does not count, nor does a part of a view
     assert found["record", "4"] == (1, 0, "no_source") and found["record", "5"] == (1, 1, None) and found["record", "6"] == (0, 0, None)
     assert {k: v for (kind, k), v in found.items() if kind == "item"} == {"a": (2, 2, None), "b": (2, 2, None), "inner": (0, 0, None), "view": (2, 2, None), "c": (1, 1, None)}
+
+
+def test_attestation_roots_are_those_of_one_json_list(spark):
+    rng = random.Random(2)
+    rows = []
+    for i in range(120):
+        items = rng.choice([None, [], [("#/a", None)], [("#/a", fidelity.OPAQUE[0]), ("#/b", None), (None, None)]])
+        rows.append((rng.choice(["x", "x", "y", None]), i, rng.choice([None, "", "Two wörds", 'quote " and \\ \n line']), items, rng.choice([None, "table_parent", "table_child"])))
+    records = spark.createDataFrame(rows, "g string, o int, text string, items array<struct<ref:string,transform:string>>, retrieval_role string")
+    want = {}
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for g in ("x", "y", None):
+        found = []
+        for place, (_, _, text, items, role) in enumerate(r for r in rows if r[0] == g):
+            words = source_words(text)
+            lexical = sha("\0".join(words))
+            opaque = any(t in fidelity.OPAQUE for _, t in items or [])
+            own = {"schema_version": fidelity.ATTESTATION_VERSION, "output_text_sha256": sha(text or ""), "output_lexical_sha256": lexical, "output_lexical_count": len(words), "opaque_output_sha256": lexical if opaque else None, "opaque_source_refs": [r for r, _ in items or [] if r] if opaque else []}
+            if role != "table_child":
+                found.append({"record_index": place, "attestation": own})
+        want[g] = (sha(json.dumps(found, ensure_ascii=False, sort_keys=True, separators=(",", ":"))), len(found))
+    assert {r.g: (r.root, r.n) for r in fidelity.attestation_roots(records, "g", "o").collect()} == want
+
+
+def test_ordered_digests_in_small_pieces(spark):
+    rows = [("abc"[i % 2] if i % 7 else None, i, None if i % 11 == 0 else f"té{i}") for i in range(500)]
+    frame = spark.createDataFrame(rows, "g string, o int, t string")
+    for piece in (1, 50, 1 << 20):
+        found = {r.g: (r.root, r.n) for r in corpus.ordered_digests(frame, "g", ["o"], F.col("t"), ", ", "<", ">", piece).collect()}
+        own = {g: [t or "" for k, _, t in rows if k == g] for g in ("a", "b", None)}
+        assert found == {g: (hashlib.sha256(f"<{', '.join(t)}>".encode()).hexdigest(), len(t)) for g, t in own.items()}
+    assert corpus.ordered_digests(frame.limit(0), "g", ["o"], F.col("t")).count() == 0
