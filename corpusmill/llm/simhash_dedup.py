@@ -296,18 +296,27 @@ def near_prints(docs: DataFrame, radius: int = 2, keep: tuple[str, ...] = ("doc_
     return prints, roots.withColumnRenamed("node", "fp")
 
 
+#: A fingerprint of more rows than this, and than a thousandth of all, gets its name by a broadcast of a thousand names at most.
+CROWD = 10_000
+
+
 def near_duplicates(docs: DataFrame, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of ``docs``.
 
-    Components are named over distinct fingerprints, so that no task gathers the rows of one component.
+    Components are named over distinct fingerprints, so that no task gathers the rows of one component; nor are the rows of one
+    crowded fingerprint, such as that of all empty texts, brought together to be named.
     """
     prints, roots = near_prints(docs.select("doc_id", "text"), radius)
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = cut(least)
     names = least.groupBy("root").agg(F.min("least").alias("component_id"))
     # a component is named after its root, which may be any of many fingerprints
-    named = least.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = cut(least.select("fp", "root", "n").join(names, "root").select("fp", "component_id", "n"))
+    crowd = max(CROWD, (named.agg(F.sum("n")).first()[0] or 0) // 1000)
+    hot = F.broadcast(named.where(F.col("n") > crowd).drop("n"))
+    rest = prints.join(hot, "fp", "left_anti").join(named.where(F.col("n") <= crowd).drop("n"), "fp")
+    both = prints.join(hot, "fp").unionByName(rest)
+    return both.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def hashable(docs: DataFrame) -> DataFrame:

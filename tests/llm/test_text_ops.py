@@ -187,6 +187,11 @@ def test_simhash(spark, sf_dir):
     every = docs.union(edge)
     got = sorted((tuple(r) for r in simhash_dedup.near_duplicates(every).collect()), key=str)
     assert got == brute_components([(r.doc_id, brute_simhash(r.text)) for r in every.collect()])
+    crowd, simhash_dedup.CROWD = simhash_dedup.CROWD, 1  # every fingerprint of two rows counts as crowded
+    try:
+        assert sorted((tuple(r) for r in simhash_dedup.near_duplicates(every).collect()), key=str) == got
+    finally:
+        simhash_dedup.CROWD = crowd
     assert simhash_dedup.near_duplicates(docs.limit(0)).count() == 0
     kept = simhash_dedup.deduplicated(every).collect()
     assert len(kept) == len({c if c is not None else f for _, f, c in got})
