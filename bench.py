@@ -6,10 +6,10 @@ import json
 import os
 import time
 
-from corpusmill.plans import catalog, rules  # noqa: F401  rules registers its queries
+from corpusmill.plans import catalog, rules, structure  # noqa: F401  rules and structure register their queries
 from corpusmill.session import session
 
-HEADLINE = ["bm25_offline_topk", "bm25_okapi_topk", "rrf_fusion", "ndcg_map_mrr", "vector_topk_cosine", "exact_dup_groups", "content_type_classify", "token_hash_vector", "contamination_join", "snapshot_diff", "session_windows", "family_collapse", "quality_checks", "near_dup_kept", "quality_report"]
+HEADLINE = ["bm25_offline_topk", "bm25_okapi_topk", "rrf_fusion", "ndcg_map_mrr", "vector_topk_cosine", "exact_dup_groups", "content_type_classify", "token_hash_vector", "contamination_join", "snapshot_diff", "session_windows", "family_collapse", "quality_checks", "near_dup_kept", "quality_report", "heading_paths"]
 
 
 def main() -> None:
