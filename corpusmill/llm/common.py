@@ -91,7 +91,7 @@ def forget_memos() -> None:
     import pyarrow as pa
 
     for memo in list(_memos):
-        memo.young, memo.old = {}, {}
+        memo.young, memo.old, memo.held = {}, {}, 0
     for models in _models:
         models.clear()
     pa.default_memory_pool().release_unused()
@@ -102,13 +102,17 @@ def forget_memos() -> None:
 
 
 class ChunkMemo:
-    """A memo of chunk -> encoded bytes, bounded by two generations of ``size`` entries.
+    """A memo of chunk -> encoded bytes, bounded by two generations of ``size`` entries and ``most`` bytes.
 
-    ``solve`` gets a list of unknown chunks and returns their encodings in order.
+    ``solve`` gets a list of unknown chunks and returns their encodings in order.  Chunks over ``LONGEST`` bytes are rarely seen
+    twice and are not remembered, so neither are the long runs of texts without white space.
     """
 
-    def __init__(self, solve, size: int = 250_000):
-        self.solve, self.size = solve, size
+    #: Bytes of the longest chunk that is remembered, and what an entry takes besides its bytes.
+    LONGEST, ENTRY = 256, 200
+
+    def __init__(self, solve, size: int = 250_000, most: int = 96_000_000):
+        self.solve, self.size, self.most, self.held = solve, size, most, 0
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
         _memos.add(self)
@@ -117,16 +121,15 @@ class ChunkMemo:
         found = list(map(self.young.get, chunks))
         if None in found:
             missing = list({c for c, v in zip(chunks, found) if v is None})
-            fresh = []
-            for c in missing:
-                v = self.old.get(c)
-                if v is None:
-                    fresh.append(c)
-                else:
-                    self.young[c] = v
+            own = {c: v for c in missing if (v := self.old.get(c)) is not None}
+            fresh = [c for c in missing if c not in own]
             if fresh:
-                self.young.update(zip(fresh, self.solve(fresh)))
-            found = [self.young[c] if v is None else v for c, v in zip(chunks, found)]
-            if len(self.young) > self.size:
-                self.old, self.young = self.young, {}
+                own.update(zip(fresh, self.solve(fresh)))
+            found = [own[c] if v is None else v for c, v in zip(chunks, found)]
+            for c, v in own.items():
+                if len(c) <= self.LONGEST:
+                    self.young[c] = v
+                    self.held += len(c) + len(v) + self.ENTRY
+            if len(self.young) > self.size or self.held > self.most:
+                self.old, self.young, self.held = self.young, {}, 0
         return b"".join(found)

@@ -35,6 +35,8 @@ MAGIC = b"BPT1"
 #: The starts of up to this many segments (16 bytes each) are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_SEGMENTS = 500_000
 HEAD = struct.Struct("<4sB3xII")
+#: Bytes of a text that is held against the library, at most.
+CHECKED = 4096
 LETTERS = re.compile("[a-zß-öø-ÿ]+").fullmatch
 BYTE_LEVEL = {b: 0x122 + b - 0x80 for b in range(0x80, 0xA1)} | {0xAD: 0x143}
 
@@ -188,6 +190,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, shard
     end = end_id.to_bytes(4, "little")
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
         from pyspark import TaskContext
@@ -204,9 +207,10 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, *, end_id: int = 1, shard
             )
 
         for batch in portions(batches, 1):
-            shortest = pc.index(sizes := pc.binary_length(batch.column(1)), pc.min(sizes)).as_py()
-            if shortest >= 0:  # one text of each portion is held against the library
-                encoder.check(batch.column(1)[shortest].as_py())
+            # one text of each portion is held against the library: the longest of up to CHECKED bytes, else the shortest
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            near = np.where(sizes <= CHECKED, sizes, -1)
+            encoder.check(batch.column(1)[int(near.argmax() if near.max() > 0 else sizes.argmin())].as_py() or "")
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 code = encode(text.as_py() or "") + end
                 ids.append(doc_id)

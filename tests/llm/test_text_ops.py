@@ -218,3 +218,15 @@ def test_forest_over_many_shards(spark):
     for f in signed:
         mine.setdefault(roots.get(f, f), set()).add(f)
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, mine.values()))
+
+
+def test_memos_are_bounded_by_bytes():
+    from corpusmill.llm.common import ChunkMemo
+
+    memo = ChunkMemo(lambda own: [c[::-1] * 2 for c in own], size=1000, most=60_000)
+    rng = random.Random(1)
+    for _ in range(400):
+        chunks = [bytes([97 + rng.randrange(3)]) * rng.choice([1, 2, 100, 5000]) + str(rng.randrange(60)).encode() for _ in range(20)]
+        assert memo.encode(chunks) == b"".join(c[::-1] * 2 for c in chunks)
+        held = [sum(len(k) + len(v) for k, v in d.items()) for d in (memo.young, memo.old)]
+        assert max(held) < 60_000 + 20 * 800 and all(len(k) <= 256 for d in (memo.young, memo.old) for k in d)
