@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import udfs
 from corpusmill.operators.corpus import numbered
+from corpusmill.operators.evaluation import family_members
 from corpusmill.operators.records import LEAST_ROWS, MOST_CHILDREN, MOST_OF_ALL
 from corpusmill.session import cut
 
@@ -209,3 +211,21 @@ def family_counts(records: DataFrame) -> DataFrame:
     tabular = (F.col("content_type") == "table") & (F.col("content_source") == "table")
     n = lambda c: F.count(F.when(c, 1))
     return records.agg(n((role.isNull() & tabular) | (role == PARENT)).alias("parent_tables"), n(role == PARENT).alias("expanded_parents"), n(role == CHILD).alias("child_chunks"))
+
+
+def attested_families(records: DataFrame, corpus_sha256: str, id_scheme: str) -> DataFrame:
+    """parent_id and members of the families of one corpus, with the corpus they are bound to: corpus_sha256, record_count and id_scheme.
+
+    Judgments of table families are only to be held against these (``evaluation.family_issues``).  A corpus that breaks any rule of table
+    families has no attestation: the rules that it breaks are named in the error.
+    """
+    if not re.fullmatch("[0-9a-f]{64}", corpus_sha256 or ""):
+        raise ValueError("the digest of a corpus is 64 lower-case hex digits")
+    if not (id_scheme or "").strip():
+        raise ValueError("an id scheme has a name")
+    broken = [r.issue for r in family_audit(records).select("issue").distinct().orderBy("issue").collect()]
+    if broken:
+        raise ValueError("the corpus breaks rules of table families: " + ", ".join(broken))
+    members = family_members(records.withColumnRenamed("parent_id", "table_parent_stable_id"))
+    counted = records.agg(F.count("*").alias("record_count"))
+    return members.join(F.broadcast(counted), F.lit(True)).select("parent_id", "members", F.lit(corpus_sha256).alias("corpus_sha256"), "record_count", F.lit(id_scheme.strip()).alias("id_scheme"))

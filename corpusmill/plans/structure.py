@@ -209,9 +209,29 @@ WITH {CHILDREN_SQL}, k AS (
 SELECT * FROM i WHERE issue IS NOT NULL""")
 def table_family_issues(spark, sf_dir):
     """Tables of suppliers by nation with their row children: some torn, some recounted, some missing, some without parents."""
+    placed = _families(spark, sf_dir, broken=True)
+    found = families.family_audit(placed.drop("part", "family"))
+    return found.join(placed.select("ord", F.col("family").alias("stable_id"), "child_index"), "ord").select("stable_id", "child_index", "issue")
+
+
+@query(f"""
+WITH {CHILDREN_SQL}, k AS (SELECT * FROM c WHERE total >= 4), n AS (SELECT count(*) + count(DISTINCT stable_id) AS n FROM k)
+SELECT stable_id AS parent_id, list_sort(list_append(list(stable_id || '#' || child_index), stable_id)) AS members, repeat('0f', 32) AS corpus_sha256, any_value(n) AS record_count, 'suppliers-v1' AS id_scheme
+FROM k, n GROUP BY 1""")
+def attested_families(spark, sf_dir):
+    """The sound families of the same tables, bound to their corpus."""
+    return families.attested_families(_families(spark, sf_dir, broken=False).drop("part", "family"), "0f" * 32, "suppliers-v1")
+
+
+def _families(spark, sf_dir, broken):
     made = records.with_table_children(supplier_tables(spark, sf_dir)).where("retrieval_role is not null")
     k, i, child = F.regexp_extract("table_parent_stable_id", r"^(\d+)-", 1).cast("int"), F.col("child_index"), F.col("part") == 1
-    own = made.withColumns({"k": k, "one": F.lit(1), "cols": F.lit(2)}).where(~((k % 4 == 1) & ~child) & ~(F.coalesce(i == 2, F.lit(False)) & (k % 7 == 3)))
+    own = made.withColumns({"k": k, "one": F.lit(1), "cols": F.lit(2)})
+    if broken:
+        own = own.where(~((k % 4 == 1) & ~child) & ~(F.coalesce(i == 2, F.lit(False)) & (k % 7 == 3)))
+    else:
+        k = k * 60 + 1  # no rule of those below holds
+        own = own.withColumn("stable_id", F.coalesce("stable_id", F.concat_ws("#", "table_parent_stable_id", "child_index")))
     shown = own.select(
         "part", F.col("table_parent_stable_id").alias("family"), "child_index", "stable_id", "retrieval_role", F.lit("table").alias("content_type"),
         F.lit("table").alias("content_source"), F.col("one").alias("schema_version"), F.col("table_parent_stable_id").alias("parent_id"),
@@ -221,9 +241,7 @@ def table_family_issues(spark, sf_dir):
         F.coalesce("source_fragments", "one").cast("int").alias("source_fragments"), F.lit(0).alias("g"),
         F.array(F.struct(F.col("k").cast("string").alias("ref"), F.lit("table").alias("label"))).alias("refs"),
     )
-    placed = corpus.numbered(shown, "g", ["part", "family", "child_index"]).withColumnRenamed("number", "ord").drop("g")
-    found = families.family_audit(placed.drop("part", "family"))
-    return found.join(placed.select("ord", F.col("family").alias("stable_id"), "child_index"), "ord").select("stable_id", "child_index", "issue")
+    return corpus.numbered(shown, "g", ["part", "family", "child_index"]).withColumnRenamed("number", "ord").drop("g")
 
 
 # --- page layout

@@ -30,14 +30,19 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution, UTC and, in local mode, few shuffle partitions."""
-    builder = SparkSession.builder.appName("corpusmill").config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false")
+    """A session with adaptive execution, UTC and, in local mode, few shuffle partitions; checkpoints go when their frames do."""
+    own = {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.session.timeZone": "UTC",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        "spark.ui.enabled": "false",
+    }
     if master:
-        builder = builder.master(master)
+        own["spark.master"] = master
     if master and master.startswith("local"):
-        builder = builder.config("spark.driver.memory", os.environ.get("CORPUSMILL_DRIVER_MEMORY", "8g"))
+        own["spark.driver.memory"] = os.environ.get("CORPUSMILL_DRIVER_MEMORY", "8g")
     if shuffle_partitions:
-        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for key, value in conf.items():
-        builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+        own["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    own |= {key.replace("__", "."): value for key, value in conf.items()}
+    return SparkSession.builder.appName("corpusmill").config(map=own).getOrCreate()

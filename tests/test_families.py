@@ -198,3 +198,15 @@ def test_broken_families(spark, seed):
     sizes = {"t1": (5, 2), "t2": (99, 9)}
     dimensions = spark.createDataFrame([(k, *v) for k, v in sizes.items()], "ref string, rows int, cols int")
     assert audited(spark, rows, of_all=60, dimensions=dimensions) == walked(rows, cap=60, dimensions=sizes)
+
+
+def test_only_sound_families_are_attested(spark):
+    rows = [r | {"stable_id": r["stable_id"] or f"child-{r['ord']}"} for r in sound([("t1", [5]), ("t3", [2])])]
+    found = families.attested_families(frame(spark, rows), "a" * 64, " ids ").collect()
+    assert [(r.parent_id, r.members, r.corpus_sha256, r.record_count, r.id_scheme) for r in found] == [("t1-0", [*(f"child-{i}" for i in range(3, 8)), "t1-0"], "a" * 64, 8, "ids")]
+    broken = [r | {"child_count": 9} if r["ord"] == 4 else r for r in rows]
+    with pytest.raises(ValueError, match="child_count_mismatch"):
+        families.attested_families(frame(spark, broken), "a" * 64, "ids")
+    for digest, scheme in (("A" * 64, "ids"), ("a" * 64, " "), (None, "ids")):
+        with pytest.raises(ValueError):
+            families.attested_families(frame(spark, rows), digest, scheme)
