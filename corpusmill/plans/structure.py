@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusmill.operators import corpus, families, layout, lineage, records
-from corpusmill.plans.catalog import query
+from corpusmill.operators import corpus, families, ingest, layout, lineage, records
+from corpusmill.plans.catalog import QUERIES, SQL, query
 from corpusmill.plans.fixtures import BOXES_SQL as FIXED_BOXES_SQL
 from corpusmill.plans.fixtures import CHILDREN_SQL, supplier_tables
 from corpusmill.plans.fixtures import _boxes as fixed_boxes
@@ -333,3 +333,31 @@ def cell_counts(spark, sf_dir):
     empty = [F.coalesce(c, F.array().cast(both.schema[c].dataType)).alias(c) for c in ("prediction", "prediction_cells")]
     split = F.when(F.col("table") % 3 == 0, "calibration").otherwise("held_out")
     return layout.cell_counts(both.select(F.col("table").alias("id"), split.alias("split"), "reference", "reference_cells", *empty)).withColumn("table_cell_accuracy", F.round("table_cell_accuracy", 6))
+
+
+# --- inspection
+
+
+@query(f"""
+WITH t AS (SELECT content_type, count(*) AS n FROM ({SQL['content_type_classify']}) GROUP BY 1)
+SELECT content_type, n, round(100.0 * n / sum(n) OVER (), 6) AS percent FROM t""")
+def content_type_distribution(spark, sf_dir):
+    """How many of the texts are of each kind, and their share in percent."""
+    counts = QUERIES["content_type_classify"](spark, sf_dir).groupBy("content_type").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("every"))
+    return counts.join(F.broadcast(total), F.lit(True)).select("content_type", "n", F.round(100.0 * F.col("n") / F.col("every"), 6).alias("percent"))
+
+
+@query("""
+WITH c AS (SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'Appendix ' || lang WHEN doc_id % 7 <> 0 THEN (n_chars % 12)::VARCHAR END AS chapter, CASE WHEN doc_id % 4 <> 0 THEN source END AS title FROM documents)
+SELECT chapter, count(*) AS n, min(doc_id) AS first_id, arg_min(title, doc_id) FILTER (WHERE title IS NOT NULL) AS title,
+  row_number() OVER (ORDER BY TRY_CAST(chapter AS DOUBLE) IS NULL, TRY_CAST(chapter AS DOUBLE), chapter) AS place FROM c WHERE chapter IS NOT NULL GROUP BY 1""")
+def chapter_histogram(spark, sf_dir):
+    """Records by chapter, numbers before other names, with the first title that stands there."""
+    k = F.col("doc_id")
+    chapter = F.when(k % 9 == 0, F.concat(F.lit("Appendix "), "lang")).when(k % 7 != 0, (F.col("n_chars") % 12).cast("string"))
+    own = table(spark, sf_dir, "documents").select("doc_id", chapter.alias("chapter"), F.when(k % 4 != 0, F.col("source")).alias("title")).where("chapter is not null")
+    title = F.min_by("title", F.when(F.col("title").isNotNull(), F.col("doc_id")))
+    counts = own.groupBy("chapter").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), title.alias("title"))
+    placed = corpus.numbered(counts.withColumns({"g": F.lit(0), "key": ingest.chapter_key(F.col("chapter"))}), "g", ["key"])
+    return placed.select("chapter", "n", "first_id", "title", (F.col("number") + 1).alias("place"))
