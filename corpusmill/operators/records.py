@@ -14,31 +14,36 @@ from corpusmill.session import cut
 LEAST_ROWS, MOST_CHILDREN, MOST_OF_ALL = 4, 128, 10_000
 
 
-def table_children(records: DataFrame) -> DataFrame:
+def table_children(records: DataFrame, of_parent: int | None = MOST_CHILDREN, of_all: int | None = MOST_OF_ALL) -> DataFrame:
     """One child record a data row of every source table with at least four rows over its fragments.
 
     ``records``: source_key, stable_id, text, is_child.  A child's text is the preamble, header, separator and
-    its row.  A table beyond the children limit, or a child given as input, is an error.
+    its row.  More children than ``of_parent`` of a table or ``of_all`` of a corpus (None: as many as there are), or a child
+    given as input, are an error.
     """
     parsed = records.withColumn("t", udfs.markdown_table("text")).where("t.header is not null")
-    guarded = parsed.withColumn("__ok", F.when(F.col("is_child"), F.raise_error(F.lit("children are expanded already"))).otherwise(F.when(F.size("t.rows") > MOST_CHILDREN, F.raise_error(F.lit("too many rows"))).otherwise(True)))
+    crowded = F.lit(False) if of_parent is None else F.size("t.rows") > of_parent
+    guarded = parsed.withColumn("__ok", F.when(F.col("is_child"), F.raise_error(F.lit("children are expanded already"))).otherwise(F.when(crowded, F.raise_error(F.lit("too many rows"))).otherwise(True)))
     total = F.sum(F.size("t.rows")).over(W.partitionBy("source_key"))
     wide = guarded.where("__ok").withColumn("total", total).where(F.col("total") >= LEAST_ROWS)
-    every = wide.agg(F.sum(F.size("t.rows")).alias("__every"))
-    few = F.when(F.coalesce("__every", F.lit(0)) > MOST_OF_ALL, F.raise_error(F.lit("too many children in all"))).otherwise(True)
-    wide = wide.join(F.broadcast(every), F.lit(True)).where(few)
-    rows = wide.select("stable_id", "t", F.size("t.rows").alias("child_count"), F.posexplode("t.rows").alias("child_index", "row"))
-    body = F.array_join(F.concat(F.col("t.preamble"), F.array("t.header", "t.separator", "row")), "\n")
+    if of_all is not None:
+        every = wide.agg(F.sum(F.size("t.rows")).alias("__every"))
+        few = F.when(F.coalesce("__every", F.lit(0)) > of_all, F.raise_error(F.lit("too many children in all"))).otherwise(True)
+        wide = wide.join(F.broadcast(every), F.lit(True)).where(few)
+    # a row carries its table's head, not all of the table's rows
+    head = F.concat(F.col("t.preamble"), F.array("t.header", "t.separator"))
+    rows = wide.select("stable_id", head.alias("head"), F.size("t.rows").alias("child_count"), F.posexplode("t.rows").alias("child_index", "row"))
+    body = F.array_join(F.concat(F.col("head"), F.array("row")), "\n")
     return rows.select("stable_id", "child_index", "child_count", body.alias("child_text"))
 
 
-def with_table_children(records: DataFrame) -> DataFrame:
+def with_table_children(records: DataFrame, of_parent: int | None = MOST_CHILDREN, of_all: int | None = MOST_OF_ALL) -> DataFrame:
     """``records`` (source_key, stable_id, text, is_child) with the table children after them, and each family's fields.
 
     Parents get retrieval_role table_parent, child_count, source_rows and source_fragments (of all fragments of their
-    source); children get table_child, table_parent_stable_id and child_index; other records none of these.
+    source); children get table_child, table_parent_stable_id and child_index; other records none of these.  For the limits see table_children.
     """
-    children = table_children(records)
+    children = table_children(records, of_parent, of_all)
     parsed = records.withColumn("__t", udfs.markdown_table("text")).withColumn("__rows", F.size("__t.rows")).withColumn("__is", F.col("__t.header").isNotNull())
     w = W.partitionBy("source_key", "__is")
     wide = parsed.withColumn("__total", F.sum("__rows").over(w)).withColumn("__parts", F.count("*").over(w)).withColumn("__parent", F.col("__is") & (F.col("__total") >= LEAST_ROWS))

@@ -71,7 +71,7 @@ c AS (SELECT source_key, stable_id, CAST(row_number() OVER (PARTITION BY stable_
 
 @query(f"WITH {CHILDREN_SQL} SELECT stable_id, child_index, child_count, 'Suppliers' || chr(10) || '| key | name |' || chr(10) || '|---|:---|' || chr(10) || line AS child_text FROM c WHERE total >= 4")
 def table_children(spark, sf_dir):
-    return records.table_children(supplier_tables(spark, sf_dir))
+    return records.table_children(supplier_tables(spark, sf_dir), of_parent=None, of_all=None)
 
 
 @query(f"""

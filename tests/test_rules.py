@@ -386,6 +386,9 @@ def test_table_limits(spark):
     many = spark.createDataFrame([("k", "p", "| a |\n|---|\n" + "\n".join("| 1 |" for _ in range(129)), False)], "source_key string, stable_id string, text string, is_child boolean")
     with pytest.raises(Exception, match="too many"):
         records.table_children(many).collect()
+    assert records.table_children(many, of_parent=None).count() == 129
+    with pytest.raises(Exception, match="too many children in all"):
+        records.table_children(many, of_parent=None, of_all=128).collect()
 
 
 def test_log_rules(spark):
