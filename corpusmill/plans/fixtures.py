@@ -79,7 +79,7 @@ WITH {CHILDREN_SQL}, p AS (SELECT stable_id, any_value(source_key) AS source_key
 SELECT stable_id, CASE WHEN total >= 4 THEN 'table_parent' END AS retrieval_role, 0 AS child, CASE WHEN total >= 4 THEN n END AS child_count, CASE WHEN total >= 4 THEN total END AS source_rows, CASE WHEN total >= 4 THEN count(*) OVER (PARTITION BY source_key) END AS source_fragments FROM p
 UNION ALL SELECT stable_id, 'table_child', 1, child_count, NULL, NULL FROM c WHERE total >= 4""")
 def table_family_union(spark, sf_dir):
-    out = records.with_table_children(supplier_tables(spark, sf_dir))
+    out = records.with_table_children(supplier_tables(spark, sf_dir), of_parent=None, of_all=None)
     return out.select(F.coalesce("table_parent_stable_id", "stable_id").alias("stable_id"), "retrieval_role", F.when(F.col("retrieval_role") == "table_child", 1).otherwise(0).alias("child"), F.col("child_count").cast("long").alias("child_count"), F.col("source_rows").cast("long").alias("source_rows"), F.col("source_fragments").cast("long").alias("source_fragments"))
 
 
