@@ -35,6 +35,11 @@ def _fails(c: Column) -> Column:
     return ~F.coalesce(c, F.lit(False))
 
 
+def _beyond(count: str, most: int | None) -> Column:
+    """Whether a count is over a limit; None is no limit."""
+    return F.lit(False) if most is None else F.col(count) > most
+
+
 def parsed_records(records: DataFrame) -> DataFrame:
     """``records`` with all of COLUMNS (missing ones null) and the shared fields, and what their texts hold as tables.
 
@@ -68,7 +73,7 @@ def parsed_records(records: DataFrame) -> DataFrame:
     )
 
 
-def _row_issues(first_child: Column) -> Column:
+def _row_issues(first_child: Column, of_parent: int | None) -> Column:
     """Issues that a record shows by itself."""
     role, child, parent = F.col("retrieval_role"), F.col("__child"), F.coalesce(F.col("retrieval_role") == PARENT, F.lit(False))
     kin, primary = F.col("__kin"), F.col("__primary")
@@ -88,7 +93,7 @@ def _row_issues(first_child: Column) -> Column:
         "non_table_retrieval_record": kin & ~F.col("__tabular"),
         "invalid_parent_stable_id": kin & _fails(F.length("parent_id") > 0),
         "invalid_child_count": kin & _fails(positive("child_count")),
-        "declared_child_count_exceeds_parent_cap": kin & (F.col("child_count") > MOST_CHILDREN),
+        "declared_child_count_exceeds_parent_cap": kin & _beyond("child_count", of_parent),
         "parent_identity_mismatch": parent & _fails(F.col("__family") == F.col("stable_id")),
         "parent_has_child_index": parent & F.col("child_index").isNotNull(),
         "invalid_parent_table": parent & ~primary,
@@ -146,7 +151,7 @@ def _source_issues(primary: DataFrame, expanded: DataFrame, least_rows: int, dim
     return both.select("ord", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in checks.items()]))).alias("issue"))
 
 
-def _family_issues(kin: DataFrame, shared: list[str]) -> DataFrame:
+def _family_issues(kin: DataFrame, shared: list[str], most_children: int | None) -> DataFrame:
     """One parent a family, with a child for each of its rows, in order, with its fields and the row's text."""
     parent = ~F.col("__child")
     valid = F.col("__child") & (F.col("child_index") >= 0)
@@ -168,7 +173,7 @@ def _family_issues(kin: DataFrame, shared: list[str]) -> DataFrame:
     }
     parents = told.select(F.col("parent").alias("ord"), F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in of_parent.items()]))).alias("issue"))
     both = own.join(told.select("__family", "parents", "children", "first_child", "expected", "parent_shared", "one", "rows"), "__family")
-    crowded = (F.col("children") > MOST_CHILDREN) & F.when(F.col("parents") > 0, parent).otherwise(F.col("ord") == F.col("first_child"))
+    crowded = _beyond("children", most_children) & F.when(F.col("parents") > 0, parent).otherwise(F.col("ord") == F.col("first_child"))
     of_member = {
         "missing_parent": F.col("parents") == 0,
         "duplicate_parent": F.col("parents") > 1,
@@ -187,21 +192,23 @@ def _family_issues(kin: DataFrame, shared: list[str]) -> DataFrame:
     return parents.unionByName(members).unionByName(texts)
 
 
-def family_audit(records: DataFrame, least_rows: int = LEAST_ROWS, of_all: int = MOST_OF_ALL, dimensions: DataFrame | None = None) -> DataFrame:
+def family_audit(records: DataFrame, least_rows: int = LEAST_ROWS, of_all: int | None = MOST_OF_ALL, dimensions: DataFrame | None = None, of_parent: int | None = MOST_CHILDREN) -> DataFrame:
     """ord and issue of every rule of table families that a record of ``records`` (see COLUMNS; ``ord`` orders them) breaks.
 
+    ``of_all`` and ``of_parent``: children of the corpus and of a parent at most (None: as many as there are).
     ``dimensions``: ref, rows and cols of source tables, where these are known.  Repeated texts and ids are as good as any; an
     empty table has no issues.  Families, sources and alike fragments are grouped by key and numbered over ranges.
     """
     own = cut(parsed_records(records))
     kin, primary = own.where("__kin"), own.where("__primary")
     first = own.where("__child").agg(F.min("ord").alias("__first"))
-    single = own.join(F.broadcast(first), F.lit(True)).select("ord", F.explode(_row_issues(F.col("__first"))).alias("issue"))
-    late = numbered(kin.where("__child").select("ord", F.lit(0).alias("g")), "g", ["ord"]).where(F.col("number") >= of_all)
-    beyond = late.select("ord", F.lit("corpus_child_count_exceeds_cap").alias("issue"))
+    single = own.join(F.broadcast(first), F.lit(True)).select("ord", F.explode(_row_issues(F.col("__first"), of_parent)).alias("issue"))
     expanded = kin.agg((F.count("*") > 0).alias("expanded"))
     shared = [c for c in SHARED if c in records.columns]
-    parts = [single, beyond, _fragment_issues(primary), _source_issues(primary, expanded, least_rows, dimensions), _family_issues(kin, shared)]
+    parts = [single, _fragment_issues(primary), _source_issues(primary, expanded, least_rows, dimensions), _family_issues(kin, shared, of_parent)]
+    if of_all is not None:
+        late = numbered(kin.where("__child").select("ord", F.lit(0).alias("g")), "g", ["ord"]).where(F.col("number") >= of_all)
+        parts.append(late.select("ord", F.lit("corpus_child_count_exceeds_cap").alias("issue")))
     return reduce(DataFrame.unionByName, parts).where("issue is not null").distinct()
 
 
@@ -213,17 +220,17 @@ def family_counts(records: DataFrame) -> DataFrame:
     return records.agg(n((role.isNull() & tabular) | (role == PARENT)).alias("parent_tables"), n(role == PARENT).alias("expanded_parents"), n(role == CHILD).alias("child_chunks"))
 
 
-def attested_families(records: DataFrame, corpus_sha256: str, id_scheme: str) -> DataFrame:
+def attested_families(records: DataFrame, corpus_sha256: str, id_scheme: str, of_parent: int | None = MOST_CHILDREN, of_all: int | None = MOST_OF_ALL) -> DataFrame:
     """parent_id and members of the families of one corpus, with the corpus they are bound to: corpus_sha256, record_count and id_scheme.
 
     Judgments of table families are only to be held against these (``evaluation.family_issues``).  A corpus that breaks any rule of table
-    families has no attestation: the rules that it breaks are named in the error.
+    families has no attestation: the rules that it breaks are named in the error.  For the limits see family_audit.
     """
     if not re.fullmatch("[0-9a-f]{64}", corpus_sha256 or ""):
         raise ValueError("the digest of a corpus is 64 lower-case hex digits")
     if not (id_scheme or "").strip():
         raise ValueError("an id scheme has a name")
-    broken = [r.issue for r in family_audit(records).select("issue").distinct().orderBy("issue").collect()]
+    broken = [r.issue for r in family_audit(records, of_parent=of_parent, of_all=of_all).select("issue").distinct().orderBy("issue").collect()]
     if broken:
         raise ValueError("the corpus breaks rules of table families: " + ", ".join(broken))
     members = family_members(records.withColumnRenamed("parent_id", "table_parent_stable_id"))

@@ -210,7 +210,7 @@ SELECT * FROM i WHERE issue IS NOT NULL""")
 def table_family_issues(spark, sf_dir):
     """Tables of suppliers by nation with their row children: some torn, some recounted, some missing, some without parents."""
     placed = _families(spark, sf_dir, broken=True)
-    found = families.family_audit(placed.drop("part", "family"))
+    found = families.family_audit(placed.drop("part", "family"), of_all=None, of_parent=None)
     return found.join(placed.select("ord", F.col("family").alias("stable_id"), "child_index"), "ord").select("stable_id", "child_index", "issue")
 
 
