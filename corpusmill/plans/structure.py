@@ -220,11 +220,11 @@ SELECT stable_id AS parent_id, list_sort(list_append(list(stable_id || '#' || ch
 FROM k, n GROUP BY 1""")
 def attested_families(spark, sf_dir):
     """The sound families of the same tables, bound to their corpus."""
-    return families.attested_families(_families(spark, sf_dir, broken=False).drop("part", "family"), "0f" * 32, "suppliers-v1")
+    return families.attested_families(_families(spark, sf_dir, broken=False).drop("part", "family"), "0f" * 32, "suppliers-v1", of_parent=None, of_all=None)
 
 
 def _families(spark, sf_dir, broken):
-    made = records.with_table_children(supplier_tables(spark, sf_dir)).where("retrieval_role is not null")
+    made = records.with_table_children(supplier_tables(spark, sf_dir), of_parent=None, of_all=None).where("retrieval_role is not null")
     k, i, child = F.regexp_extract("table_parent_stable_id", r"^(\d+)-", 1).cast("int"), F.col("child_index"), F.col("part") == 1
     own = made.withColumns({"k": k, "one": F.lit(1), "cols": F.lit(2)})
     if broken:

@@ -47,3 +47,18 @@ def test_query(spark, duck, name):
     mine, theirs = rows(df.columns, got), rows(names, want)
     assert len(mine) == len(theirs)
     assert mine == theirs
+
+
+@pytest.mark.parametrize("name", ["table_children", "table_family_union", "table_family_issues", "attested_families"])
+def test_tables_of_many_suppliers(spark, tmp_path, name):
+    """More children of a parent, and in all, than the limits of the operators' defaults."""
+    home = str(tmp_path)
+    many = spark.range(1, 10_501).selectExpr("id AS s_suppkey", "concat('S', id) AS s_name", "CAST(id % 25 AS INT) AS s_nationkey", "0.0D AS s_acctbal")
+    many.toPandas().to_parquet(f"{home}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW supplier AS SELECT * FROM '{home}/supplier.parquet'")
+    df = QUERIES[name](spark, home)
+    cursor = con.execute(SQL[name])
+    names = [d[0] for d in cursor.description]
+    want = rows(names, cursor.fetchall())
+    assert len(want) > 70 and rows(df.columns, df.collect()) == want
