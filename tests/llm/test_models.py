@@ -553,3 +553,16 @@ def test_near_copies_of_a_crowd_and_odd_rows(spark):
     assert got.columns == docs.columns and [f.dataType for f in got.schema] == [f.dataType for f in docs.schema]
     ids = [(10**6 if d is None else d, t) for d, t, _ in rows]
     assert sorted(10**6 if r.doc_id is None else r.doc_id for r in got.collect()) == brute_survivors(ids)
+
+
+def test_sets_that_meet_at_many_shingles_are_paired_once(spark):
+    """Twenty sets at three crowded shingles, in blocks of seven at most: 190 pairs, not 570; SimHash joins fingerprints within two bits first."""
+    by_key = spark.createDataFrame([(k, 100, b"\0" * 32, k if k < 3 else k << 20) for k in range(20)], "key long, n int, bits binary, fp long")
+    members = spark.createDataFrame([(g, k, k, 20, 0) for g in (-5, 7, 9) for k in range(20)], "g long, key long, root long, held long, class short")
+    old, shingle_dedup.CROWD = shingle_dedup.CROWD, 7
+    try:
+        made = [tuple(r) for r in shingle_dedup.crowded(members, by_key, 4).collect()]
+    finally:
+        shingle_dedup.CROWD = old
+    assert sorted(made) == [(a, b) for a in range(20) for b in range(a + 1, 20)]
+    assert {(0, 1), (0, 2)} <= {tuple(r) for r in shingle_dedup.print_pairs(by_key).collect()}
