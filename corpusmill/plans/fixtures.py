@@ -361,7 +361,7 @@ def record_checks(spark, sf_dir):
 def lexical_tokens(spark, sf_dir):
     """Digests of every document's text and source tokens."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return docs.select("doc_id", udfs.attestation("text").alias("x")).select("doc_id", "x.*")
+    return udfs.told_of(docs, udfs.attestation_rows, udfs.ATTESTATION)
 
 
 @query()

@@ -396,3 +396,20 @@ def test_log_rules(spark):
     assert sorted((r.run_id, r.issue) for r in telemetry.log_issues(log).collect()) == [("b", "no_run_start"), ("c", "events_after_end"), ("c", "sequence_gap")]
     closed = [(r.run_id, r.sequence, r.stage, r.source_event_count, r.active_stages_closed) for r in telemetry.recovery(log).orderBy("run_id", "sequence").collect()]
     assert closed == [("a", 3, "s", None, None), ("a", 4, "run", 2, 1), ("b", 2, "s", None, None), ("b", 3, "run", 1, 1)]
+
+
+def test_texts_are_taken_in_portions(spark):
+    """Slices hold few bytes and all rows; rows of texts come out as the functions give them."""
+    import pyarrow as pa
+
+    from corpusmill.functions import udfs
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 900, None, "b" * 3000, "", "c" * 900, "d" * 10])], names=["doc_id", "text"])
+    parts = list(udfs.portions(batch, 1, 1000))
+    assert sum(p.num_rows for p in parts) == 6 and len(parts) >= 4
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    texts = [(0, "Plain  text.It goes on"), (1, None), (2, "")]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    for f, shape in ((udfs.change_rows, udfs.CHANGED), (udfs.attestation_rows, udfs.ATTESTATION)):
+        want = [(i, *row) for i, t in texts for row in f(t)]
+        assert sorted((tuple(r) for r in udfs.told_of(frame, f, shape).collect()), key=str) == sorted(want, key=str)
