@@ -132,6 +132,26 @@ def _alike(texts, threshold):
     return {(i, j): v for i, j in pairs if (v := len(grams[i] & grams[j]) / len(grams[i] | grams[j])) >= threshold}
 
 
+def test_similar_pairs_compares_few_whole_sets(spark, monkeypatch):
+    """Alike texts that are not linked meet at many signatures, but hardly any reach the comparison of whole sets, and a pair does so once."""
+    texts = list(dict.fromkeys(_alike_texts(160)))
+    df = spark.createDataFrame(list(enumerate(texts)), "ord int, text string")
+    want = _alike(texts, 0.95)
+    asked, whole = [], corpus._linked
+    monkeypatch.setattr(corpus, "_linked", lambda pairs, *a: asked.append(pairs) or whole(pairs, *a))
+    for crowd in (corpus.CROWD, 3):  # in one block and in many
+        monkeypatch.setattr(corpus, "CROWD", crowd)
+        got = {(r.ord_a, r.ord_b): r.jaccard for r in corpus.similar_pairs(df).collect()}
+        assert got == want and len(want) > 100
+        pairs = [(r.a, r.b) for r in asked.pop().collect()]
+        assert len(set(pairs)) == len(pairs) < 1.5 * len(want)
+    sets = corpus.marks(corpus.signed_sets(df), 0.95)
+    met = sets.alias("x").join(sets.alias("y"), "sig").where("x.ord < y.ord").select("x.ord", "y.ord").distinct().count()
+    assert met > 4 * len(want)
+    loose = _alike(texts, 0.7)
+    assert {(r.ord_a, r.ord_b): r.jaccard for r in corpus.similar_pairs(df, 0.7).collect()} == loose and len(loose) > len(want)
+
+
 def test_first_kept_lists_few_links(spark, monkeypatch):
     """A group of near copies of its first one is gone after a round; what is left is decided in order, by rounds or not."""
     texts = [t + "q" * (i % 3) for i, t in enumerate(_alike_texts(60))]
