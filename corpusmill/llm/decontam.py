@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import forget_memos, portions, set_aside
+from corpusmill.llm.common import lean, portions, set_aside
 
 KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 #: Upper case to lower case, other bytes outside words to a space.
@@ -259,8 +259,8 @@ def match_spans(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", wi
     while own or first:
         coming = list(islice(groups, GROUPS_AT_ONCE))
 
+        @lean
         def run(batches, sent=spark.sparkContext.broadcast(own), first=first, cutting=cut and not coming):
-            forget_memos()
             automata = Automata(sent.value, window)
             for batch in portions(batches, at, PORTION if len(sent.value) > HELD else PORTION // 8):
                 before = [[]] * batch.num_rows if first else batch.column(batch.num_columns - 2).to_pylist()

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import cut, forget_memos, set_aside
+from corpusmill.llm.common import cut, lean, set_aside
 
 ORDER = 4
 BOS, EOS = 0xFFFE, 0xFFFF
@@ -82,13 +82,12 @@ def _portions(texts: list[str], limit: int = 1_000_000):
         yield at, len(texts)
 
 
+@lean
 def _count(batches):
     """Partial counts of keys; a task's sums are handed on whenever they grow large."""
     import numpy as np
     import pyarrow as pa
 
-    forget_memos()
-
     def merged(parts):
         keys = np.concatenate([k for k, _ in parts])
         counts = np.concatenate([n for _, n in parts])
@@ -186,12 +185,11 @@ def perplexities(docs: DataFrame, model: Model, *, text: str = "text", shard_cha
     dealt = docs.select(*names, F.pmod(F.xxhash64(*[c for c in ("doc_id",) if c in names], text), F.lit(shards)).cast("int").alias(SHARD)).repartition(partitions, SHARD).sortWithinPartitions(SHARD)
     at_text, at_shard = names.index(text), len(names)
 
+    @lean
     def ask(batches):
         import numpy as np
         import pyarrow as pa
 
-        forget_memos()
-
         def distinct(shard, keys, texts):
             if texts:
                 units, _ = symbols(texts)

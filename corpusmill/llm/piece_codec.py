@@ -4,7 +4,8 @@ Encoding keeps an agenda (a heap) of adjacent symbol pairs ordered by the score
 piece they would form, leftmost first among equal scores, and merges the best pair until
 none is left.  Characters outside the vocabulary become byte pieces.  A piece never holds
 the space mark after another character, nor a line break, so those are boundaries no merge
-crosses; text is cut there and the encodings of the parts are remembered in a bounded memo.
+crosses; text is cut there and the encodings of the parts are remembered in a bounded memo, as long as
+a task lasts (a reused worker may wait beside others that fill one of their own).
 If a vocabulary breaks that rule, whole texts go through the agenda.
 
 Every Arrow batch is checked against the sentencepiece library: its first text and every
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import ChunkMemo, forgettable, kept_and, portions
+from corpusmill.llm.common import ChunkMemo, forgettable, kept_and, lean, portions
 
 SPACE = "▁"
 
@@ -115,6 +116,7 @@ def encode_decode(docs: DataFrame, model_path: str, *, text: str = "text", ids:
 
     at_text = len(kept)
 
+    @lean
     def run(batches):
         import numpy as np
         import pyarrow as pa

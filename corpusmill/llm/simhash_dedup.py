@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, forget_memos
+from corpusmill.llm.common import cut, lean
 
 SEED = 42
 SAMPLE, MOST_SAMPLED = 8192, 1 << 18
@@ -61,11 +61,11 @@ def with_fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...]
     """The kept columns and ``fp``, the fingerprint's 64 bits as a long."""
     source = docs.select(*keep, F.col(text).alias("__text"))
 
+    @lean
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        forget_memos()
         for batch in batches:
             fps = np.fromiter((simhash(t.as_py()) for t in batch.column(batch.num_columns - 1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps.view(np.int64))], names=[*keep, "fp"])

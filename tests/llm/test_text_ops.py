@@ -230,3 +230,22 @@ def test_memos_are_bounded_by_bytes():
         assert memo.encode(chunks) == b"".join(c[::-1] * 2 for c in chunks)
         held = [sum(len(k) + len(v) for k, v in d.items()) for d in (memo.young, memo.old)]
         assert max(held) < 60_000 + 20 * 800 and all(len(k) <= 256 for d in (memo.young, memo.old) for k in d)
+
+
+def test_workers_wait_with_nothing_held(spark):
+    """A worker that waits after its task has no memo and no model, as others fill theirs beside it."""
+    docs = spark.createDataFrame([(i, f"some words {i} and more") for i in range(64)], "doc_id long, text string").repartition(8)
+
+    def held(batches):
+        import pyarrow as pa
+
+        from corpusmill.llm import common
+
+        for _ in batches:
+            pass
+        entries = sum(len(memo.young) + len(memo.old) for memo in common._memos)
+        yield pa.RecordBatch.from_arrays([pa.array([entries]), pa.array([sum(map(len, common._models))])], names=["entries", "models"])
+
+    assert len(piece_codec.piece_digests(docs, PIECES).collect()) == 64
+    got = spark.range(64).repartition(16).mapInArrow(held, "entries long, models long").collect()
+    assert len(got) == 16 and not any(r.entries or r.models for r in got)
