@@ -4,8 +4,7 @@ Encoding keeps an agenda (a heap) of adjacent symbol pairs ordered by the score
 piece they would form, leftmost first among equal scores, and merges the best pair until
 none is left.  Characters outside the vocabulary become byte pieces.  A piece never holds
 the space mark after another character, nor a line break, so those are boundaries no merge
-crosses; text is cut there and the encodings of the parts are remembered in a bounded memo, as long as
-a task lasts (a reused worker may wait beside others that fill one of their own).
+crosses; text is cut there and the encodings of the parts are remembered in a bounded memo.
 If a vocabulary breaks that rule, whole texts go through the agenda.
 
 Every Arrow batch is checked against the sentencepiece library: its first text and every
@@ -108,15 +107,14 @@ def _vocabulary(path: str) -> MergeVocabulary:
     return _loaded[path]
 
 
-def encode_decode(docs: DataFrame, model_path: str, *, text: str = "text", ids: str = "ids", decoded: str = "decoded", check_every: int = 64) -> DataFrame:
-    """``docs`` without ``text`` and with its piece ids and the library's decoding of them."""
+def encode_decode(docs: DataFrame, model_path: str, *, text: str = "text", ids: str = "ids", decoded: str = "decoded", check_every: int = 64, keep_memo: bool = True) -> DataFrame:
+    """``docs`` without ``text`` and with its piece ids and the library's decoding of them; without ``keep_memo`` a task leaves nothing in its worker."""
     source, back = kept_and(docs, text, (ids, decoded))
     kept = source.columns[:-1]
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(ids, T.ArrayType(T.IntegerType(), False), False), T.StructField(decoded, T.StringType(), False)])
 
     at_text = len(kept)
 
-    @lean
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -139,7 +137,7 @@ def encode_decode(docs: DataFrame, model_path: str, *, text: str = "text", ids:
             columns = [*batch.columns[:-1], id_column, pa.array(plain, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=[*kept, ids, decoded])
 
-    return source.mapInArrow(run, schema).select(*back, ids, decoded)
+    return source.mapInArrow(run if keep_memo else lean(run), schema).select(*back, ids, decoded)
 
 
 def piece_digests(docs: DataFrame, model_path: str) -> DataFrame:
